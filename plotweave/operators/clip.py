@@ -1,0 +1,59 @@
+"""Cut or keep buildings by an area outline."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from plotweave.functions.geoarrays import flatten, nest_lists, polygons_of_wkb, rings_of, to_wkb
+from plotweave.functions.measure import POLYGONS
+from plotweave.functions.planar import clip_ring, hull, inside, loop_area, measures, segments
+
+# An outline travels inside the task closure, so its size is checked first.
+MAX_OUTLINE_BYTES = 64 << 20
+
+
+def outline_of(boundary: DataFrame, polygons: str = "polygons") -> list[list[np.ndarray]]:
+    """The boundary rows as one list of polygons (their union: inside any of them)."""
+    wkb = boundary.select(to_wkb(F.col(polygons)).alias("b")).filter(F.col("b").isNotNull())
+    size = wkb.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0))).first()[0]
+    if size > MAX_OUTLINE_BYTES:
+        raise ValueError(f"outline of {size} bytes; use zone_of_points for boundaries beyond {MAX_OUTLINE_BYTES}")
+    return [p for r in wkb.collect() for p in polygons_of_wkb(r["b"])]
+
+
+def is_convex(polygons: list[list[np.ndarray]]) -> bool:
+    """One part, no holes, and as large as its hull."""
+    if len(polygons) != 1 or len(polygons[0]) != 1:
+        return False
+    ring = polygons[0][0]
+    return bool(np.isclose(loop_area(ring[:-1]), loop_area(hull(ring)), rtol=1e-12))
+
+
+def clip(df: DataFrame, boundary: list[list[np.ndarray]], polygons: str = "polygons") -> DataFrame:
+    """Rows meeting the boundary. A convex boundary cuts the geometries; any other keeps those
+    whose centroid it contains, uncut."""
+    if is_convex(boundary):
+        loop = hull(boundary[0][0])
+
+        @F.arrow_udf(POLYGONS)
+        def cut_by_loop(column: pa.Array) -> pa.Array:
+            flat = flatten(column)
+            out = []
+            for g in range(flat.n_geoms):
+                parts = [[clip_ring(r, loop) for r in p] for p in rings_of(flat, g) if p]
+                parts = [[r for r in p if len(r)] for p in parts if len(p[0])]
+                out.append([p for p in parts if loop_area(p[0][:-1]) > 0])
+            return nest_lists(out)
+
+        return df.withColumn(polygons, cut_by_loop(F.col(polygons))).filter(F.size(polygons) > 0)
+
+    @F.arrow_udf(T.BooleanType())
+    def centre_inside(column: pa.Array) -> pa.Array:
+        centre = measures(flatten(column))[:, 2:]
+        rings = flatten(nest_lists([boundary]))
+        segs = segments(rings)
+        return pa.array(inside(centre[:, 0], centre[:, 1], segs, np.zeros(len(centre), int)))
+
+    return df.filter(centre_inside(F.col(polygons)))
