@@ -7,17 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times in `body`.
+
+    An expression repeated inside one column is computed each time it occurs; a lambda
+    variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column) -> Column:
     """Row softmax of an array column."""
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda v: F.exp(v - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(weights, lambda v: v / total)
+    weights = lambda l: bind(F.array_max(l), lambda top: F.transform(l, lambda v: F.exp(v - top)))
+    shares = lambda w: bind(F.aggregate(w, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(w, lambda v: v / total))
+    return bind(bind(logits, weights), shares)
 
 
 def argmax(values: Column) -> Column:
-    """Index of the first largest element; NULL if the array is NULL or starts with NULL."""
-    return F.when(F.array_max(values).isNotNull(), (F.array_position(values, F.array_max(values)) - 1).cast("int"))
+    """Index of the first largest element; NULL if the array is NULL or holds only NULLs."""
+    return bind(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def element_sums(values: Column, size: int, weight: Column | None = None) -> list[Column]:

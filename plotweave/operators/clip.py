@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from plotweave.functions.geoarrays import flatten, nest_lists, polygons_of_wkb, rings_of, to_wkb
 from plotweave.functions.measure import POLYGONS
 from plotweave.functions.planar import clip_ring, hull, inside, loop_area, measures, segments
+from plotweave.session import spread
 
 # An outline travels inside the task closure, so its size is checked first.
 MAX_OUTLINE_BYTES = 64 << 20
@@ -40,14 +41,25 @@ def clip(df: DataFrame, boundary: list[list[np.ndarray]], polygons: str = "polyg
         @F.arrow_udf(POLYGONS)
         def cut_by_loop(column: pa.Array) -> pa.Array:
             flat = flatten(column)
+            # signed side of every vertex for every edge of the loop
+            edge = np.roll(loop, -1, axis=0) - loop
+            side = np.stack([d[0] * (flat.xy[:, 1] - a[1]) - d[1] * (flat.xy[:, 0] - a[0]) for a, d in zip(loop, edge)])
+            starts = flat.vertex_start
             out = []
             for g in range(flat.n_geoms):
+                own = side[:, starts[g] : starts[g + 1]]
+                if own.size and (own >= 0).all():
+                    out.append(rings_of(flat, g))
+                    continue
+                if not own.size or (own <= 0).all(axis=1).any():
+                    out.append([])
+                    continue
                 parts = [[clip_ring(r, loop) for r in p] for p in rings_of(flat, g) if p]
                 parts = [[r for r in p if len(r)] for p in parts if len(p[0])]
                 out.append([p for p in parts if loop_area(p[0][:-1]) > 0])
             return nest_lists(out)
 
-        return df.withColumn(polygons, cut_by_loop(F.col(polygons))).filter(F.size(polygons) > 0)
+        return spread(df).withColumn(polygons, cut_by_loop(F.col(polygons))).filter(F.size(polygons) > 0)
 
     @F.arrow_udf(T.BooleanType())
     def centre_inside(column: pa.Array) -> pa.Array:

@@ -30,10 +30,10 @@ ZONED = f"""{PARCEL}, {ZONE}, v_zoned as (select p.parcel, min(z.zone) as zone f
 ADDRESS = """v_address as (select c_custkey as addr, 2.20e0 + ((c_custkey*37) % 1000)/10000e0 as lon,
   48.85e0 + ((c_custkey*91) % 1000)/10000e0 as lat from customer)"""
 
-XY = "v_xy as (select l_suppkey as src, l_orderkey as pivot, l_quantity as w from lineitem)"
-YZ = "v_yz as (select l_orderkey as pivot, l_partkey as dst, l_quantity as w from lineitem)"
-DEGREE = f"""{XY}, {YZ}, v_deg as (select x.pivot, x.dx, z.dz from
-  (select pivot, sum(w) as dx from v_xy group by pivot) x join (select pivot, sum(w) as dz from v_yz group by pivot) z on x.pivot = z.pivot
+XY = "v_xy as (select l_suppkey as src, l_orderkey as piv, l_quantity as w from lineitem)"
+YZ = "v_yz as (select l_orderkey as piv, l_partkey as dst, l_quantity as w from lineitem)"
+DEGREE = f"""{XY}, {YZ}, v_deg as (select x.piv, x.dx, z.dz from
+  (select piv, sum(w) as dx from v_xy group by piv) x join (select piv, sum(w) as dz from v_yz group by piv) z on x.piv = z.piv
   where x.dx > 0 and z.dz > 0)"""
 
 POINT = "v_point as (select vec_id as id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings)"
@@ -52,7 +52,7 @@ def hard(name: str, source: str) -> str:
 def wide(key: str, source: str, width: int) -> str:
     """Long probabilities to columns with the cluster."""
     cols = ", ".join(f"round(max(case when k = {k} then p end), 6) as proba_{k}" for k in range(width))
-    return f"""select {key}, cast(max(case when r = 1 and p is not null then k end) as int) as cluster, {cols} from
+    return f"""select {key}, coalesce(cast(max(case when r = 1 and p is not null then k end) as int), -1) as cluster, {cols} from
   (select *, row_number() over (partition by {key} order by p desc nulls last, k) as r from {source}) q group by {key}"""
 
 
@@ -98,7 +98,7 @@ select concat('B', o_orderkey) as rnb_id, case when l_suppkey is not null then c
   cast(n_nationkey % 7 as varchar) as ffo_bat_nb_log, cast(n_regionkey as varchar) as code_commune_insee
 from orders left join l on o_orderkey = l_orderkey left join supplier on l_suppkey = s_suppkey left join nation on s_nationkey = n_nationkey"""
 
-ORACLES["parcel_zone_join"] = f"with {ZONED} select parcel, zone from v_zoned"
+ORACLES["parcel_zone_join"] = f"with {ZONED} select parcel, coalesce(zone, -1) as zone from v_zoned"
 ORACLES["parcel_plu_labels"] = f"""with {ZONED} select parcel, coalesce(substr(libelle, 1, 2), 'HP') as libelle, coalesce(typezone, 'HP') as typezone
 from v_zoned left join v_zone using (zone)"""
 
@@ -254,26 +254,26 @@ ORACLES["propagate_parcels"] = f"""with {SPLIT}, {PARCEL_LINKS}, ks as (select u
 ORACLES["propagate_parcels_compat"] = f"""with {SPLIT}, {PARCEL_LINKS}, ks as (select unnest(range({K_Y})) as k),
  m as (select parcelle_id, ks.k, coalesce(sum(p*w), 0)/nullif(sum(w), 0) as p
    from l cross join ks left join known on known.bid = l.bid and known.k = ks.k group by parcelle_id, ks.k)
-select parcelle_id, coalesce(cluster, 0) as cluster, {', '.join(f'proba_{k}' for k in range(K_Y))} from ({wide('parcelle_id', 'm', K_Y)}) q"""
+select parcelle_id, greatest(cluster, 0) as cluster, {', '.join(f'proba_{k}' for k in range(K_Y))} from ({wide('parcelle_id', 'm', K_Y)}) q"""
 
 # --- tripartite modularity -----------------------------------------------------------------
 
-ORACLES["pivot_degrees"] = f"with {DEGREE} select pivot, round(dx, 6) as dx, round(dz, 6) as dz from v_deg"
-ORACLES["antihub_weights"] = f"with {DEGREE} select pivot, round(1e6/(dx*dz + 1e-9), 6) as omega_ppm from v_deg"
+ORACLES["pivot_degrees"] = f"with {DEGREE} select piv as building, round(dx, 6) as dx, round(dz, 6) as dz from v_deg"
+ORACLES["antihub_weights"] = f"with {DEGREE} select piv as building, round(1e6/(dx*dz + 1e-9), 6) as omega_ppm from v_deg"
 
 CROSS = f"""{DEGREE}, {soft('sx', 'supplier', 's_suppkey', K_X)}, {SOFT_Y}, {soft('sz', 'part', 'p_partkey', K_Z)},
- om as (select pivot, 1/(dx*dz + 1e-9) as omega from v_deg),
- ay as (select x.pivot, s.k as l, max(omega)*sum(w*p) as v from v_xy x join sx s on s.id = x.src join om on om.pivot = x.pivot group by 1, 2),
- cy as (select z.pivot, s.k as n, max(omega)*sum(w*p) as v from v_yz z join sz s on s.id = z.dst join om on om.pivot = z.pivot group by 1, 2),
- exy as (select l, s.k as m, sum(v*p) as e from ay join sy s on s.id = ay.pivot group by 1, 2),
- eyz as (select s.k as m, n, sum(v*p) as e from cy join sy s on s.id = cy.pivot group by 1, 2)"""
+ om as (select piv, 1/(dx*dz + 1e-9) as omega from v_deg),
+ ay as (select x.piv, s.k as l, max(omega)*sum(w*p) as v from v_xy x join sx s on s.id = x.src join om on om.piv = x.piv group by 1, 2),
+ cy as (select z.piv, s.k as n, max(omega)*sum(w*p) as v from v_yz z join sz s on s.id = z.dst join om on om.piv = z.piv group by 1, 2),
+ exy as (select l, s.k as m, sum(v*p) as e from ay join sy s on s.id = ay.piv group by 1, 2),
+ eyz as (select s.k as m, n, sum(v*p) as e from cy join sy s on s.id = cy.piv group by 1, 2)"""
 ORACLES["cross_tables"] = f"""with {CROSS} select 'XY' as side, cast(l as int) as row, cast(m as int) as col, round(e, 6) as value from exy
 union all select 'YZ', cast(m as int), cast(n as int), round(e, 6) from eyz"""
 ORACLES["tripartite_modularity"] = f"""with {CROSS}, mn as (select sum(dx*dz) + 1e-9 as mnorm from v_deg),
  x as (select l, m, e/mnorm as e, exp({BETA}e0*e/mnorm) as u from exy, mn), al as (select l, m, e, u/sum(u) over (partition by m) as a from x),
  y as (select m, n, e/mnorm as e, exp({BETA}e0*e/mnorm) as u from eyz, mn), ga as (select m, n, e, u/sum(u) over (partition by m) as g from y),
- lm as (select pivot, m, sum(v*a) as v from ay join al using (l) group by 1, 2), rm as (select pivot, m, sum(v*g) as v from cy join ga using (n) group by 1, 2),
- obs as (select sum(lm.v*s.p*rm.v) as q from lm join rm using (pivot, m) join sy s on s.id = lm.pivot and s.k = m),
+ lm as (select piv, m, sum(v*a) as v from ay join al using (l) group by 1, 2), rm as (select piv, m, sum(v*g) as v from cy join ga using (n) group by 1, 2),
+ obs as (select sum(lm.v*s.p*rm.v) as q from lm join rm using (piv, m) join sy s on s.id = lm.piv and s.k = m),
  ax as (select l, sum(e) as v from al group by l), am as (select m, sum(e) as v from al group by m), az as (select n, sum(e) as v from ga group by n),
  tl as (select m, sum(a*ax.v) as v from al join ax using (l) group by m), tr as (select m, sum(g*az.v) as v from ga join az using (n) group by m),
  ex as (select sum(tl.v*am.v*tr.v) as q from tl join am using (m) join tr using (m))
@@ -286,7 +286,7 @@ ORACLES["membership_entropy"] = f"with {SOFT_Y} select round(sum(p*ln(p + 1e-9))
 ORACLES["attention"] = """
 with n as (select l_orderkey as dst, 0.5e0*x0 - 0.25e0*x1 + 0.1e0 as l0, 0.75e0*x0 + x1 - 0.2e0 as l1, o_totalprice/100000e0 + 0.5e0 as r0,
    -0.5e0*(o_totalprice/100000e0) + 0.25e0 + 0.3e0 as r1, l_discount as a
-   from lineitem join (select p_partkey, p_size/50e0 as x0, p_retailprice/2000e0 as x1 from part) p on l_partkey = p_partkey join orders on l_orderkey = o_orderkey),
+   from lineitem join (select p_partkey, p_size/50e0 as x0, p_retailprice/1999e0 as x1 from part) p on l_partkey = p_partkey join orders on l_orderkey = o_orderkey),
  t as (select *, l0 + r0 + 2*a as t0, l1 + r1 - a as t1 from n),
  e as (select dst, l0, l1, exp(1.5e0*case when t0 > 0 then t0 else 0.2e0*t0 end - 0.5e0*case when t1 > 0 then t1 else 0.2e0*t1 end) as u from t),
  s as (select dst, sum(u*l0)/sum(u) as m0, sum(u*l1)/sum(u) as m1 from e group by dst)
@@ -322,7 +322,7 @@ select trial, round(coalesce(case when n < 5 or n > 60 then q - 1000 else q end,
   round(coalesce(case when n < 5 then q - 500 when n < 10 then q - 100 else q end, -1e6), 6) as score_v2 from t"""
 
 ORACLES["trial_prune"] = """
-with p as (select user_id as trial, event_id % 40 as step, max(value) as value from events group by 1, 2),
+with p as (select user_id as trial, event_id % 40 as step, max(value*(1 + user_id % 5)) as value from events group by 1, 2),
  m as (select step, median(value) as median from p group by step),
  b as (select trial, step, max(value) over (partition by trial order by step) as best from p)
 select trial, min(step) as stop from b join m using (step) where step > 20 and trial >= 5 and best < median group by trial"""

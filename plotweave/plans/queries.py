@@ -118,7 +118,7 @@ def building_fusion(t: Tables) -> DataFrame:
 
 @query
 def parcel_zone_join(t: Tables) -> DataFrame:
-    return spatial.zone_attributes(t.parcels(), t.zones(), "parcel", "zone", ["LIBELLE"]).select("parcel", "zone")
+    return spatial.zone_attributes(t.parcels(), t.zones(), "parcel", "zone", ["LIBELLE"]).select("parcel", F.coalesce("zone", F.lit(-1)).alias("zone"))
 
 
 @query
@@ -159,7 +159,7 @@ def feature_rows(t: Tables) -> DataFrame:
 @query
 def scaled_features(t: Tables) -> DataFrame:
     names = ["area", "height", "volume", "year", "nb_logements"]
-    rows = features.building_columns(feature_rows(t))
+    rows = cut(features.building_columns(feature_rows(t)).select("id", *names), "scaled")
     z = features.scaled(rows, names)
     return rows.select(F.col("id").alias("building"), *[rounded(z[n]).alias(n) for n in names])
 
@@ -170,7 +170,7 @@ def hot_slots(c: Column, name: str) -> list[Column]:
 
 @query
 def onehot_building(t: Tables) -> DataFrame:
-    rows = features.building_columns(feature_rows(t))
+    rows = cut(features.building_columns(feature_rows(t)).select("id", "usage", "decennie"), "onehot")
     usage = features.one_hot(F.col("usage"), features.categories(rows, "usage"))
     decade = features.one_hot(F.col("decennie"), features.DECADE_LABELS)
     return rows.select(F.col("id").alias("building"), *hot_slots(usage, "usage"), *hot_slots(decade, "decade"))
@@ -401,7 +401,7 @@ def prune_mask(t: Tables) -> DataFrame:
 
 def _probabilities(df: DataFrame, key: str) -> DataFrame:
     wide = propagate.probability_columns(df, K_Y)
-    return wide.select(key, "cluster", *[rounded(F.col(f"proba_{k}")).alias(f"proba_{k}") for k in range(K_Y)])
+    return wide.select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"), *[rounded(F.col(f"proba_{k}")).alias(f"proba_{k}") for k in range(K_Y)])
 
 
 def partial_soft(t: Tables) -> DataFrame:
@@ -437,13 +437,13 @@ def propagate_parcels_compat(t: Tables) -> DataFrame:
 
 @query
 def pivot_degrees(t: Tables) -> DataFrame:
-    return tri.pivot_degrees(t.links_xy(), t.links_yz()).select("pivot", rounded(F.col("dx")).alias("dx"), rounded(F.col("dz")).alias("dz"))
+    return tri.pivot_degrees(t.links_xy(), t.links_yz()).select(F.col("pivot").alias("building"), rounded(F.col("dx")).alias("dx"), rounded(F.col("dz")).alias("dz"))
 
 
 @query
 def antihub_weights(t: Tables) -> DataFrame:
     w = tri.antihub_weights(tri.pivot_degrees(t.links_xy(), t.links_yz()))
-    return w.select("pivot", F.round(F.col("omega") * 1e6, 6).alias("omega_ppm"))
+    return w.select(F.col("pivot").alias("building"), F.round(F.col("omega") * 1e6, 6).alias("omega_ppm"))
 
 
 def pivots(t: Tables) -> DataFrame:
@@ -490,7 +490,7 @@ ATTENTION = Attention(
 
 @query
 def attention(t: Tables) -> DataFrame:
-    src = t.part.select(F.col("p_partkey").alias("id"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 2000.0).alias("features"))
+    src = t.part.select(F.col("p_partkey").alias("id"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 1999.0).alias("features"))
     dst = t.orders.select(F.col("o_orderkey").alias("id"), F.array(F.col("o_totalprice") / 100000.0, F.lit(1.0)).alias("features"))
     e = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"), F.array("l_discount").alias("attr"))
     out = attention_pass(src, dst, e, ATTENTION)
@@ -552,7 +552,8 @@ def trial_score(t: Tables) -> DataFrame:
 
 
 def event_history(t: Tables) -> DataFrame:
-    return t.events.select(F.col("user_id").alias("trial"), (F.col("event_id") % 40).alias("step"), "value")
+    value = F.col("value") * (1 + F.col("user_id") % 5)
+    return t.events.select(F.col("user_id").alias("trial"), (F.col("event_id") % 40).alias("step"), value.alias("value"))
 
 
 @query

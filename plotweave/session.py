@@ -44,9 +44,9 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand the package to the executors of a cluster; a local session imports it in place."""
+    """Hand the package to the Python workers, whatever folder they start in."""
     context = spark.sparkContext
-    if context.master.startswith("local") or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="plotweave-"), "plotweave.zip")
@@ -73,6 +73,24 @@ def group_partitions(spark: SparkSession, n_groups: int) -> int:
     return max(1, min(n_groups, max(2 * parallelism(spark), n_groups // 16)))
 
 
+# Below this estimated size per core an input may sit in a single split.
+_SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input to all cores before CPU-heavy work on them.
+
+    Only inputs whose planned size is small are shuffled; a large one has splits enough.
+    """
+    spark = df.sparkSession
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except (AttributeError, TypeError, ValueError):
+        return df
+    n = parallelism(spark)
+    return df.repartition(n) if size < _SPREAD_BYTES * n else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors can reach: `spark.checkpoint.dir` of the session."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -150,7 +150,8 @@ def write_labels(df: DataFrame, path: str) -> None:
 def areas_present(spark: SparkSession, path: str, area: str = AREA) -> DataFrame:
     """Areas that a per-area table holds; empty if it cannot be read."""
     try:
-        return spark.read.parquet(path).select(F.col(area).cast("string").alias(area)).distinct()
+        # declared, as inference would turn "01" into the number 1
+        return spark.read.schema(f"{area} string").parquet(path).select(area).distinct()
     except Exception as error:  # a store that answers with an error counts as holding nothing
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             print(f"treating {path} as empty: {error}")
@@ -167,9 +168,7 @@ def ingest_missing(source: DataFrame, path: str, area: str = AREA) -> None:
     """Write only the areas of `source` that the target lacks."""
     spark = source.sparkSession
     padded = source.withColumn(area, pad_code(F.col(area)))
-    present = areas_present(spark, path, area)
-    todo = padded.join(F.broadcast(present.limit(len(AREA_CODES) * 10)), area, "left_anti")
-    write_by_area(todo, path, area)
+    write_by_area(padded.join(areas_present(spark, path, area), area, "left_anti"), path, area)
 
 
 def manifest(tables: dict[str, DataFrame], area: str = AREA) -> DataFrame:
