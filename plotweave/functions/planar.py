@@ -285,17 +285,51 @@ def loop_area(loop: np.ndarray) -> float:
     return abs(float(np.sum(p[:, 0] * np.roll(p[:, 1], -1) - p[:, 1] * np.roll(p[:, 0], -1)))) / 2
 
 
-def rectangle_sides(loop: np.ndarray) -> tuple[float, float]:
-    """Short and long side of the smallest-area rectangle around a convex loop."""
-    if len(loop) < 3:
-        return 0.0, 0.0
-    edge = np.roll(loop, -1, axis=0) - loop
-    u = edge / np.sqrt((edge**2).sum(axis=1))[:, None]
-    along = loop @ u.T
-    across = loop @ np.column_stack([-u[:, 1], u[:, 0]]).T
-    w, h = np.ptp(along, axis=0), np.ptp(across, axis=0)
-    best = int(np.argmin(w * h))
-    return float(min(w[best], h[best])), float(max(w[best], h[best]))
+def rectangle_sides(loops: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(short, long) side of the smallest-area rectangle around each convex loop of a batch.
+
+    A smallest rectangle lies along an edge of the loop, so every edge is tried at once.
+    """
+    sizes = np.diff(starts)
+    out = np.zeros((len(sizes), 2))
+    for s in chunks(sizes**2):
+        n = np.where(sizes[s] >= 3, sizes[s], 0)
+        loop, edge = spread(n)
+        if not len(loop):
+            continue
+        first = starts[:-1][s][loop]
+        a = loops[first + edge]
+        u = loops[first + (edge + 1) % n[loop]] - a
+        u = u / np.maximum(np.hypot(u[:, 0], u[:, 1]), 1e-300)[:, None]
+        pair, vertex = spread(n[loop])
+        rel = loops[first[pair] + vertex] - a[pair]
+        along, across = _dot(rel, u[pair]), _cross(u[pair], rel)
+        at = np.cumsum(n[loop]) - n[loop]
+        w = np.maximum.reduceat(along, at) - np.minimum.reduceat(along, at)
+        h = np.maximum.reduceat(across, at) - np.minimum.reduceat(across, at)
+        best = np.lexsort((edge, w * h, loop))
+        best = best[np.r_[True, np.diff(loop[best]) != 0]]
+        rows = np.arange(len(sizes))[s][loop[best]]
+        out[rows] = np.sort(np.column_stack([w[best], h[best]]), axis=1)
+    return out
+
+
+def convex_rings(flat: Flat) -> np.ndarray:
+    """Which rings turn one way only, and just once around."""
+    n_rings = len(flat.ring_start) - 1
+    n = np.maximum(np.diff(flat.ring_start) - 1, 0)
+    ring, pos = spread(n)
+    first = flat.ring_start[ring]
+    a = flat.xy[first + pos]
+    d = flat.xy[first + (pos + 1) % n[ring]] - a
+    e = flat.xy[first + (pos + 2) % n[ring]] - flat.xy[first + (pos + 1) % n[ring]]
+    turn = np.arctan2(_cross(d, e), _dot(d, e))
+    moving = (d != 0).any(axis=1) & (e != 0).any(axis=1)
+    left = np.bincount(ring, moving & (turn > 0), n_rings) > 0
+    right = np.bincount(ring, moving & (turn < 0), n_rings) > 0
+    still = np.bincount(ring, ~moving, n_rings) > 0
+    once = np.abs(np.abs(np.bincount(ring, turn, n_rings)) - 2 * np.pi) < 1e-6
+    return (n >= 3) & once & (left != right) & ~still
 
 
 def clip_ring(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
