@@ -131,10 +131,12 @@ def replace_view(df: DataFrame, name: str) -> DataFrame:
 def write_by_area(df: DataFrame, path: str, area: str = AREA) -> None:
     """Parquet with one folder per area; only the areas in `df` are replaced.
 
-    Rows are spread by area and a salt, so that a large area is written by many tasks.
+    Rows are spread by area and a salt, so that a large area is written by many tasks. The salt
+    is a hash of the row: a retried task deals out its rows in the same way.
     """
     require(df, area)
-    salted = df.repartition(F.col(area), F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted = df.repartition(F.col(area), F.pmod(F.xxhash64(*hashed), F.lit(16)))
     salted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(area).parquet(path)
 
 
