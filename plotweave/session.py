@@ -42,6 +42,9 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in _RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # the cluster default only makes empty tasks on one machine
+        spark.conf.set("spark.sql.shuffle.partitions", str(parallelism(spark)))
     ship(spark)
     return spark
 
