@@ -236,7 +236,7 @@ ORACLES["background_cluster"] = f"with {SOFT_Y}, {HARD_Y} select community from
 ORACLES["community_explode"] = f"""with {BUILDING}, {SOFT_Y}, {HARD_Y}
 select unnest(string_split(rnb_id, '/')) as id_bat, community from v_building join hy on id = building"""
 ORACLES["membership_usage"] = f"with {SOFT_Y} select cast(k as int) as k, round(avg(p), 6) as usage from sy group by k"
-ORACLES["prune_mask"] = f"""with {soft('sn', 'nation', 'n_nationkey', K_Y)}, u as (select k, avg(p) as usage from sn group by k),
+ORACLES["prune_mask"] = f"""with {soft('sn', 'customer', 'c_custkey', K_Y)}, u as (select k, avg(p) as usage from sn group by k),
  r as (select *, row_number() over (order by usage desc, k) as r, (select count(*) from u where usage > 0.2) as passed from u)
 select cast(k as int) as k, round(usage, 6) as usage, usage > 0.2 or (passed < 2 and r <= 2) as keep from r"""
 

@@ -395,7 +395,7 @@ def membership_usage(t: Tables) -> DataFrame:
 
 @query
 def prune_mask(t: Tables) -> DataFrame:
-    usage = propagate.membership_usage(soft(t.nation, "n_nationkey", K_Y), K_Y)
+    usage = propagate.membership_usage(soft(t.customer, "c_custkey", K_Y), K_Y)
     return tri.prune_mask(usage, min_usage=0.2).withColumn("usage", rounded(F.col("usage")))
 
 
