@@ -50,7 +50,7 @@ _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _LEAD = (np.arange(256) & 0xC0) != 0x80
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
-_MARK = np.isin(np.arange(256), list(b"!?\"'()[]{}=+_^~`@/\;:"))
+_MARK = np.isin(np.arange(256), list(b"!?\"'()[]{}=+_^~`@/\\;:"))
 _OTHER = np.arange(256) >= 0xC0
 
 

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from plotweave.llm.chat_format import op10_chat_format
+from plotweave.llm.decontaminate import OP9_SQL, op9_decontamination
+from plotweave.llm.mixing import OP1_SQL, op1_source_mix
+from plotweave.llm.personal_data import op7_personal_data
+from plotweave.llm.quality_model import op6_quality_model
 from plotweave.llm.quality_rules import op2_quality_rules
+from plotweave.llm.url_filter import op4_url_filter
 
 QUERIES = {
+    "op1_source_mix": op1_source_mix,
     "op2_quality_rules": op2_quality_rules,
+    "op4_url_filter": op4_url_filter,
+    "op6_quality_model": op6_quality_model,
+    "op7_personal_data": op7_personal_data,
+    "op9_decontamination": op9_decontamination,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_source_mix": OP1_SQL,
+    "op9_decontamination": OP9_SQL,
+}
