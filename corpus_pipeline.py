@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plotweave.llm.decontaminate import decontamination_stage
+from plotweave.llm.mixing import mixing_stage
+from plotweave.llm.near_copies import near_copy_stage
 from plotweave.llm.quality_rules import quality_stage
+from plotweave.llm.token_files import token_stage
 from plotweave.session import cut
 
 STAGES = [
     ("quality rules", quality_stage),
+    ("near-copy classes", near_copy_stage),
+    ("decontamination", decontamination_stage),
+    ("source mixing", mixing_stage),
+    ("token files", token_stage),
 ]
 
 # The quality model and the approximate candidate search have no counterpart in SQL.
