@@ -61,11 +61,16 @@ def clip(df: DataFrame, boundary: list[list[np.ndarray]], polygons: str = "polyg
 
         return spread(df).withColumn(polygons, cut_by_loop(F.col(polygons))).filter(F.size(polygons) > 0)
 
+    # each polygon is tested on its own, as parts may overlap or come twice
+    edges = [segments(flatten(nest_lists([[p]]))) for p in boundary]
+
     @F.arrow_udf(T.BooleanType())
     def centre_inside(column: pa.Array) -> pa.Array:
         centre = measures(flatten(column))[:, 2:]
-        rings = flatten(nest_lists([boundary]))
-        segs = segments(rings)
-        return pa.array(inside(centre[:, 0], centre[:, 1], segs, np.zeros(len(centre), int)))
+        nothing = np.zeros(len(centre), int)
+        held = np.zeros(len(centre), bool)
+        for own in edges:
+            held |= inside(centre[:, 0], centre[:, 1], own, nothing)
+        return pa.array(held)
 
     return df.filter(centre_inside(F.col(polygons)))

@@ -12,7 +12,6 @@ from plotweave.functions.vectors import argmax
 from plotweave.operators.ranks import exact_median
 
 CRASH_SCORE = -1e6
-STARTUP_TRIALS = 10
 
 # The two search spaces. ("log" | "uniform", low, high) or ("choice", values).
 SPACE_V1 = {

@@ -10,9 +10,9 @@ from plotweave.functions.clean import pad_code
 NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script>"
 ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']"""
 
-# The archive names of the topographic releases.
-ARCHIVE_PARTS = ("BDTOPO", "TOUSTHEMES_GPKG_LAMB93_D")
-ARCHIVE_PATTERN = r"BDTOPO_\d-\d_TOUSTHEMES_GPKG_LAMB93_D\d{3}_\d{4}-\d{2}-\d{2}\.7z$"
+# Name of an archive of the topographic database, with its area (three digits, or two and a
+# letter for the two halves of Corsica) and its release date.
+ARCHIVE = r"BDTOPO_[0-9]-[0-9]_TOUSTHEMES_GPKG_LAMB93_D([0-9]{2}[0-9AB])_([0-9]{4}-[0-9]{2}-[0-9]{2})\.7z$"
 
 
 def absolute(href: Column, base: Column) -> Column:
@@ -30,25 +30,22 @@ def absolute(href: Column, base: Column) -> Column:
     )
 
 
-def page_links(pages: DataFrame, pattern: str, containing: tuple[str, ...] = (), base: Column | None = None) -> DataFrame:
-    """Distinct absolute links `url` in order, whose `href` matches the pattern and holds all parts."""
+def page_links(pages: DataFrame, pattern: str = "", base: Column | None = None) -> DataFrame:
+    """Distinct absolute links `url` in order, whose `href` matches the pattern."""
     markup = F.regexp_replace(F.col("html"), NOT_MARKUP, " ")
     found = pages.select(
         F.explode(F.regexp_extract_all(markup, F.lit(ANCHOR), F.lit(1))).alias("raw"), (base if base is not None else F.col("url")).alias("base")
     ).withColumn("href", F.replace(F.trim("raw"), F.lit("&amp;"), F.lit("&")))
-    keep = F.col("href").rlike(pattern)
-    for part in containing:
-        keep = keep & F.col("href").contains(part)
-    return found.filter(keep).select(absolute(F.col("href"), F.col("base")).alias("url")).distinct().orderBy("url")
+    return found.filter(F.col("href").rlike(pattern)).select(absolute(F.col("href"), F.col("base")).alias("url")).distinct().orderBy("url")
 
 
 def archive_links(pages: DataFrame, date: str) -> DataFrame:
-    """Links to the archives of one release date."""
-    return page_links(pages, ARCHIVE_PATTERN, (*ARCHIVE_PARTS, date))
+    """`(url, tag)` of the archives of one release; `date` may be a year or a month only."""
+    named = page_links(pages, ARCHIVE).withColumn("tag", F.regexp_extract("url", ARCHIVE, 1))
+    return named.filter(F.regexp_extract("url", ARCHIVE, 2).startswith(date))
 
 
 def pick_by_area(links: DataFrame, areas: DataFrame, area: str = "dep") -> DataFrame:
-    """`(dep, url)`: the first link per area by its tag `_Dnnn_`; letters in a code are kept."""
-    tag = F.regexp_extract("url", r"_D([0-9A-Z]{3})_", 1)
-    first = links.select(tag.alias("_tag"), "url").filter("_tag <> ''").groupBy("_tag").agg(F.min("url").alias("url"))
+    """`(dep, url)`: the first link per area, by the area tag of the archives."""
+    first = links.groupBy(F.col("tag").alias("_tag")).agg(F.min("url").alias("url"))
     return areas.select(area, pad_code(F.col(area), 3).alias("_tag")).distinct().join(first, "_tag").select(area, "url")

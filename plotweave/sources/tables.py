@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plotweave.functions.clean import pad_code, require
@@ -15,9 +17,6 @@ from plotweave.functions.project import reproject
 
 AREA = "dep"
 
-# The 96 area codes of a full ingest (Corsica is split in two).
-AREA_CODES = tuple(f"{i:02d}" for i in range(1, 20)) + ("2A", "2B") + tuple(f"{i:02d}" for i in range(21, 96))
-
 # --- reading -------------------------------------------------------------------------------
 
 
@@ -34,15 +33,43 @@ def read_geo_table(spark: SparkSession, path: str, srid: int, geometry: str = "g
     return df.withColumn("polygons", reproject(from_wkb(F.col(geometry)), srid)).drop(geometry)
 
 
+def _typed(schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+
+def _headers(spark: SparkSession, path: str, sep: str) -> dict[tuple[str, ...], list[str]]:
+    """Files below `path` by their header; reads the first line of each file only."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        line = spark.read.text(file).limit(1).collect()
+        if line:
+            names = next(csv.reader([line[0]["value"].lstrip("\ufeff").rstrip("\r")], delimiter=sep))
+            found.setdefault(tuple(names), []).append(file)
+    return found
+
+
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ";", partitions: int | None = None
 ) -> DataFrame:
-    """Delimited text with a header. A gzip file is one split, so it is spread out on request.
+    """Delimited text with a header; columns are found by name in each file, whatever their order.
 
-    Without a schema the types are inferred, which reads the text twice.
+    Files that share a header are read together, and only the columns of `schema` are parsed; a name
+    that a file lacks is an error. Without a schema the types are inferred, which reads the text twice.
+    Quoted cells may hold line breaks. A gzip file is one split, so it is spread out on request.
     """
-    reader = spark.read.option("sep", sep).option("header", "true").option("quote", '"').option("escape", '"')
-    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", "true").csv(path)
+    reader = lambda: spark.read.option("sep", sep).option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true")
+    if schema is None:
+        df = reader().option("inferSchema", "true").csv(path)
+        return df.repartition(partitions) if partitions else df
+    wanted = _typed(schema)
+    df = spark.createDataFrame([], wanted)
+    for names, files in _headers(spark, path, sep).items():
+        missing = [n for n in wanted.names if n not in names]
+        if missing:
+            raise ValueError(f"{files[0]} lacks columns {missing}; found {list(names)}")
+        types = {f.name: f.dataType for f in wanted}
+        own = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        df = df.union(reader().schema(own).csv(files).select(*[F.col(f"`{n}`") for n in wanted.names]))
     return df.repartition(partitions) if partitions else df
 
 
@@ -52,46 +79,41 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("id_bat").cast("string").alias("id_bat"), F.col("community").cast("int").alias("community"))
 
 
-def _unzip_lines(chunk: int):
-    def lines(frames):
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(archive.namelist()[0]) as entry:
-                    text = io.TextIOWrapper(entry, encoding="utf-8-sig", newline="")
-                    part, quotes, record = [], 0, ""
-                    for line in text:
-                        # a quoted cell may hold line breaks: a record ends where quotes balance
-                        record += line
-                        quotes += line.count('"')
-                        if quotes % 2:
-                            continue
-                        part.append(record.rstrip("\r\n"))
-                        record, quotes = "", 0
-                        if len(part) == chunk:
-                            yield pd.DataFrame({"path": path, "line": part})
-                            part = []
-                    if record:
-                        part.append(record.rstrip("\r\n"))
-                    yield pd.DataFrame({"path": path, "line": part})
-
-    return lines
+def _unzipped(names: list[str], sep: str, chunk: int):
+    """Cells of the named columns of zipped text, a chunk of records at a time."""
+
+    def records(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive, archive.open(archive.namelist()[0]) as entry:
+                    rows = csv.reader(io.TextIOWrapper(entry, encoding="utf-8-sig", newline=""), delimiter=sep)
+                    header = next(rows, None)
+                    if header is None:
+                        continue
+                    missing = [n for n in names if n not in header]
+                    if missing:
+                        raise ValueError(f"{path} lacks columns {missing}; found {header}")
+                    places = [header.index(n) for n in names]
+                    while part := list(itertools.islice(rows, chunk)):
+                        cells = [[r[p] or None if p < len(r) else None for r in part if r] for p in places]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cells], names)
+
+    return records
 
 
 def read_zipped(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ";", partitions: int | None = None) -> DataFrame:
-    """Delimited text inside zip files, first entry of each; columns in the order of `schema`.
+    """Delimited text inside zip files, first entry of each; columns are found by name in each file.
 
-    The archives are streamed line by line, so a task holds a compressed file and one chunk.
+    The archives are streamed record by record, so a task holds a compressed file and one chunk. An
+    empty cell is NULL, and so is a cell that does not fit its type.
     """
+    wanted = _typed(schema)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    lines = files.mapInPandas(_unzip_lines(20_000), "path string, line string")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in wanted.names])
+    cells = files.mapInArrow(_unzipped(wanted.names, sep, 20_000), text)
     if partitions:
-        lines = lines.repartition(partitions)
-    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    header = sep.join(kind.names)
-    plain = F.regexp_replace(F.col("line"), '"', "")
-    rows = lines.filter((plain != header) & (F.length("line") > 0))
-    parsed = rows.select(F.from_csv("line", kind.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": '"', "escape": '"'}).alias("r"))
-    return parsed.select("r.*")
+        cells = cells.repartition(partitions)
+    return cells.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 # --- discovery -----------------------------------------------------------------------------
@@ -115,29 +137,30 @@ def first_file(spark: SparkSession, root: str, suffix: str, containing: str = ""
 # --- writing -------------------------------------------------------------------------------
 
 
+# Which layer comes before.
+LAYERS = {"intrants": "raw", "graphs": "intrants"}
+
+
 def layer_root(root: str, layer: str) -> str:
-    """Root of the next layer: `.../raw` -> `.../intrants` -> `.../graphs`."""
-    before = {"intrants": "/raw", "graphs": "/intrants"}[layer]
-    root = root.rstrip("/")
-    return root.replace(before, f"/{layer}") if before in root else f"{root}/{layer}"
+    """Folder of the next layer: beside a folder named as the layer before, else inside `root`."""
+    parent, _, name = root.rstrip("/").rpartition("/")
+    return f"{parent}/{layer}" if parent and name == LAYERS[layer] else f"{root.rstrip('/')}/{layer}"
 
 
-def replace_view(df: DataFrame, name: str) -> DataFrame:
-    """Create or replace a table from a query."""
-    df.createOrReplaceTempView(name)
-    return df
+def replace_table(df: DataFrame, name: str) -> None:
+    """Create or replace a stored table of the session's catalog from a query, in one write."""
+    df.write.mode("overwrite").saveAsTable(name)
 
 
 def write_by_area(df: DataFrame, path: str, area: str = AREA) -> None:
     """Parquet with one folder per area; only the areas in `df` are replaced.
 
-    Rows are spread by area and a salt, so that a large area is written by many tasks. The salt
-    is a hash of the row: a retried task deals out its rows in the same way.
+    Rows are brought together by area; Spark splits the areas that are too large for one task by
+    their bytes, so a large area has many files of even size and a small one has one.
     """
     require(df, area)
-    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    salted = df.repartition(F.col(area), F.pmod(F.xxhash64(*hashed), F.lit(16)))
-    salted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(area).parquet(path)
+    dealt = df.hint("rebalance", area)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(area).parquet(path)
 
 
 def write_geo_by_area(df: DataFrame, path: str, area: str = AREA, polygons: str = "polygons") -> None:

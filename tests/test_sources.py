@@ -46,7 +46,6 @@ def test_cleaning_helpers(spark):
     assert [r[0] for r in years.select(clean.decade_label(F.col("y"))).collect()] == ["Inconnu", "dec_1800", "dec_1800", "dec_1810", "dec_2020", "Inconnu", "Inconnu"]
     codes = spark.createDataFrame([("1",), ("2A",), ("971",)], "d string")
     assert [r[0] for r in codes.select(clean.pad_code(F.col("d"))).collect()] == ["01", "2A", "971"]
-    assert len(tables.AREA_CODES) == 96 and "20" not in tables.AREA_CODES
     first = clean.first_per_key(spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, None, 1)], "k long, v string, w int"), "k", "v")
     assert {tuple(r) for r in first.collect()} == {(1, "a", 9), (2, None, 1)}
 
@@ -113,12 +112,14 @@ def test_area_layout_manifest_and_roots(spark, tmp_path):
     tables.write_manifest(counts, str(tmp_path / "meta"))
     assert spark.read.json(str(tmp_path / "meta")).count() == 2
     assert tables.layer_root("s3a://b/x/raw", "intrants") == "s3a://b/x/intrants" and tables.layer_root("/data/", "graphs") == "/data/graphs"
+    assert tables.layer_root("s3://b/rawdata/raw", "intrants") == "s3://b/rawdata/intrants" and tables.layer_root("/raw/x", "intrants") == "/raw/x/intrants"
     assert tables.first_file(spark, path, ".parquet").endswith(".parquet")
     with pytest.raises(FileNotFoundError):
         tables.first_file(spark, path, ".gpkg")
-    tables.replace_view(df, "ban_view")
-    tables.replace_view(df.limit(1), "ban_view")
-    assert spark.table("ban_view").count() == 1
+    tables.replace_table(df, "ban_table")
+    tables.replace_table(df.limit(1), "ban_table")
+    assert spark.table("ban_table").count() == 1
+    spark.sql("drop table ban_table")
     labels = spark.createDataFrame([("007", 3)], "id_bat string, community int")
     tables.write_labels(labels, str(tmp_path / "labels"))
     assert [tuple(r) for r in tables.read_labels(spark, str(tmp_path / "labels")).collect()] == [("007", 3)]
@@ -142,8 +143,39 @@ def test_stream_ingest_takes_each_file_once(spark, tmp_path):
     (tmp_path / "in" / "b.csv").write_text("dep;id\n2A;c\n1;late\n")
     run()
     run()
-    back = spark.read.schema("id string, dep string").parquet(target)
-    assert sorted(tuple(r) for r in back.select("dep", "id").collect()) == [("01", "a"), ("01", "b"), ("2A", "c")]
+    back = spark.read.schema("id string, dep string, batch long").parquet(target)
+    assert sorted(tuple(r) for r in back.select("dep", "id").collect()) == [("01", "a"), ("01", "b"), ("01", "late"), ("2A", "c")]
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    """Files whose columns stand in another order than the schema, and in different orders."""
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text('\ufefflat;x;id;lon\n48.5;u;A1;2.1\n')
+    (tmp_path / "csv" / "b.csv").write_text('id;lon;lat\n"A;2";2.2;48.6\nid;1;2\n')
+    got = tables.read_delimited(spark, str(tmp_path / "csv"), "id string, lon double, lat double").collect()
+    assert sorted(tuple(r) for r in got) == [("A1", 2.1, 48.5), ("A;2", 2.2, 48.6), ("id", 1.0, 2.0)]
+    with pytest.raises(ValueError, match="lacks columns"):
+        tables.read_delimited(spark, str(tmp_path / "csv"), "id string, height double")
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("r.csv", "plots;n;rnb_id\npp;4;B1\nplots;x;rnb_id\n")
+    zipped = tables.read_zipped(spark, str(tmp_path / "r.zip"), "rnb_id string, plots string, n int").collect()
+    assert [tuple(r) for r in zipped] == [("B1", "pp", 4), ("rnb_id", "plots", None)]
+
+
+def test_archives_of_all_areas(spark):
+    name = "BDTOPO_3-5_TOUSTHEMES_GPKG_LAMB93_D{}_2025-09-15.7z"
+    html = "".join(f'<a href="/f/{name.format(a)}">x</a>' for a in ("02A", "02B", "075", "971")) + '<a href="/f/BDTOPO_3-5_TOUSTHEMES_GPKG_LAMB93_D075_2024-09-15.7z">old</a>'
+    df = spark.createDataFrame([("https://h.org/x", html)], "url string, html string")
+    areas = spark.createDataFrame([("2A",), ("75",), ("2B",), ("33",)], "dep string")
+    got = {tuple(r) for r in pages.pick_by_area(pages.archive_links(df, "2025-09"), areas).collect()}
+    assert got == {(a, f"https://h.org/f/{name.format(a.zfill(3))}") for a in ("2A", "75", "2B")}
+
+
+def test_ties_do_not_depend_on_arrival(spark):
+    rows = [("r", "c", float(h), [h]) for h in (7, 3, 9, 5)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "id string, c string, h double, a array<int>").repartition(3)
+        assert [tuple(r) for r in clean.first_per_key(df, "id", "c").collect()] == [("r", "c", 3.0, [3])]
 
 
 def test_page_links_resolve_and_skip_comments(spark):
