@@ -155,13 +155,13 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 def find_personal_data(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """`columns` of `docs` and the array `spans` of `(kind, start, end, score)`."""
     ship(docs.sparkSession)
-    read = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("_text"))
+    read = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(columns)], F.col(f"`{text}`").alias("_text"))
     width = len(columns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = [[s._asdict() for s in spans_of(t.as_py())] for t in b.column(width)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(spans, _ARROW)], [*b.schema.names[:width], "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(spans, _ARROW)], [*columns, "spans"])
 
     return read.mapInArrow(scan, T.StructType([*[docs.schema[c] for c in columns], T.StructField("spans", SPANS)]))
 

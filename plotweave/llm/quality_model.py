@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    read = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text"))
+    read = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(columns)], F.col("text").alias("_text"))
     width = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             for first, past, t in slices(b.column(width)):
                 part = b.slice(first, past - first)
                 chance = own.probability(pooled(t, own.table, index))
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(chance.astype(float))], [*part.schema.names[:width], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(chance.astype(float))], [*columns, "score"])
 
     return read.mapInArrow(run, T.StructType([*[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType())]))
 

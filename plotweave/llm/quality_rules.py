@@ -152,7 +152,7 @@ def judge(docs: DataFrame, forest: Forest, columns: list[str], threshold: float
     Otherwise the counts, `base_failed`, `quality` (the trees' chance) and `kept` are added.
     """
     ship(docs.sparkSession)
-    read = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text"))
+    read = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(columns)], F.col("text").alias("_text"))
     width = len(columns)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +164,10 @@ def judge(docs: DataFrame, forest: Forest, columns: list[str], threshold: float
                 kept = ~failed & (chance >= threshold)
                 part = b.slice(first, past - first)
                 if only_kept:
-                    yield pa.RecordBatch.from_arrays(part.columns[:width], part.schema.names[:width]).filter(pa.array(kept))
+                    yield pa.RecordBatch.from_arrays(part.columns[:width], columns).filter(pa.array(kept))
                     continue
                 more = [pa.array(base[c], pa.int64()) for c in BASE] + [pa.array(failed), pa.array(chance), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], *more], [*part.schema.names[:width], *BASE, "base_failed", "quality", "kept"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *more], [*columns, *BASE, "base_failed", "quality", "kept"])
 
     fields = [docs.schema[c] for c in columns]
     if not only_kept:

@@ -1,0 +1,183 @@
+"""Parts of the operators: coder, trees, alignment, words, tokens, and the pipeline as a whole."""
+
+import os
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from plotweave.llm import boosting, chat_format, mixing_coder, near_copies, personal_data, textarrays, token_files
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 40), st.integers(0, 65535)), max_size=300), max_size=6))
+def test_coder_gives_back_any_ids(blocks):
+    arrays = [np.array(b, np.uint32) for b in blocks]
+    coded = mixing_coder.encode_blocks(arrays)
+    for a, b in zip(arrays, mixing_coder.decode_blocks(coded, [len(a) for a in arrays])):
+        assert a.tolist() == b.tolist()
+
+
+def test_coder_resets_and_packs():
+    ids = np.tile(np.arange(50, dtype=np.uint32), 80)[:4000]
+    alone = mixing_coder.encode_blocks([ids])[0]
+    assert alone == mixing_coder.encode_blocks([np.arange(9, dtype=np.uint32), ids, ids[:5]])[1]
+    assert len(alone) < len(ids) / 2
+
+
+def test_damage_is_seen():
+    ids = np.arange(100, dtype=np.uint32)
+    frame = token_files.pack_frame(np.array([7]), np.array([False]), np.array([100]), [ids], mixing_coder.encode_blocks([ids]))
+    assert next(token_files.unpack_many([frame]))[3].tolist() == ids.tolist()
+    with pytest.raises(ValueError):
+        next(token_files.unpack_many([frame[:60] + bytes([frame[60] ^ 1]) + frame[61:]]))
+
+
+def test_trees_learn_and_stay_monotone():
+    random = np.random.default_rng(3)
+    x = random.random((3000, 3))
+    y = ((x[:, 0] + 0.3 * np.sin(9 * x[:, 0]) > 0.6) | (x[:, 1] > 0.9)).astype(float)
+    forest = boosting.fit_forest(x, y, [1, 0, 0])
+    assert ((forest.probability(x) > 0.5) == y).mean() > 0.95
+    grid = np.repeat(random.random((50, 3)), 40, axis=0)
+    grid[:, 0] = np.tile(np.linspace(0, 1, 40), 50)
+    assert (np.diff(forest.margin(grid).reshape(50, 40), axis=1) >= -1e-12).all()
+    falling = boosting.fit_forest(x, y, [-1, 0, 0])
+    assert (np.diff(falling.margin(grid).reshape(50, 40), axis=1) <= 1e-12).all()
+
+
+def test_trees_as_sql(spark):
+    random = np.random.default_rng(5)
+    x = random.random((500, 2))
+    forest = boosting.fit_forest(x, (x[:, 0] > x[:, 1]).astype(float), trees=5, depth=3)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x[:60])], "i int, a double, b double")
+    got = df.selectExpr("i", " + ".join(["0D", *forest.sql(["a", "b"])]) + f" + {forest.base!r}D AS m").orderBy("i").toPandas()["m"]
+    assert np.allclose(got, forest.margin(x[:60]))
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 6), max_size=40), st.lists(st.integers(0, 6), max_size=40)), max_size=8), st.sampled_from([0.2, 0.5, 0.8]))
+def test_banded_distances_are_edit_distances(pairs, share):
+    got = near_copies.edit_distances([(np.array(a, np.uint32), np.array(b, np.uint32)) for a, b in pairs], share)
+    for (a, b), d in zip(pairs, got):
+        true = _distance(a, b)
+        assert d == (true if true <= int((1 - share) * max(len(a), len(b)) + 1e-9) else -1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\t\x0b\x1c\u00e9\u3000\U0001f600", max_size=30), max_size=8))
+def test_words_and_lines_of_arrays(texts):
+    for first, past, t in textarrays.slices(pa.array(texts, pa.string()), 16):
+        start, end, at = t.words()
+        line_start, line_end, line_at = t.lines()
+        h = textarrays.span_hashes(t.data, start, end)
+        spoken = {}
+        for k, text in enumerate(texts[first:past]):
+            words = [bytes(t.data[a:b]).decode() for a, b in zip(start[at[k] : at[k + 1]], end[at[k] : at[k + 1]])]
+            assert words == re.findall(r"[^\x20\x09-\x0D]+", text)
+            assert [bytes(t.data[a:b]).decode() for a, b in zip(line_start[line_at[k] : line_at[k + 1]], line_end[line_at[k] : line_at[k + 1]])] == text.split("\n")
+            for w, v in zip(words, h[at[k] : at[k + 1]]):
+                assert spoken.setdefault(w, v) == v
+        assert len(set(spoken.values())) == len(spoken)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="ab1. \n\t\u00a0\u00e9\u3000'<|endoftext|>\U0001f600", max_size=40), max_size=6))
+def test_pieces_give_the_ids_of_whole_texts(texts):
+    import public_tokenizers
+    from plotweave.llm.tokens import Encoder
+
+    for specials in (False, True):
+        coder = _coders.setdefault(specials, Encoder(public_tokenizers.path("byte_bpe_50k.json"), specials))
+        ids, border = coder.encode(texts)
+        for k, e in enumerate(coder._library.encode_batch(texts, add_special_tokens=False)):
+            assert ids[border[k] : border[k + 1]].tolist() == e.ids
+
+
+_coders: dict = {}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="\\#/<>turn \n", max_size=40))
+def test_escapes_are_reversible(text):
+    out = chat_format.escape(text)
+    assert chat_format.unescape(out) == text
+    bare = re.sub(r"\\.", "", out, flags=re.DOTALL)
+    assert "</turn>" not in bare and "### " not in bare
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab@.-_1", max_size=30))
+def test_addresses_are_leftmost_matches(text):
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(s.start, s.end) for s in personal_data.spans_of(text) if s.kind == "email"] == want
+
+
+def test_sketches_of_similar_texts_meet():
+    random = np.random.default_rng(9)
+    met = 0
+    for _ in range(60):
+        words = random.integers(0, 10**6, 300)
+        edited = words.copy()
+        edited[random.choice(300, 6, replace=False)] += 10**6
+        texts = pa.array([" ".join(map(str, words)), " ".join(map(str, edited))])
+        _, keys = near_copies.sketch_keys(next(textarrays.slices(texts))[2])
+        met += bool(set(keys[0]) & set(keys[1]))
+    assert met == 60
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
+def test_pipeline_stage_by_stage(spark):
+    import corpus_pipeline
+    from plotweave.llm import decontaminate, mixing, quality_rules
+    from plotweave.session import cut
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    kept = cut(stages["quality rules"](spark, docs, SMALL))
+    verdicts = quality_rules.op2_quality_rules(spark, SMALL).toPandas()
+    assert kept.columns == columns
+    assert {r["doc_id"] for r in kept.collect()} == set(verdicts[verdicts["kept"]]["doc_id"])
+
+    single = cut(stages["near-copy classes"](spark, kept, SMALL))
+    classes = near_copies.near_copies(kept).toPandas()
+    assert single.columns == columns
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(classes["class_id"].unique())
+
+    clean = cut(stages["decontamination"](spark, single, SMALL))
+    held = decontaminate.contained_items(single, spark.read.parquet(f"{SMALL}/benchmark.parquet")).toPandas()
+    assert clean.columns == columns
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect()} - set(held["doc_id"])
+
+    mixed = cut(stages["source mixing"](spark, clean, SMALL))
+    plan = {r["doc_id"]: len(r["positions"]) for r in mixing.curriculum(clean).collect()}
+    counts = mixed.groupBy("doc_id").count().toPandas()
+    assert mixed.columns == columns
+    assert dict(zip(counts["doc_id"], counts["count"])) == {k: n for k, n in plan.items() if n}
+    order = [r["position"] for r in mixing.training_order(clean).collect()]
+    assert order == sorted(order)
+
+    written = stages["token files"](spark, mixed, SMALL).toPandas()
+    assert sorted(written["doc_id"]) == sorted(r["doc_id"] for r in mixed.collect())
+
+
+def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+    from tests.llm import tables
+
+    assert corpus_pipeline.run(spark, tables.write(str(tmp_path / "empty"), empty=True)).count() == 0
+    assert corpus_pipeline.run(spark, tables.write(str(tmp_path / "awkward"), clashing=True)).count() > 0
