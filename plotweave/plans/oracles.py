@@ -66,12 +66,19 @@ ORACLES: dict[str, str] = {}
 ORACLES["page_links"] = r"""
 with t as (select url, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>', ' ', 'g') as html from pages),
  h as (select url, replace(trim(unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["'']([^"'']*)["'']', 1))), '&amp;', '&') as href from t)
-select distinct concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), href) as url from h where regexp_matches(href, '^/[A-Za-z]+$')"""
+select distinct case when starts_with(href, 'http') then href
+  when starts_with(href, '//') then concat(regexp_extract(url, '^(https?:)', 1), href)
+  when starts_with(href, '/') then concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), href)
+  when starts_with(href, '#') or starts_with(href, '?') then concat(regexp_replace(url, '[?#].*$', ''), href)
+  when regexp_replace(url, '[?#].*$', '') = regexp_extract(url, '^(https?://[^/?#]+)', 1) then concat(regexp_replace(url, '[?#].*$', ''), '/', regexp_replace(href, '^(\./)+', ''))
+  else concat(regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', ''), regexp_replace(href, '^(\./)+', '')) end as url from h"""
 
 ORACLES["page_links_pick"] = """
-with l as (select concat('https://data.example.org/files/BDTOPO_3-', p_size % 10, '_TOUSTHEMES_GPKG_LAMB93_D', lpad(cast(p_partkey % 97 as varchar), 3, '0'),
-  '_2025-', lpad(cast(p_size % 12 + 1 as varchar), 2, '0'), '-15.7z') as url, p_partkey % 97 as area, p_size % 12 + 1 as month from part)
-select cast(n_nationkey as varchar) as dep, min(url) as url from nation join l on area = n_nationkey where month = 9 group by n_nationkey"""
+with l as (select concat('https://data.example.org/files/BDTOPO_3-', p_size % 10, '_TOUSTHEMES_GPKG_LAMB93_D', tag,
+  '_2025-', lpad(cast(p_size % 12 + 1 as varchar), 2, '0'), '-15.7z') as url, tag, p_size % 12 + 1 as month
+  from (select *, case p_partkey % 97 when 20 then '02A' when 21 then '02B' else lpad(cast(p_partkey % 97 as varchar), 3, '0') end as tag from part)),
+ a as (select case n_nationkey when 20 then '2A' when 21 then '2B' else cast(n_nationkey as varchar) end as dep from nation)
+select dep, min(url) as url from a join l on tag = lpad(dep, 3, '0') where month = 9 group by dep"""
 
 ORACLES["ingest_missing"] = """
 select distinct lpad(cast(c_nationkey as varchar), 2, '0') as dep from customer
@@ -88,10 +95,10 @@ ORACLES["links_ban"] = "select distinct concat('B', o_orderkey) as rnb_id, conca
 ORACLES["links_parcel"] = """select concat('B', l_orderkey) as rnb_id, concat('P', l_partkey) as parcelle_id, round(l_discount*10e0, 6) as cover_ratio
 from lineitem join orders on l_orderkey = o_orderkey"""
 ORACLES["links_bdnb"] = """select distinct concat('B', l_orderkey) as rnb_id, concat('C', l_suppkey) as batiment_construction_id
-from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1"""
+from lineitem join orders on l_orderkey = o_orderkey"""
 
 ORACLES["building_fusion"] = """
-with l as (select distinct l_orderkey, l_suppkey from lineitem where l_linenumber = 1)
+with l as (select distinct l_orderkey, l_suppkey from lineitem)
 select concat('B', o_orderkey) as rnb_id, case when l_suppkey is not null then concat('C', l_suppkey) end as batiment_construction_id,
   case when s_suppkey is not null then concat('G', s_nationkey) end as batiment_groupe_id,
   case when n_nationkey is not null then cast(1850 + n_nationkey*6 as varchar) end as ffo_bat_annee_construction, n_name as bdtopo_bat_l_usage_1,
@@ -330,3 +337,18 @@ select trial, min(step) as stop from b join m using (step) where step > 20 and t
 ORACLES["best_trial"] = """
 select c_custkey as trial, c_nationkey as clusters, score from (select *, round(case when c_custkey % 70 < 5 or c_custkey % 70 > 60 then c_acctbal - 1000 else c_acctbal end, 6)
   as score from customer) q order by score desc, c_custkey limit 1"""
+
+# --- end to end ----------------------------------------------------------------------------
+
+ORACLES["pipeline_graph"] = f"""with {TOUCH}, np as (select count(*) as n from part),
+ own as (select o_orderkey as b, o_orderkey % (select n from np) as p, case when o_orderkey % 3 = 0 and o_orderkey % (select n from np) + 1 < (select n from np) then 0.5e0 else 1e0 end as r from orders
+   union all select o_orderkey, o_orderkey % (select n from np) + 1, 0.25e0 from orders where o_orderkey % 3 = 0 and o_orderkey % (select n from np) + 1 < (select n from np)),
+ hop as (select src as p, dst as q, shared as w from v_touch union all select parcel, parcel, 1e0 from v_parcel),
+ pairs as (select x.b as src, y.b as dst, sum(hop.w) as w from own x join hop on hop.p = x.p join own y on y.p = hop.q where x.b <> y.b group by x.b, y.b)
+select 'address' as name, (select count(*) from customer) as n, 0e0 as w union all select 'building', (select count(*) from orders), 0e0
+union all select 'parcel', (select n from np), 0e0
+union all select 'address-access-building', count(*), cast(count(*) as double) from orders
+union all select 'building-belongs-parcel', count(*), round(sum(r), 4) from own
+union all select 'parcel-spatial-parcel', count(*), round(sum(shared), 4) from v_touch
+union all select 'address-spatial-address', 8*count(*), 0e0 from customer
+union all select 'building-spatial-building', count(*), round(sum(w), 4) from pairs"""

@@ -7,6 +7,7 @@ digits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -59,7 +60,12 @@ def soft_buildings(t: Tables) -> DataFrame:
 
 @query
 def page_links(t: Tables) -> DataFrame:
-    return html.page_links(t.pages, r"^/[A-Za-z]+$")
+    return html.page_links(t.pages)
+
+
+def _area_code(number: Column) -> Column:
+    """Areas 20 and 21 are the two halves of Corsica."""
+    return F.when(number == 20, "2A").when(number == 21, "2B").otherwise(number.cast("string"))
 
 
 def archive_pages(t: Tables) -> DataFrame:
@@ -67,7 +73,7 @@ def archive_pages(t: Tables) -> DataFrame:
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     href = F.concat(
         F.lit("/files/BDTOPO_3-"), (F.col("p_size") % 10).cast("string"), F.lit("_TOUSTHEMES_GPKG_LAMB93_D"),
-        F.lpad((F.col("p_partkey") % 97).cast("string"), 3, "0"), F.lit("_2025-"), two(F.col("p_size") % 12 + 1), F.lit("-15.7z"),
+        F.lpad(_area_code(F.col("p_partkey") % 97), 3, "0"), F.lit("_2025-"), two(F.col("p_size") % 12 + 1), F.lit("-15.7z"),
     )
     page = F.concat(F.lit('<p><!-- <a href="/old.7z"> --><a class="x" href="'), href, F.lit('">archive</a></p>'))
     return t.part.select(F.lit("https://data.example.org/topo").alias("url"), page.alias("html"))
@@ -75,7 +81,7 @@ def archive_pages(t: Tables) -> DataFrame:
 
 @query
 def page_links_pick(t: Tables) -> DataFrame:
-    areas = t.nation.select(F.col("n_nationkey").cast("string").alias("dep"))
+    areas = t.nation.select(_area_code(F.col("n_nationkey")).alias("dep"))
     return html.pick_by_area(html.archive_links(archive_pages(t), "2025-09"), areas)
 
 
@@ -573,19 +579,27 @@ def best_trial(t: Tables) -> DataFrame:
 
 
 def inputs_of(t: Tables) -> pipeline.Inputs:
+    """Raw sources in which a building stands on one or two touching parcels."""
     return pipeline.build_inputs(
-        raw.rnb(t), raw.building_layer(t), raw.constructions(t), raw.groups(t), raw.parcel_layer(t), t.zones(), raw.ban(t)
+        raw.rnb(t, local=True), raw.building_layer(t), raw.constructions(t), raw.groups(t), raw.parcel_layer(t), t.zones(), raw.ban(t)
     )
 
 
 @query
-def pipeline_parcels(t: Tables) -> DataFrame:
-    """Raw sources to parcel clusters: join, build the graph, encode, fit, propagate.
+def pipeline_graph(t: Tables) -> DataFrame:
+    """Edges and summed weights of the five relations, and the nodes, as built from the raw sources."""
+    graph = pipeline.build_graph(inputs_of(t)).graph
+    weight = lambda df: F.sum("w") if "w" in df.columns else F.lit(0.0)
+    rows = [df.agg(F.count("*").alias("n"), F.lit(0.0).alias("w")).select(F.lit(kind).alias("name"), "n", "w") for kind, df in graph.nodes.items()]
+    rows += [df.agg(F.count("*").alias("n"), rounded(weight(df), 4).alias("w")).select(F.lit("-".join(k)).alias("name"), "n", "w") for k, df in graph.edges.items()]
+    return reduce(DataFrame.union, rows)
 
-    The dual relation is left out: with every order on random parts it is nearly complete.
-    """
+
+@query
+def pipeline_parcels(t: Tables) -> DataFrame:
+    """Raw sources to parcel clusters: join, build the graph with all five relations, encode, fit, propagate."""
     found = inputs_of(t)
-    built = pipeline.build_graph(found, dual=False)
+    built = pipeline.build_graph(found)
     settings = Settings(clusters=(8, 8, 8), epochs=3, lr=0.01)
     probs, _ = pipeline.fit_communities(built, settings, width=16, hidden=16)
     return pipeline.export_tables(found, probs, 8).parcels.select("parcelle_id", "cluster")
