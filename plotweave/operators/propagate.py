@@ -32,6 +32,12 @@ def community_sizes(labels: DataFrame, community: str = "community") -> DataFram
     return labels.groupBy(community).agg(F.count("*").alias("n"))
 
 
+def community_summary(labels: DataFrame, community: str = "community") -> DataFrame:
+    """One row: clusters in use, and the least, median and largest number of members."""
+    sizes = community_sizes(labels, community)
+    return sizes.agg(F.count("*").alias("clusters"), F.min("n").alias("least"), F.median("n").alias("middle"), F.max("n").alias("most"))
+
+
 def membership_usage(memberships: DataFrame, width: int, probs: str = "probs") -> DataFrame:
     """Mean membership per cluster as `(k, usage)`."""
     wide = memberships.agg(*[F.avg(F.col(probs)[k]).alias(f"u{k}") for k in range(width)])

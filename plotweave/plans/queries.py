@@ -197,13 +197,6 @@ def fourier_features(t: Tables) -> DataFrame:
     return f.select("addr", *[rounded(F.col("f")[i]).alias(f"f{i}") for i in range(18)])
 
 
-@query
-def building_vectors(t: Tables) -> DataFrame:
-    rows = feature_rows(t)
-    density = knn.knn_density(t.buildings().select(F.col("building").alias("id"), "x0", "y0"), x="x0", y="y0")
-    return features.building_vectors(rows, density).select("id", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
-
-
 # --- geometry ------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plotweave.operators.fit import Blocks, Fit, Settings, fit_many, memberships
+from plotweave.operators.fit import BETA_STEP, GAMMA_STEP, Blocks, Fit, Settings, fit_many, memberships
 from plotweave.functions.vectors import argmax
 from plotweave.operators.ranks import exact_median
 
@@ -77,6 +77,17 @@ def settings_of(row, base: Settings) -> Settings:
     )
 
 
+def schedule_table(trials: DataFrame, epochs: int) -> DataFrame:
+    """`(trial, epoch, beta, gamma, prunes)` for epochs 1 to `epochs` of all trials: the rule of
+    `operators.fit.schedule` as columns, for settings drawn by `trial_space`."""
+    rows = trials.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    steps = F.floor((F.col("epoch") - 1) / F.col("anneal_step"))
+    beta = F.least(F.lit(2.0) + F.lit(BETA_STEP) * steps, F.greatest(F.col("beta_max"), F.lit(2.0)))
+    gamma = F.least(F.pow(F.lit(GAMMA_STEP), steps), F.greatest(F.col("gamma_max"), F.lit(1.0)))
+    prunes = (F.col("epoch") % F.col("prune_every") == 0) & (F.col("epoch") >= F.col("prune_delay_epoch"))
+    return rows.select("trial", "epoch", beta.alias("beta"), gamma.alias("gamma"), prunes.alias("prunes"))
+
+
 def score(q: Column, clusters: Column, version: int) -> Column:
     """Modularity with penalties for too few or too many clusters; no result scores a crash."""
     if version == 1:

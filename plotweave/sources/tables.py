@@ -107,8 +107,12 @@ def read_zipped(spark: SparkSession, path: str, schema: T.StructType | str, sep:
     The archives are streamed record by record, so a task holds a compressed file and one chunk. An
     empty cell is NULL, and so is a cell that does not fit its type.
     """
+    return unzip(spark.read.format("binaryFile").load(path).select("path", "content"), schema, sep, partitions)
+
+
+def unzip(files: DataFrame, schema: T.StructType | str, sep: str = ";", partitions: int | None = None) -> DataFrame:
+    """As `read_zipped`, for archives in a column: `(path, content)`."""
     wanted = _typed(schema)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     text = T.StructType([T.StructField(n, T.StringType()) for n in wanted.names])
     cells = files.mapInArrow(_unzipped(wanted.names, sep, 20_000), text)
     if partitions:
@@ -147,9 +151,11 @@ def layer_root(root: str, layer: str) -> str:
     return f"{parent}/{layer}" if parent and name == LAYERS[layer] else f"{root.rstrip('/')}/{layer}"
 
 
-def replace_table(df: DataFrame, name: str) -> None:
-    """Create or replace a stored table of the session's catalog from a query, in one write."""
-    df.write.mode("overwrite").saveAsTable(name)
+def replace_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Create or replace a stored table of the session's catalog from a query, in one write; its files
+    lie in the warehouse or at `path`."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def write_by_area(df: DataFrame, path: str, area: str = AREA) -> None:
