@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +19,6 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A byte limit is checked by measuring all nested vectors for each row, which costs more
-    # than the conversion itself. Batches stay bounded by rows, and those of packed blocks by
-    # the bytes of a file split.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(2**31 - 1),
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -49,6 +47,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def batches_by_rows(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches bounded by rows alone, for actions over tables of short vectors.
+
+    The byte limit is checked by measuring every nested vector of a row, which costs more than the
+    conversion itself. Only for rows of a known small size; the limit of the session returns behind it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Hand the package to the Python workers, whatever folder they start in."""
     context = spark.sparkContext
@@ -114,12 +128,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/plotweave-{label}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, all tables that `cut` writes inside.
+
+    Results that still read them must be written before. The files are deleted through the file system
+    of the shared folder, whatever store that is.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _scopes.pop():
+            place = hadoop.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once as a table in the shared folder and go on from the written files.
 
     Unlike cached blocks the files outlive a lost executor, and later readers still prune
-    columns.
+    columns. They stay until the enclosing `scratch_scope` ends, or for good without one.
     """
     path = scratch_path(df.sparkSession, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
