@@ -10,11 +10,14 @@ Two texts are linked if they share a bucket and 1 - d / (words of the longer tex
 the edit distance over words. The alignment is banded: its half width doubles until the distance fits into
 it or exceeds the limit, so close copies are cheap. Classes are the connected parts.
 
-Equal texts are one node from the start, whatever their number. In a bucket every node is first aligned
-with the bucket's least node only. After that, nodes in the same class need no further comparison; where a
-bucket still holds several classes, each node is aligned with the least node of every other class, and once
-that finds nothing new, with all nodes of other classes in the bucket, until no unaligned pair is left that
-could join two classes. So all links between classes are found, but pairs inside a class are never listed.
+Equal texts are one node from the start, whatever their number. In a bucket every node is aligned with
+the bucket's least node only, so the work is linear in its size. A bucket may also hold texts that are
+alike in a small part, such as a common passage; there the least node can be unlike two texts that are
+like each other. Buckets that still hold several classes are therefore cut finer and treated again: by
+bucket and length (equal words, and ranges of 4 and 16 words, each at two offsets) and by every two buckets
+that a node is in. This is repeated on what is still mixed until no link between classes is found. So
+nothing is capped, pairs inside a bucket are never listed, and a link is missed only if, in every group
+that two like texts of different classes share, the least node is unlike one of them.
 
 All steps are joins and grouped sums on narrow rows; AQE splits a bucket that holds very many nodes. Words
 of texts are read again only for texts that share a bucket.
@@ -254,6 +257,20 @@ def _verified(pairs: DataFrame, words: DataFrame, share: float) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+# Widths and offsets of the ranges of words that cut a mixed bucket.
+LENGTHS = ((1, 0), (4, 0), (4, 2), (16, 0), (16, 8))
+
+
+def _finer(members: DataFrame) -> DataFrame:
+    """`(group, node, n, class)`: nodes of mixed buckets by bucket and length, and by every two buckets."""
+    by_length = F.array(*[F.xxhash64("key", F.lit(w), F.floor((F.col("n") + o) / w)) for w, o in LENGTHS])
+    lengths = members.select(F.explode(by_length).alias("group"), "node", "n", "class")
+    # a node is in SKETCHES buckets at most
+    own = members.groupBy("node", "n", "class").agg(F.sort_array(F.collect_list("key")).alias("k")).filter(F.size("k") > 1)
+    two = F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, SKETCHES), lambda y: F.xxhash64(x, y)))
+    return lengths.union(own.select(F.explode(F.flatten(two)).alias("group"), "node", "n", "class"))
+
+
 def near_copies(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """`(doc_id, node, class, class_id)`: a row per document; a class is named by its least node and least id."""
     ship(docs.sparkSession)
@@ -275,29 +292,19 @@ def near_copies(docs: DataFrame, share: float = SHARE) -> DataFrame:
     pairs = cut(stars.select(F.col("least").alias("a"), F.col("node").alias("b")), "pairs")
     checked = pairs
     links = cut(_verified(pairs, words, share), "links")
-    whole = False
     while True:
         roots = cut(components(links), "classes")
         classed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
         mixed = classed.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
-        left = classed.join(mixed.select("key"), "key", "left_semi")
-        other = left if whole else left.groupBy("key", "class").agg(F.min_by(F.struct("node", "n"), "node").alias("_first")).select("key", "class", "_first.node", "_first.n")
-        met = left.join(other.select("key", F.col("class").alias("_oc"), F.col("node").alias("_on"), F.col("n").alias("_om")), "key")
-        met = met.filter((F.col("class") != F.col("_oc")) & fits(F.col("n"), F.col("_om")))
-        fresh = met.select(F.least("node", "_on").alias("a"), F.greatest("node", "_on").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        pairs = cut(fresh, "pairs")
-        if pairs.isEmpty():
-            if whole:
-                break
-            whole = True
-            continue
-        checked = checked.union(pairs)
+        groups = _finer(cut(classed.join(mixed.select("key"), "key", "left_semi"), "mixed"))
+        heads = groups.groupBy("group").agg(F.min(F.struct("node", "class", "n")).alias("_head"))
+        met = groups.join(heads, "group").filter((F.col("class") != F.col("_head.class")) & fits(F.col("n"), F.col("_head.n")))
+        fresh = met.select(F.least("node", "_head.node").alias("a"), F.greatest("node", "_head.node").alias("b")).distinct()
+        pairs = cut(fresh.join(checked, ["a", "b"], "left_anti"), "pairs")
         found = cut(_verified(pairs, words, share), "links")
-        if not whole and found.isEmpty():
-            whole = True
-        links = links.union(found)
-        if whole and found.isEmpty():
+        if found.isEmpty():
             break
+        checked, links = checked.union(pairs), links.union(found)
     rows = signed.select("doc_id", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     named = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return rows.join(named, "class").select("doc_id", "node", "class", "class_id")
