@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plotweave.llm.tokens import Encoder
+from plotweave.llm.tokens import encoder
 from plotweave.session import ship
 
 # The template.
@@ -82,7 +82,7 @@ def format_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer, specials_as_text=True)
+        coder = encoder(tokenizer, specials_as_text=True)
         for b in batches:
             texts = [t or "" for t in b.column(3).to_pylist()]
             ids, border = coder.encode([escape(t) for t in texts])
@@ -96,7 +96,7 @@ def format_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
     placed = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "at")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer, specials_as_text=True)
+        coder = encoder(tokenizer, specials_as_text=True)
         reserved = role_ids(coder.size)
         current, segment, start, begun = None, 0, 0, False
         for b in batches:
@@ -135,7 +135,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
     rows = formatted.select("conv_id", "segment", "ids", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer, specials_as_text=True)
+        coder = encoder(tokenizer, specials_as_text=True)
         reserved = role_ids(coder.size)
         names = {v: k for k, v in reserved.items()}
         state = None

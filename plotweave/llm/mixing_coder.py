@@ -32,8 +32,7 @@ _ROWS = _LEVEL_AT[-1]
 _SHIFTS = (5, 5, 4, 3)
 _TOTAL_BITS, _FLAG_BITS = 15, 12
 _LEAST = 32
-_U = np.uint64
-_LOW, _FULL = _U(1 << 32), _U(1 << 48)
+_LOW, _FULL = 1 << 32, 1 << 48
 
 
 def _targets() -> np.ndarray:
@@ -128,11 +127,18 @@ def _bounds(table: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Lower bound and width of a symbol in its table."""
     flat = table.view(np.uint16).ravel()
     at = np.arange(len(symbol)) * 16 + symbol
-    upper = flat[at].astype(np.uint64)
-    lower = np.where(symbol > 0, flat[at - 1], 0).astype(np.uint64)
+    upper = flat[at].astype(np.int64)
+    lower = flat[at - 1] * (symbol > 0)
     return lower, upper - lower
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole quotient of values below 2^48 and 2^33; a quotient of floats is off by one at most."""
+    q = (a.astype(np.float64) / b).astype(np.int64)
+    rest = a - q * b
+    return q + (rest >= b) - (rest < 0)
+
+
 def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
     """Payload of each block of at most `BLOCK_IDS` ids below `MAX_ID`."""
     out: list[bytes] = [b""] * len(blocks)
@@ -161,7 +167,7 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     room = int(sizes.max(initial=0)) * 4 + 8
     words = np.zeros((n, room), np.uint32)
     flat, place = words.reshape(-1), np.arange(n) * room
-    low, span = np.zeros(n, np.uint64), np.full(n, _FULL, np.uint64)
+    low, span = np.zeros(n, np.int64), np.full(n, _FULL, np.int64)
     model = _Model(n)
 
     def shift(lanes, low, span):
@@ -169,26 +175,27 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         small = np.flatnonzero(span < _LOW)
         if len(small):
             at = lanes[small]
-            flat[place[at]] = low[small] >> _U(32)
+            top = low[small]
+            flat[place[at]] = top >> 32
             place[at] += 1
-            low[small] = (low[small] & _U(0xFFFFFFFF)) << _U(16)
-            span[small] <<= _U(16)
+            low[small] = (top & 0xFFFFFFFF) << 16
+            span[small] <<= 16
 
     every = np.arange(n)
     for step, active in enumerate(_matrix(sizes)):
         if active != model.n:
             model.lanes(active)
-            every, low_done, span_done = every[:active], low, span
-            low, span = low[:active], span[:active]
+            every, low, span = every[:active], low[:active], span[:active]
         now = ids[step, :active]
         guess, p = model.predict()
         right = guess == now
-        part = (span >> _U(_FLAG_BITS))
-        yes = part * p.astype(np.uint64)
-        low += np.where(right, _U(0), yes)
-        span[:] = np.where(right, yes, part * (4096 - p).astype(np.uint64))
+        part = span >> _FLAG_BITS
+        yes = part * p
+        wrong = ~right
+        low += yes * wrong
+        span[:] = np.where(right, yes, (part << _FLAG_BITS) - yes)
         shift(every, low, span)
-        lanes = np.flatnonzero(~right)
+        lanes = np.flatnonzero(wrong)
         if len(lanes):
             own_low, own_span, missed = low[lanes], span[lanes], now[lanes]
             for level in range(4):
@@ -196,7 +203,7 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
                 rows = model.rows(lanes, level, before)
                 table = model.table[rows]
                 lower, width = _bounds(table, symbol)
-                part = own_span >> _U(_TOTAL_BITS)
+                part = own_span >> _TOTAL_BITS
                 own_low += part * lower
                 own_span = part * width
                 shift(lanes, own_low, own_span)
@@ -207,7 +214,7 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     low = low if low.base is None else low.base
     last = place
     for k, bits in enumerate((32, 16, 0)):
-        flat[last + k] = (low >> _U(bits)) & (_U(0x1FFFF) if bits == 32 else _U(0xFFFF))
+        flat[last + k] = (low >> bits) & (0x1FFFF if bits == 32 else 0xFFFF)
     while True:
         carry = words >> 16
         if not carry.any():
@@ -236,8 +243,8 @@ def _decode_lanes(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     for k, p in enumerate(payloads):
         words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
     flat, place = words.reshape(-1), np.arange(n) * room + 3
-    code = (words[:, 0].astype(np.uint64) << _U(32)) | (words[:, 1].astype(np.uint64) << _U(16)) | words[:, 2]
-    span = np.full(n, _FULL, np.uint64)
+    code = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]
+    span = np.full(n, _FULL, np.int64)
     ids = np.zeros((sizes.max(initial=0), n), np.uint16)
     model = _Model(n)
 
@@ -245,9 +252,9 @@ def _decode_lanes(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         small = np.flatnonzero(span < _LOW)
         if len(small):
             at = lanes[small]
-            code[small] = (code[small] << _U(16)) | flat[place[at]]
+            code[small] = (code[small] << 16) | flat[place[at]]
             place[at] += 1
-            span[small] <<= _U(16)
+            span[small] <<= 16
 
     every = np.arange(n)
     for step, active in enumerate(_matrix(sizes)):
@@ -255,22 +262,24 @@ def _decode_lanes(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
             model.lanes(active)
             every, code, span = every[:active], code[:active], span[:active]
         guess, p = model.predict()
-        part = span >> _U(_FLAG_BITS)
-        yes = part * p.astype(np.uint64)
+        part = span >> _FLAG_BITS
+        yes = part * p
         right = code < yes
-        code -= np.where(right, _U(0), yes)
-        span[:] = np.where(right, yes, part * (4096 - p).astype(np.uint64))
+        wrong = ~right
+        code -= yes * wrong
+        span[:] = np.where(right, yes, (part << _FLAG_BITS) - yes)
         shift(every, code, span)
         now = guess
-        lanes = np.flatnonzero(~right)
+        lanes = np.flatnonzero(wrong)
         if len(lanes):
             own_code, own_span = code[lanes], span[lanes]
             value = np.zeros(len(lanes), np.int64)
             for level in range(4):
                 rows = model.rows(lanes, level, value)
                 table = model.table[rows]
-                part = own_span >> _U(_TOTAL_BITS)
-                at = np.minimum(own_code // part, _U((1 << _TOTAL_BITS) - 1)).astype(np.uint16)
+                part = own_span >> _TOTAL_BITS
+                # quotients are small: the division of floats is exact enough, and cheaper
+                at = np.minimum(_quotient(own_code, part), (1 << _TOTAL_BITS) - 1).astype(np.uint16)
                 below = (table.view(np.uint16) <= at[:, None]).view(np.uint64)
                 symbol = np.bitwise_count(below).sum(axis=1, dtype=np.int64)
                 lower, width = _bounds(table, symbol)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotweave.llm.mixing_coder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
-from plotweave.llm.tokens import Encoder
+from plotweave.llm.tokens import encoder
 from plotweave.session import scratch_path, ship
 
 MAGIC, VERSION = b"PWTK", 1
@@ -101,7 +101,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     placed = placed.sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         shard = TaskContext.get().partitionId()
         waiting: list[tuple] = []  # closed frames, not coded yet
         number = start = held = 0

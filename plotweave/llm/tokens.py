@@ -19,6 +19,17 @@ _UNSAFE = re.compile(r" \s| \Z")
 MAX_PIECES = 400_000
 
 
+_coders: dict = {}
+
+
+def encoder(path: str, specials_as_text: bool = False) -> "Encoder":
+    """The encoder of this worker process: tasks that run in it one after another share what it knows."""
+    key = (path, specials_as_text)
+    if key not in _coders:
+        _coders[key] = Encoder(path, specials_as_text)
+    return _coders[key]
+
+
 class Encoder:
     """Encodes and decodes lists of texts. `specials_as_text` spells special strings as plain text."""
 
@@ -31,31 +42,66 @@ class Encoder:
         self._library.encode_special_tokens = specials_as_text
         self.size = self._library.get_vocab_size(with_added_tokens=True)
         added = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._special = re.compile("|".join(map(re.escape, added))) if added and not specials_as_text else None
+        self._specials = [] if specials_as_text else added
+        # bytes that each id stands for; the vocabulary spells every byte as one character
+        self._bytes = np.zeros(self.size, np.int64)
+        for token, k in self._library.get_vocab(with_added_tokens=False).items():
+            self._bytes[k] = len(token)
+        self._known: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {}
-        self._ids = np.zeros(1 << 16, np.uint32)
-        self._border = np.zeros(1 << 14, np.int64)
-        self._n = 0
+        """Keep the pieces that came more than once since the last time, at most half of the room."""
+        kept: dict[str, int] = {}
+        ids, border = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        if self._known:
+            often = np.flatnonzero(self._used[: self._n] > 1)
+            often = np.sort(often[np.argsort(-self._used[often], kind="stable")[: MAX_PIECES // 2]])
+            size = np.diff(self._border[: self._n + 1])[often]
+            past = np.cumsum(size)
+            place = np.arange(past[-1] if len(past) else 0) - np.repeat(past - size, size) + np.repeat(self._border[often], size)
+            ids = np.concatenate([self._ids[place], ids])
+            border = np.concatenate([[0], past, np.zeros(1 << 14, np.int64)])
+            number = np.full(self._n, -1)
+            number[often] = np.arange(len(often))
+            kept = {p: int(number[k]) for p, k in self._known.items() if number[k] >= 0}
+        self._known, self._ids, self._border, self._n = kept, ids, border, len(kept)
+        self._used = np.zeros(len(border), np.int64)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, past: np.ndarray) -> None:
+        """Append pieces whose ids stand one behind another; `past` is where each piece's ids end."""
+        start = int(self._border[self._n])
+        while start + len(ids) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        while self._n + len(pieces) + 1 > len(self._border):
+            self._border = np.concatenate([self._border, np.zeros_like(self._border)])
+            self._used = np.concatenate([self._used, np.zeros_like(self._used)])
+        self._ids[start : start + len(ids)] = ids
+        self._border[self._n + 1 : self._n + 1 + len(pieces)] = start + past
+        self._known.update(zip(pieces, range(self._n, self._n + len(pieces))))
+        self._n += len(pieces)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces not seen before."""
-        for piece, e in zip(pieces, self._library.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids = e.ids
-            start = self._border[self._n]
-            while start + len(ids) > len(self._ids):
-                self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-            if self._n + 2 > len(self._border):
-                self._border = np.concatenate([self._border, np.zeros_like(self._border)])
-            self._ids[start : start + len(ids)] = ids
-            self._known[piece] = self._n
-            self._n += 1
-            self._border[self._n] = start + len(ids)
+        """Encode pieces not seen before. Those that begin with a space and a non-space are written one
+        behind another, encoded in one text, and told apart by the bytes that their ids stand for."""
+        alone, joined = [], []
+        for p in pieces:
+            safe = p[0] == " " and " " not in p[1:] and not p[1:2].isspace() and not any(x in p for x in self._specials)
+            (joined if safe else alone).append(p)
+        for piece, e in zip(alone, self._library.encode_batch_fast(alone, add_special_tokens=False)):
+            self._add([piece], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+        for lo in range(0, len(joined), 4096):
+            part = joined[lo : lo + 4096]
+            ids = np.array(self._library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            length = np.cumsum(self._bytes[ids])
+            wanted = np.cumsum([len(p.encode()) for p in part])
+            past = np.searchsorted(length, wanted) + 1
+            if not np.array_equal(length[past - 1], wanted):
+                raise RuntimeError("a piece was merged across its border")
+            self._add(part, ids, past)
 
     def _pieces(self, text: str) -> list[str]:
-        if self._special is not None and self._special.search(text):
+        if any(x in text for x in self._specials):
             return [text]
         if _UNSAFE.search(text):
             return [p for p in _CUT.split(text) if p]
@@ -73,6 +119,7 @@ class Encoder:
         if fresh:
             self._learn(sorted(fresh))
         which = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        self._used[: self._n] += np.bincount(which, minlength=self._n)
         start, size = self._border[which], self._border[which + 1] - self._border[which]
         past = np.cumsum(size)
         place = np.arange(past[-1] if len(past) else 0) - np.repeat(past - size, size) + np.repeat(start, size)
