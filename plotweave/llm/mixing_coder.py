@@ -54,8 +54,8 @@ class _Model:
     def __init__(self, n: int):
         self.table = np.empty((n * _ROWS, 16), np.int16)
         self.table[:] = _EVEN
-        self.ids = [np.zeros(n * _SLOTS, np.int64) for _ in range(2)]
-        self.sure = [np.zeros(n * _SLOTS, np.int64) for _ in range(2)]
+        self.ids = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]
+        self.sure = [np.zeros(n * _SLOTS, np.int8) for _ in range(2)]
         self.chance = [np.full(n * 16, 1 << 15, np.int64) for _ in range(3)]
         self.weight = [np.full(n, (1 << 16) * 2 // 5, np.int64) for _ in range(3)]
         self.prev, self.prev2, self.past = (np.zeros(n, np.int64) for _ in range(3))
@@ -159,7 +159,7 @@ def _matrix(sizes: np.ndarray) -> np.ndarray:
 def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     n = len(blocks)
     sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((sizes.max(initial=0), n), np.int64)
+    ids = np.zeros((sizes.max(initial=0), n), np.int32)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
     if ids.size and (ids.max() >= MAX_ID or ids.min() < 0):
@@ -215,13 +215,15 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     last = place
     for k, bits in enumerate((32, 16, 0)):
         flat[last + k] = (low >> bits) & (0x1FFFF if bits == 32 else 0xFFFF)
+    count = last + 3 - np.arange(n) * room
+    # only what was written is looked at, as the room is for the worst case
+    words = words[:, : int(count.max(initial=0))]
     while True:
         carry = words >> 16
         if not carry.any():
             break
         words &= 0xFFFF
         words[:, :-1] += carry[:, 1:]
-    count = last + 3 - np.arange(n) * room
     return [words[k, : count[k]].astype("<u2").tobytes() for k in range(n)]
 
 

@@ -88,7 +88,8 @@ def test_matches_sql(result, folders, name, folder):
     con = duckdb.connect()
     for t in tables.SCHEMAS:
         con.execute(f"create view {t} as select * from '{folders[folder]}/{t}.parquet'")
-    assert compare.differences(result(name, folder), con.execute(q.ORACLES[name]).df()) == []
+    # a whole number beside a null is a float to one side and an integer to the other
+    assert compare.differences(result(name, folder).convert_dtypes(), con.execute(q.ORACLES[name]).df().convert_dtypes()) == []
 
 
 @pytest.mark.parametrize("folder", FOLDERS)
