@@ -134,14 +134,92 @@ def rings_of(flat: Flat, g: int) -> list[list[np.ndarray]]:
     ]
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at `start` and are `size` long, one run behind another."""
+    past = np.cumsum(size)
+    return np.arange(past[-1] if len(past) else 0) + np.repeat(start - past + size, size)
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def encode_wkb(flat: Flat, valid: np.ndarray) -> pa.Array:
+    """WKB values of a batch. Sizes give the place of every header and ring, and all bytes of a kind are
+    written at once."""
+    vertices = np.diff(flat.ring_start)
+    ring_bytes = 4 + 16 * vertices
+    ring_at = _offsets(ring_bytes)
+    polygon_bytes = 9 + ring_at[flat.polygon_start[1:]] - ring_at[flat.polygon_start[:-1]]
+    polygon_at = _offsets(polygon_bytes)
+    parts = np.diff(flat.geom_start)
+    # one part is a polygon, any other number a multipolygon with a header of its own
+    head = np.where(valid & (parts != 1), 9, 0)
+    geom_bytes = np.where(valid, head + polygon_at[flat.geom_start[1:]] - polygon_at[flat.geom_start[:-1]], 0)
+    start = _offsets(geom_bytes)
+    out = np.zeros(int(start[-1]), np.uint8)
+
+    def put(at: np.ndarray, rows: np.ndarray) -> None:
+        out[at[:, None] + np.arange(rows.shape[1])] = rows
+
+    def header(code: int, counts: np.ndarray) -> np.ndarray:
+        rows = np.zeros((len(counts), 9), np.uint8)
+        rows[:, 0] = 1
+        rows[:, 1:5] = np.frombuffer(struct.pack("<I", code), np.uint8)
+        rows[:, 5:] = counts.astype("<u4").view(np.uint8).reshape(-1, 4)
+        return rows
+
+    many = np.flatnonzero(head)
+    put(start[many], header(WKB_MULTIPOLYGON, parts[many]))
+    polygon_geom = np.repeat(np.arange(flat.n_geoms), parts)
+    polygon_place = start[polygon_geom] + head[polygon_geom] + polygon_at[:-1] - polygon_at[flat.geom_start[polygon_geom]]
+    rings = np.diff(flat.polygon_start)
+    put(polygon_place, header(WKB_POLYGON, rings))
+    ring_polygon = np.repeat(np.arange(len(rings)), rings)
+    ring_place = polygon_place[ring_polygon] + 9 + ring_at[:-1] - ring_at[flat.polygon_start[ring_polygon]]
+    put(ring_place, vertices.astype("<u4").view(np.uint8).reshape(-1, 4))
+    out[_runs(ring_place + 4, 16 * vertices)] = np.ascontiguousarray(flat.xy, "<f8").view(np.uint8).ravel()
+    mask = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), flat.n_geoms, [mask, pa.py_buffer(start.astype(np.int32).tobytes()), pa.py_buffer(out)])
+
+
+def decode_wkb(column: pa.Array) -> Flat:
+    """Rings of a batch of WKB values. Plain polygons of one ring, nearly all there are, are cut out of
+    the bytes together; only other values are read one by one."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = pc.fill_null(values, b"")
+    _, offsets, content = values.buffers()
+    border = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = np.frombuffer(content, np.uint8) if content is not None and content.size else np.zeros(0, np.uint8)
+    start, size = border[:-1], np.diff(border)
+    plain = np.flatnonzero(size >= 13)
+    head = data[start[plain, None] + np.arange(13)]
+    count = np.ascontiguousarray(head[:, 9:]).view("<u4").ravel().astype(np.int64)
+    fits = (head[:, :9] == np.frombuffer(struct.pack("<BII", 1, WKB_POLYGON, 1), np.uint8)).all(axis=1) & (size[plain] == 13 + 16 * count)
+    plain, count = plain[fits], count[fits]
+    xy = data[_runs(start[plain] + 13, 16 * count)].view("<f8").reshape(-1, 2)
+    rest = np.setdiff1d(np.flatnonzero(size > 0), plain)
+    others = [polygons_of_wkb(data[border[g] : border[g + 1]].tobytes()) for g in rest]
+    # one row per polygon and per ring, brought into the order of the geometries
+    polygon_geom = np.concatenate([plain, np.repeat(rest, [len(o) for o in others]).astype(np.int64)])
+    polygon_rings = np.concatenate([np.ones(len(plain), np.int64), np.array([len(p) for o in others for p in o], np.int64)])
+    ring_size = np.concatenate([count, np.array([len(r) for o in others for p in o for r in p], np.int64)])
+    pool = np.concatenate([xy, *[r for o in others for p in o for r in p]])
+    order = np.argsort(polygon_geom, kind="stable")
+    ring_first = _offsets(polygon_rings)
+    rings = _runs(ring_first[:-1][order], polygon_rings[order])
+    vertices = _runs(_offsets(ring_size)[:-1][rings], ring_size[rings])
+    return Flat(
+        np.ascontiguousarray(pool[vertices], float), _offsets(ring_size[rings]), _offsets(polygon_rings[order]), _offsets(np.bincount(polygon_geom, minlength=len(values)))
+    )
+
+
 @F.arrow_udf(POLYGONS)
 def from_wkb(column: pa.Array) -> pa.Array:
-    nested = nest_lists([[] if v is None else polygons_of_wkb(v) for v in column.to_pylist()])
+    nested = nest(decode_wkb(column))
     return pc.if_else(pc.is_valid(column), nested, pa.scalar(None, nested.type))
 
 
 @F.arrow_udf(T.BinaryType())
 def to_wkb(column: pa.Array) -> pa.Array:
-    flat = flatten(column)
-    valid = pc.is_valid(column).to_numpy(zero_copy_only=False)
-    return pa.array([wkb_of_polygons(rings_of(flat, g)) if valid[g] else None for g in range(flat.n_geoms)], pa.binary())
+    return encode_wkb(flatten(column), pc.is_valid(column).to_numpy(zero_copy_only=False))

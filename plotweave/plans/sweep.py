@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import replace
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plotweave.operators.fit import BETA_STEP, GAMMA_STEP, Blocks, Fit, Settings, fit_many, memberships
-from plotweave.functions.vectors import argmax
+from plotweave.operators.fit import BETA_STEP, GAMMA_STEP, Blocks, Fit, Settings, fit_many
 from plotweave.operators.ranks import exact_median
+from plotweave.operators.reduce import matrix
 
 CRASH_SCORE = -1e6
 
@@ -121,22 +125,79 @@ def best_trial(results: DataFrame) -> DataFrame:
     return row.select("r.*")
 
 
-def run_trials(blocks: Blocks, pivots: DataFrame, trials: DataFrame, base: Settings, version: int = 2) -> tuple[DataFrame, list[Fit]]:
-    """Fit all trials of a (small) trial table in joint passes and score them.
+RESULTS = "trial long, q double, clusters long, score double"
 
-    Returns `(trial, q, clusters, score, parameters...)` and the fits. Clusters in use
-    are counted per trial from the pivot embeddings `(id, features)`.
+
+def finished_trials(spark: SparkSession, store: str) -> DataFrame:
+    """`(trial, q, clusters, score)` of all trials in a stored table; empty if there is none yet."""
+    try:
+        return spark.read.schema(RESULTS).parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RESULTS)
+
+
+def run_trials(
+    blocks: Blocks, pivots: DataFrame, trials: DataFrame, base: Settings, version: int = 2, store: str | None = None, together: int = 16
+) -> tuple[DataFrame, dict[int, Fit]]:
+    """Fit all trials of a trial table, `together` at a time in joint passes, and score them.
+
+    Returns `(trial, q, clusters, score, parameters...)` and the fits by trial. Clusters in use are
+    counted per trial from the pivot embeddings `(id, features)`. A trial that fails scores as a crash
+    and does not end the others: trials whose joint fit fails are repeated one by one. With `store`,
+    results are appended to that Parquet table after each portion, and trials found there are not run
+    again, so a sweep that was cut off goes on where it stopped.
     """
     spark: SparkSession = pivots.sparkSession
-    rows = trials.orderBy("trial").collect()
-    fits = fit_many(blocks, [settings_of(r, base) for r in rows], warmup=20 if version == 1 else 30)
-    used = None
-    for i, f in enumerate(fits):
-        hard = memberships(pivots, f.best, "Y").select(F.lit(i).alias("i"), argmax(F.col("probs")).alias("k"))
-        used = hard if used is None else used.union(hard)
-    counts = {r["i"]: r["n"] for r in used.groupBy("i").agg(F.count_distinct("k").alias("n")).collect()}
-    results = spark.createDataFrame(
-        [(int(r["trial"]), float(f.best_q) if math.isfinite(f.best_q) else None, int(counts.get(i, 0))) for i, (r, f) in enumerate(zip(rows, fits))],
-        "trial long, q double, clusters long",
-    )
-    return results.withColumn("score", score(F.col("q"), F.col("clusters"), version)).join(trials, "trial"), fits
+    known = {r["trial"] for r in finished_trials(spark, store).select("trial").collect()} if store else set()
+    rows = [r for r in trials.orderBy("trial").collect() if r["trial"] not in known]
+    warmup = 20 if version == 1 else 30
+    fits: dict[int, Fit] = {}
+    parts = [] if store else [spark.createDataFrame([], RESULTS)]
+    for lo in range(0, len(rows), together):
+        part = rows[lo : lo + together]
+        found = dict(zip([r["trial"] for r in part], _fitted(blocks, [settings_of(r, base) for r in part], warmup)))
+        fits.update({k: f for k, f in found.items() if f is not None})
+        used = _clusters_used(pivots, {k: f for k, f in found.items() if f is not None})
+        values = [(int(k), float(f.best_q) if f is not None and math.isfinite(f.best_q) else None, used.get(k, 0)) for k, f in found.items()]
+        scored = spark.createDataFrame(values, "trial long, q double, clusters long").withColumn("score", score(F.col("q"), F.col("clusters"), version))
+        if store:
+            scored.coalesce(1).write.mode("append").parquet(store)
+        else:
+            parts.append(scored)
+    results = finished_trials(spark, store) if store else reduce(DataFrame.union, parts)
+    return results.join(trials, "trial"), fits
+
+
+def _fitted(blocks: Blocks, settings: list[Settings], warmup: int) -> list[Fit | None]:
+    """Joint fits; if they fail, each alone, and None for those that fail again."""
+    try:
+        return list(fit_many(blocks, settings, warmup=warmup))
+    except Exception as error:
+        if len(settings) == 1:
+            print(f"trial failed: {error}")
+            return [None]
+        return [f for s in settings for f in _fitted(blocks, [s], warmup)]
+
+
+def _clusters_used(pivots: DataFrame, fits: dict[int, Fit]) -> dict[int, int]:
+    """Clusters that some pivot belongs to most, per trial; one pass over the pivots for all trials."""
+    if not fits:
+        return {}
+    heads = {k: f.best for k, f in fits.items()}
+
+    def best(batches):
+        for batch in batches:
+            h = matrix(batch.column(0))
+            for k, own in heads.items():
+                used = np.unique(own.soft("Y", h).argmax(axis=1)) if len(h) else np.zeros(0, int)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k), pa.int64()), pa.array(used, pa.int64())], ["trial", "k"])
+
+    found = pivots.select("features").mapInArrow(best, "trial long, k long")
+    return {r["trial"]: r["n"] for r in found.groupBy("trial").agg(F.count_distinct("k").alias("n")).collect()}
+
+
+def settings_of_best(results: DataFrame, base: Settings) -> Settings:
+    """Settings of the best trial of a result table, for the final fit."""
+    return settings_of(best_trial(results).first(), base)

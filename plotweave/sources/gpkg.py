@@ -1,8 +1,12 @@
 """GeoPackage layers as a Spark data source: `spark.read.format("gpkg")`.
 
 Options: `path`, `layer`, and `rows` per partition. The layer is read in row-id ranges, one
-partition each, and equality and comparison filters on plain columns go into the query of
-each range. The file has to lie where every executor can read it.
+partition each, and equality and comparison filters on columns declared as whole numbers, doubles or
+text go into the query of each range; other declared types (NUMERIC, DATE, ...) compare by rules of
+their own there, so their filters stay with Spark.
+
+SQLite opens local files only. A file in another store is handed to every executor by Spark first
+(`addFile`), so any path that Spark can read works.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan,
@@ -26,7 +31,12 @@ _ENVELOPE_DOUBLES = (0, 4, 6, 6, 8)
 _COMPARE = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
+SHIPPED = "sparkfiles:"
+
+
 def _open(path: str) -> sqlite3.Connection:
+    if path.startswith(SHIPPED):
+        path = SparkFiles.get(path.removeprefix(SHIPPED))
     local = path[5:] if path.startswith("file:") else path
     return sqlite3.connect(f"file:{local}?mode=ro&immutable=1", uri=True)
 
@@ -58,7 +68,8 @@ class _Range(InputPartition):
 
 
 class _LayerReader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
+    def __init__(self, schema: StructType, options: dict, pushed: set[str]):
+        self.pushed = pushed
         self.schema, self.path, self.layer = schema, options["path"], options["layer"]
         self.rows = int(options.get("rows", 50_000))
         self.where: list[tuple[str, list]] = []
@@ -67,7 +78,7 @@ class _LayerReader(DataSourceReader):
         kinds = {f.name: f.dataType for f in self.schema.fields}
         for f in filters:
             name = f.attribute[0] if len(f.attribute) == 1 else None
-            if name not in kinds or isinstance(kinds[name], BinaryType):
+            if name not in kinds or name not in self.pushed:
                 yield f
             elif type(f) in _COMPARE:
                 self.where.append((f"{_quoted(name)} {_COMPARE[type(f)]} ?", [f.value]))
@@ -130,11 +141,19 @@ class GeoPackageSource(DataSource):
         return StructType([StructField(c[1], kind(c[1], c[2])) for c in columns])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _LayerReader(schema, dict(self.options))
+        options = dict(self.options)
+        with _open(options["path"]) as db:
+            columns = db.execute(f"pragma table_info({_quoted(options['layer'])})").fetchall()
+        exact = ("INT", "REAL", "DOUBLE", "FLOAT", "TEXT", "CHAR")
+        return _LayerReader(schema, options, {c[1] for c in columns if any(k in c[2].upper() for k in exact)})
 
 
 def read_layer(spark: SparkSession, path: str, layer: str, srid: int | None = None, geometry: str | None = None, rows: int = 50_000) -> DataFrame:
     """One layer. With `srid`, the geometry column becomes grid `polygons`."""
+    scheme, _, rest = path.partition("://")
+    if rest and scheme != "file":
+        spark.sparkContext.addFile(path)
+        path = SHIPPED + path.rsplit("/", 1)[-1]
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GeoPackageSource)
     df = spark.read.format("gpkg").option("path", path).option("layer", layer).option("rows", rows).load()

@@ -196,7 +196,7 @@ def test_trials_stop_and_score(spark):
     assert got == [(-999.0, -499.0), (1.0, -99.0), (-999.0, 1.0), (-1e6, -1e6)]
 
 
-def test_joint_sweep(spark):
+def test_joint_sweep(spark, tmp_path, monkeypatch):
     from plotweave.operators import fit as ft
     from tests.test_fit import random_graph
 
@@ -205,6 +205,16 @@ def test_joint_sweep(spark):
     blocks = ft.build_blocks(xy, yz, frames)
     base = ft.Settings(clusters=(3, 4, 2), epochs=3)
     results, fits = sweep.run_trials(blocks, frames["Y"], trials, base)
+    store = str(tmp_path / "trials")
+    first, some = sweep.run_trials(blocks, frames["Y"], trials.filter("trial < 2"), base, store=store, together=1)
+    again, more = sweep.run_trials(blocks, frames["Y"], trials, base, store=store)
+    assert sorted(some) == [0, 1] and sorted(more) == [2]
+    assert [r["q"] for r in again.orderBy("trial").collect()] == pytest.approx([r["q"] for r in results.orderBy("trial").collect()], rel=1e-9)
+    assert sweep.settings_of_best(again, base).lr == sweep.best_trial(results).first()["lr"]
+    monkeypatch.setattr(sweep, "fit_many", lambda b, s, warmup: (_ for _ in ()).throw(ValueError("no")))
+    crashed, none = sweep.run_trials(blocks, frames["Y"], trials, base)
+    assert not none and {r["score"] for r in crashed.collect()} == {sweep.CRASH_SCORE}
+    monkeypatch.undo()
     rows = results.orderBy("trial").collect()
     alone = ft.fit(blocks, sweep.settings_of(trials.filter("trial = 1").first(), base))
     assert len(rows) == 3 and rows[1]["q"] == pytest.approx(alone.best_q, rel=1e-9)
