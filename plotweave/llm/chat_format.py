@@ -111,12 +111,12 @@ def format_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
                 else:
                     head = [reserved["named"], *coder.encode([escape(known)])[0].tolist(), reserved["named"]]
                 whole = np.concatenate([np.array(head, np.int32), content, np.array([reserved["close"]], np.int32)])
-                # +1 where the trained span begins, -1 behind its closing id
-                step = np.zeros(len(whole) + 1, np.int8)
+                # +1 where the trained content begins, -1 at the closing id behind it
+                step = np.zeros(len(whole), np.int8)
                 if role == TRAINED:
                     step[len(head)] += 1
-                    step[len(whole)] -= 1
-                mask = np.cumsum(step, dtype=np.int8)[:-1]
+                    step[-1] -= 1
+                mask = np.cumsum(step, dtype=np.int8)
                 out.append((conv, segment, start, whole, mask, role))
                 segment, start = segment + 1, start + len(whole)
             if out:
@@ -162,9 +162,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
                     stop, role, body = 0, names[int(ids[0])], ids[1:-1]
                 roles.append(role)
                 contents.append(body)
-                # the loss holds the ids under the mask without the closing one
-                under = ids[mask.astype(bool)]
-                trained.append(under[under < coder.size])
+                trained.append(ids[mask.astype(bool)])
             texts = coder.decode(contents)
             losses = coder.decode(trained)
             for conv, role, text, loss in zip(b.column(0).to_pylist(), roles, texts, losses):
