@@ -14,8 +14,8 @@ Equal texts are one node from the start, whatever their number. In a bucket ever
 the bucket's least node only, so the work is linear in its size. A bucket may also hold texts that are
 alike in a small part, such as a common passage; there the least node can be unlike two texts that are
 like each other. Buckets that still hold several classes are therefore cut finer and treated again: by
-bucket and length (equal words, and ranges of 4 and 16 words, each at two offsets) and by every two buckets
-that a node is in. This is repeated on what is still mixed until no link between classes is found. So
+bucket and length (equal words, and ranges of 4 and 16 words, each at two offsets) and by pairs of buckets
+that a node is in (neighbours in the order of their keys). This is repeated on what is still mixed until no link between classes is found. So
 nothing is capped, pairs inside a bucket are never listed, and a link is missed only if, in every group
 that two like texts of different classes share, the least node is unlike one of them.
 
@@ -262,12 +262,12 @@ LENGTHS = ((1, 0), (4, 0), (4, 2), (16, 0), (16, 8))
 
 
 def _finer(members: DataFrame) -> DataFrame:
-    """`(group, node, n, class)`: nodes of mixed buckets by bucket and length, and by every two buckets."""
+    """`(group, node, n, class)`: nodes of mixed buckets by bucket and length, and by two buckets."""
     by_length = F.array(*[F.xxhash64("key", F.lit(w), F.floor((F.col("n") + o) / w)) for w, o in LENGTHS])
     lengths = members.select(F.explode(by_length).alias("group"), "node", "n", "class")
-    # a node is in SKETCHES buckets at most
+    # a node is in SKETCHES buckets at most; each is taken with the next two in order of their keys
     own = members.groupBy("node", "n", "class").agg(F.sort_array(F.collect_list("key")).alias("k")).filter(F.size("k") > 1)
-    two = F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, SKETCHES), lambda y: F.xxhash64(x, y)))
+    two = F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, 2), lambda y: F.xxhash64(x, y)))
     return lengths.union(own.select(F.explode(F.flatten(two)).alias("group"), "node", "n", "class"))
 
 
