@@ -54,9 +54,21 @@ def batches_by_rows(spark: SparkSession) -> Iterator[None]:
     The byte limit is checked by measuring every nested vector of a row, which costs more than the
     conversion itself. Only for rows of a known small size; the limit of the session returns behind it.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)):
+        yield
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows, for actions whose tasks keep much else in memory."""
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(2**31 - 1))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
