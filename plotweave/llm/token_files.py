@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotweave.llm.mixing_coder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
 from plotweave.llm.tokens import encoder
-from plotweave.session import scratch_path, ship
+from plotweave.session import scratch_path, ship, small_batches
 
 MAGIC, VERSION = b"PWTK", 1
 END_ID = 0
 # Ids that close a frame, and bytes of text per shard.
 FRAME_IDS = 1 << 17
 SHARD_BYTES = 16 << 20
+BATCH_ROWS = 1000
 
 _HEAD = struct.Struct("<4sHHII")
 _FRAMES = "shard long, frame long, n_docs long, n_ids long, start long, data binary"
@@ -155,7 +156,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if waiting:
             yield from flush()
 
-    placed.mapInArrow(encode, _FRAMES).write.mode("errorifexists").parquet(path)
+    # the coder's tables are the larger part of a task's memory: few texts at a time beside them
+    with small_batches(spark, BATCH_ROWS):
+        placed.mapInArrow(encode, _FRAMES).write.mode("errorifexists").parquet(path)
 
 
 def _placed_frames(spark: SparkSession, path: str) -> DataFrame:
