@@ -15,9 +15,15 @@ the bucket's least node only, so the work is linear in its size. A bucket may al
 alike in a small part, such as a common passage; there the least node can be unlike two texts that are
 like each other. Buckets that still hold several classes are therefore cut finer and treated again: by
 bucket and length (equal words, and ranges of 4 and 16 words, each at two offsets) and by pairs of buckets
-that a node is in (neighbours in the order of their keys). This is repeated on what is still mixed until no link between classes is found. So
-nothing is capped, pairs inside a bucket are never listed, and a link is missed only if, in every group
-that two like texts of different classes share, the least node is unlike one of them.
+that a node is in (neighbours in the order of their keys), each part aligned with its least node. This is
+repeated on what is still mixed until no link between classes is found; it only keeps the rest small.
+
+The rest is exact. What is still mixed goes in blocks of at most about `BLOCK` nodes of a bucket, every two
+blocks of it once, and inside a block all nodes of different classes meet. A pair is listed only if its
+lengths and its word counts in `BINS` bins leave room for a link: an edit changes one count up, one down or
+both, so the counts that one text has more than the other are a lower bound of the distance. The listed
+pairs are aligned. So every two texts that share a bucket and are alike end in one class; comparing counts
+takes time with the square of what is mixed in a bucket, but no rows.
 
 All steps are joins and grouped sums on narrow rows; AQE splits a bucket that holds very many nodes. Words
 of texts are read again only for texts that share a bucket.
@@ -45,6 +51,9 @@ SKETCHES = 16
 SHARE = 0.8
 # Rows of 64-bit hashes that may be broadcast: 32 MB as a hashed relation.
 BROADCAST_ROWS = 2_000_000
+# Nodes of a mixed bucket that are compared at a time, and bins of the word counts, a byte each.
+BLOCK = 2048
+BINS = 256
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -271,7 +280,84 @@ def _finer(members: DataFrame) -> DataFrame:
     return lengths.union(own.select(F.explode(F.flatten(two)).alias("group"), "node", "n", "class"))
 
 
-def near_copies(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def profiles(packed: list[bytes]) -> np.ndarray:
+    """How many words of each text fall into each bin, 255 standing for more."""
+    sizes = np.array([len(p) // 4 for p in packed], np.int64)
+    words = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(packed)), sizes)
+    counts = np.bincount(owner * BINS + words % BINS, minlength=len(packed) * BINS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, BINS)
+
+
+def near_enough(n: np.ndarray, kind: np.ndarray, side: np.ndarray, counts: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different kinds that may be linked; with two sides, only pairs between them."""
+    order = np.argsort(n, kind="stable")
+    n, kind, side, counts = n[order], kind[order], side[order], counts[order]
+    total = counts.sum(axis=1, dtype=np.int64)
+    between = (side != side[0]).any()
+    # by rising length a text meets those behind it up to the last length that fits
+    fits = lambda a, b: b - a <= b * (1 - share) + 1e-9
+    past = np.searchsorted(n, n / share + 2, side="right")
+    ones, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    i = 0
+    while i < len(n):
+        # as many texts at once as keep their pairs few
+        k = i + 1
+        while k < len(n) and (past[i : k + 1] - np.arange(i, k + 1)).sum() <= 1 << 14:
+            k += 1
+        many = past[i:k] - np.arange(i, k) - 1
+        a = np.repeat(np.arange(i, k), many)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + a + 1
+        apart = (kind[a] != kind[b]) & fits(n[a], n[b])
+        if between:
+            apart &= side[a] != side[b]
+        a, b = a[apart], b[apart]
+        limit = ((1 - share) * n[b] + 1e-9).astype(np.int64)
+        more = (np.maximum(counts[a], counts[b]) - counts[b]).sum(axis=1, dtype=np.int64)
+        near = np.maximum(more, more - total[a] + total[b]) <= limit
+        ones.append(order[a[near]])
+        others.append(order[b[near]])
+        i = k
+    return np.concatenate(ones), np.concatenate(others)
+
+
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column whose values all have `width` bytes, a row each."""
+    border = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[border[0] : border[-1]].reshape(-1, width)
+
+
+def _rest(members: DataFrame, words: DataFrame, share: float, block: int) -> DataFrame:
+    """Pairs `(a, b)` of nodes of different classes in a bucket that may be linked."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                rows = [r.tobytes() for r in profiles(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["node", "counts"])
+
+    counted = words.select("node", "words").join(members.select("node").distinct(), "node", "left_semi").mapInArrow(count, "node binary, counts binary")
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = members.join(blocks, "key").join(counted, "node").withColumn("side", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_blocks")).cast("int"))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    entry = F.struct("node", F.col("n").cast("long").alias("n"), F.xxhash64("class").alias("kind"), "side", "counts")
+    grouped = met.groupBy("key", F.least("side", "_other").alias("_lo"), F.greatest("side", "_other").alias("_hi")).agg(F.collect_list(entry).alias("m")).select("m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                node, n, kind, side, counts = b.column(0)[k].values.flatten()
+                one, other = near_enough(n.to_numpy(), kind.to_numpy(), side.to_numpy(), _bytes(counts, BINS), share)
+                for lo in range(0, len(one), 1 << 16):
+                    x, y = node.take(pa.array(one[lo : lo + (1 << 16)])), node.take(pa.array(other[lo : lo + (1 << 16)]))
+                    yield pa.RecordBatch.from_arrays([x, y], ["a", "b"])
+
+    found = grouped.mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """`(doc_id, node, class, class_id)`: a row per document; a class is named by its least node and least id."""
     ship(docs.sparkSession)
     signed = cut(signatures(docs), "signatures")
@@ -296,15 +382,21 @@ def near_copies(docs: DataFrame, share: float = SHARE) -> DataFrame:
         roots = cut(components(links), "classes")
         classed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
         mixed = classed.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
-        groups = _finer(cut(classed.join(mixed.select("key"), "key", "left_semi"), "mixed"))
+        left = cut(classed.join(mixed.select("key"), "key", "left_semi"), "mixed")
+        groups = _finer(left)
         heads = groups.groupBy("group").agg(F.min(F.struct("node", "class", "n")).alias("_head"))
         met = groups.join(heads, "group").filter((F.col("class") != F.col("_head.class")) & fits(F.col("n"), F.col("_head.n")))
         fresh = met.select(F.least("node", "_head.node").alias("a"), F.greatest("node", "_head.node").alias("b")).distinct()
         pairs = cut(fresh.join(checked, ["a", "b"], "left_anti"), "pairs")
         found = cut(_verified(pairs, words, share), "links")
+        checked, links = checked.union(pairs), links.union(found)
         if found.isEmpty():
             break
-        checked, links = checked.union(pairs), links.union(found)
+    # all that is left between classes is seen here, so no further round is needed
+    pairs = cut(_rest(left, words, share, block).join(checked, ["a", "b"], "left_anti"), "pairs")
+    found = cut(_verified(pairs, words, share), "links")
+    if not found.isEmpty():
+        roots = cut(components(links.union(found)), "classes")
     rows = signed.select("doc_id", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     named = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return rows.join(named, "class").select("doc_id", "node", "class", "class_id")

@@ -140,6 +140,50 @@ def test_sketches_of_similar_texts_meet():
     assert met == 60
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=30), min_size=2, max_size=8), st.sampled_from([0.5, 0.8]))
+def test_counts_never_hide_a_link(texts, share):
+    texts = [np.array(t, np.uint32) for t in texts]
+    n = np.array([len(t) for t in texts])
+    counts = near_copies.profiles([t.astype("<u4").tobytes() for t in texts])
+    one, other = near_copies.near_enough(n, np.arange(len(n)), np.zeros(len(n), int), counts, share)
+    listed = {frozenset(p) for p in zip(one.tolist(), other.tolist())}
+    for a in range(len(n)):
+        for b in range(a):
+            if _distance(texts[a].tolist(), texts[b].tolist()) <= int((1 - share) * max(n[a], n[b]) + 1e-9):
+                assert frozenset((a, b)) in listed
+
+
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 16])
+def test_copies_beside_a_shared_passage(spark, block):
+    """120 texts share 75 of 100 words; 40 of them have a copy with up to 18 own words changed."""
+    passage, texts = [f"p{k}" for k in range(75)], []
+    for k in range(120):
+        own = [f"o{k}x{j}" for j in range(25)]
+        texts.append(passage + own)
+        if k < 40:
+            texts.append(passage + own[: 25 - 18 + k % 8] + [f"c{k}x{j}" for j in range(18 - k % 8)])
+    _, keys = near_copies.sketch_keys(next(textarrays.slices(pa.array([" ".join(t) for t in texts])))[2])
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if set(keys[a]) & set(keys[b]) and _distance(texts[a], texts[b]) <= 20:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {k: find(k) for k in range(len(texts))}
+    assert len(set(want.values())) <= 125
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.near_copies(docs, **({} if block == near_copies.BLOCK else {"block": block})).collect()}
+    assert sum(got[k] != k for k in got) == sum(want[k] != k for k in want)
+    assert got == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
