@@ -5,7 +5,9 @@ copies matter. Spans are code points, the end exclusive.
 
 Four base kinds are always reported once their own test holds: e-mail address, IP address (parts up to
 255), payment card (Luhn) and phone number (10 to 15 digits). Further kinds are reported if their score,
-after checksum and context, reaches the threshold and they overlap no base span.
+after checksum and context, reaches the threshold and they overlap no base span. An account number whose
+checksum holds is reported beside a base span that it overlaps. If a proposal for one fails, its ends at
+earlier spaces are tried, the longest first, as the words behind a number can look like a part of it.
 
 Defined cases: a null or empty text has no spans; rows without an id are scanned like any other;
 repeated rows are reported one by one; an empty table gives an empty result; spans of one text come by
@@ -100,6 +102,24 @@ def _digits(match: str) -> str:
     return "".join(_DIGIT.findall(match))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers whose checksum holds, from left to right and none inside another."""
+    m = _IBAN.search(text)
+    while m:
+        end, held = m.end(), False
+        while end > m.start() and not held:
+            packed = text[m.start() : end].replace(" ", "")
+            if len(packed) < 15:
+                break
+            held = len(packed) <= 34 and mod97(packed)
+            if held:
+                yield m.start(), end
+            else:
+                end = text.rfind(" ", m.start(), end)
+        # behind a proposal that failed, one may start at its next group
+        m = _IBAN.search(text, end if held else m.start() + 4)
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose own test holds."""
     if "@" in text:
@@ -120,10 +140,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        packed = m[0].replace(" ", "")
-        if 15 <= len(packed) <= 34 and mod97(packed):
-            yield "iban", m.start(), m.end()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for m in _NATIONAL.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "national_id", m.start(), m.end()
@@ -140,7 +158,7 @@ def spans_of(text: str | None) -> list[Span]:
         score = min(1.0, SCORES[kind] + BONUS * any(w in near for w in CONTEXT[kind]))
         if kind in BASE_KINDS:
             taken.append((start, end))
-        elif score < THRESHOLD or any(start < b and a < end for a, b in taken):
+        elif score < THRESHOLD or kind != "iban" and any(start < b and a < end for a, b in taken):
             continue
         found.append(Span(kind, start, end, round(score, 6)))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind), s.end))

@@ -127,6 +127,23 @@ def test_addresses_are_leftmost_matches(text):
     assert [(s.start, s.end) for s in personal_data.spans_of(text) if s.kind == "email"] == want
 
 
+@pytest.mark.parametrize("behind", ["", " BIC COBADEFF", " GB82 WEST 1234 5698 7654 32", " X", " and more"])
+def test_account_numbers_before_other_capitals(behind):
+    number = "DE89 3704 0044 0532 0130 00"
+    found = [(s.start, s.end) for s in personal_data.spans_of(f"pay {number}{behind}") if s.kind == "iban"]
+    second = 5 + len(number)
+    assert found == [(4, 4 + len(number))] + ([(second, second + 27)] if "GB82" in behind else [])
+
+
+def test_account_numbers_beside_cards():
+    # fourteen digits inside that pass Luhn, and check digits that fit them
+    tail = next(d for d in range(100) if personal_data.luhn(f"123456987654{d:02d}"))
+    packed = next(t for c in range(2, 99) if personal_data.mod97(t := f"GB{c:02d}WEST123456987654{tail:02d}"))
+    text = "bank " + " ".join(packed[k : k + 4] for k in range(0, 22, 4))
+    kinds = {s.kind for s in personal_data.spans_of(text)}
+    assert kinds == {"iban", "card"}
+
+
 def test_sketches_of_similar_texts_meet():
     random = np.random.default_rng(9)
     met = 0
