@@ -15,8 +15,9 @@ AQE splits shingles that very many documents share. Document shingles are not sh
 No pairs of documents are made; pairs (document, item) exist where a sketch shingle occurs in both.
 
 Defined cases: null and empty texts hold nothing, and an item without words is held by nothing; items that
-are equal are separate items; a null item id is an id like any other; repeated documents are judged row by
-row, as rows are told apart by id and text; empty tables give empty results.
+are equal are separate items, also if they have the same id or none; a repeated document gets a row per row
+of it. Rows equal in id and text are compared once, their results joined back to each of them; empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -49,22 +50,27 @@ def _key(docs: DataFrame) -> list[Column]:
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
-    """`(item, width, size, hash, sketched)`: the shingles of all items, those of the sketches marked."""
-    words = items.select(F.col("item_id").alias("item"), F.xxhash64("item_id", "text").alias("_row"), _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    """`(item, row, copies, width, size, hash, sketched)`: the shingles of all items, those of the sketches marked.
+
+    Items equal in id and text are one `row` with the number of its copies.
+    """
+    keyed = items.select(F.col("item_id").alias("item"), F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("row"), F.col("text"))
+    single = keyed.groupBy("item", "row").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    words = single.select("item", "row", "copies", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     own = F.least(F.size("w"), F.lit(width))
     found = None
     for k in range(1, width + 1):
         found = F.when(own == k, _shingles(F.col("w"), k)) if found is None else found.when(own == k, _shingles(F.col("w"), k))
     # the order of the sketch is a hash of its own, so that it is independent of the values
     ordered = F.array_sort(F.transform(F.array_distinct(found), lambda h: F.struct(F.xxhash64(F.lit("min"), h).alias("o"), h.alias("h"))))
-    sized = words.select("item", own.alias("width"), ordered.alias("hashes")).withColumn("size", F.size("hashes"))
+    sized = words.select("item", "row", "copies", own.alias("width"), ordered.alias("hashes")).withColumn("size", F.size("hashes"))
     sized = sized.withColumn("_class", F.floor(F.log2(F.col("size").cast("double"))))
     most = sized.groupBy("_class").agg(F.max("size").alias("_most"))
     # in whole numbers, as 0.2 * 5 is not quite 1
     lacks = lambda n: n - F.ceil(F.round(n * F.lit(share), 9))
     rows = sized.join(most, "_class").withColumn("_k", lacks(F.col("_most")) + 1)
-    return rows.select("item", "width", "size", "_k", F.posexplode("hashes").alias("_at", "_h")).select(
-        "item", "width", "size", F.col("_h.h").alias("hash"), (F.col("_at") < F.col("_k")).alias("sketched")
+    return rows.select("item", "row", "copies", "width", "size", "_k", F.posexplode("hashes").alias("_at", "_h")).select(
+        "item", "row", "copies", "width", "size", F.col("_h.h").alias("hash"), (F.col("_at") < F.col("_k")).alias("sketched")
     )
 
 
@@ -80,19 +86,21 @@ def _sized(index: DataFrame) -> DataFrame:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
-    """`(doc_id, item_id, n_shared, n_item, containment)` plus the row key, for every document that holds an item."""
+    """`(doc_id, item_id, n_shared, n_item, containment)` plus the row key, for every row of a document that holds an item."""
     index = cut(item_shingles(items, width, share), "items")
     widths = sorted(r["width"] for r in index.select("width").distinct().collect())
-    sketch = index.filter("sketched").select("hash", "item").distinct()
+    sketch = index.filter("sketched").select("hash").distinct()
     found = _exploded(docs, widths or [width]).join(_sized(sketch), "hash")
-    hit = cut(found.groupBy("_id", "_digest").agg(F.collect_set("item").alias("_n")).select("_id", "_digest"), "hits")
+    hit = cut(found.select("_id", "_digest").distinct(), "hits")
     # only documents with a hit are read again; each is compared with whole items
     again = docs.select(F.col("doc_id"), F.col("text"), *_key(docs)).join(hit, ["_id", "_digest"], "left_semi")
     shared = _exploded(again, widths or [width]).join(_sized(index), "hash")
-    counts = shared.groupBy("doc_id", "_id", "_digest", "item", "size").agg(F.countDistinct("hash").alias("n_shared"))
+    counts = shared.groupBy("_id", "_digest", "item", "row", "copies", "size").agg(F.countDistinct("hash").alias("n_shared"))
     part = F.col("n_shared") / F.col("size")
-    kept = counts.filter(F.round(part, 9) >= share)
-    return kept.select("doc_id", F.col("item").alias("item_id"), "n_shared", F.col("size").cast("long").alias("n_item"), F.round(part, 9).alias("containment"), "_id", "_digest")
+    kept = cut(counts.filter(F.round(part, 9) >= share), "held")
+    # a row for each row of the document and each copy of the item
+    rows = again.select("doc_id", "_id", "_digest").join(kept, ["_id", "_digest"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select("doc_id", F.col("item").alias("item_id"), "n_shared", F.col("size").cast("long").alias("n_item"), F.round(part, 9).alias("containment"), "_id", "_digest")
 
 
 def op9_decontamination(spark, folder: str) -> DataFrame:

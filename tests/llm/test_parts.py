@@ -3,12 +3,13 @@
 import os
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from plotweave.llm import boosting, chat_format, mixing_coder, near_copies, personal_data, textarrays, token_files
+from plotweave.llm import boosting, chat_format, decontaminate, mixing_coder, near_copies, personal_data, textarrays, token_files
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -144,6 +145,22 @@ def test_account_numbers_beside_cards():
     assert kinds == {"iban", "card"}
 
 
+def test_equal_rows_and_items_without_id(spark, tmp_path):
+    one, two = (" ".join(f"{c}{k}" for k in range(24)) for c in "ab")
+    some = lambda t, n: " ".join(t.split(" ")[: 4 + n])
+    docs = [(1, one), (1, one), (None, two), (None, two), (2, some(one, 8) + " . " + some(two, 8)), (3, "x " + one + " " + two)]
+    items = [(None, one), (None, two), (7, one), (7, two), (8, one), (8, one)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contained_items(docs, items).drop("_id", "_digest").collect()
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", items)):
+        df.write.parquet(str(tmp_path / name))
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
+    want = con.execute(decontaminate.OP9_SQL).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert len(want) == 2 * 4 + 2 * 2 + 6
+
+
 def test_sketches_of_similar_texts_meet():
     random = np.random.default_rng(9)
     met = 0
