@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,10 +154,13 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         for path in _scopes.pop():
-            place = hadoop.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -171,3 +174,17 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
         _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame, label: str = "result", also: Iterable[str] = ()) -> DataFrame:
+    """Like `cut`, for the result of a `scratch_scope`: the table outlives the innermost scope.
+
+    `also` names further folders in the shared folder that the scope shall delete.
+    """
+    inner = _scopes.pop() if _scopes else None
+    try:
+        out = cut(df, label)
+    finally:
+        if inner is not None:
+            _scopes.append(inner + list(also))
+    return out
