@@ -1,9 +1,10 @@
-"""The ten operators as named queries, and SQL for those that SQL can express."""
+"""The operators as named queries, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from plotweave.llm.chat_format import op10_chat_format
 from plotweave.llm.decontaminate import OP9_SQL, op9_decontamination
+from plotweave.llm.digest_index import OP11_SQL, op11_exact_dedup
 from plotweave.llm.mixing import OP1_SQL, op1_source_mix
 from plotweave.llm.near_copies import op8_near_copies
 from plotweave.llm.ngram_score import OP3_SQL, op3_ngram_score
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_near_copies": op8_near_copies,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLES = {
     "op1_source_mix": OP1_SQL,
     "op3_ngram_score": OP3_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_exact_dedup": OP11_SQL,
 }
