@@ -5,6 +5,7 @@ from __future__ import annotations
 from plotweave.llm.chat_format import op10_chat_format
 from plotweave.llm.decontaminate import OP9_SQL, op9_decontamination
 from plotweave.llm.digest_index import OP11_SQL, op11_exact_dedup
+from plotweave.llm.filter_audit import OP12_SQL, op12_filter_audit
 from plotweave.llm.mixing import OP1_SQL, op1_source_mix
 from plotweave.llm.near_copies import op8_near_copies
 from plotweave.llm.ngram_score import OP3_SQL, op3_ngram_score
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op3_ngram_score": OP3_SQL,
     "op9_decontamination": OP9_SQL,
     "op11_exact_dedup": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
