@@ -12,6 +12,7 @@ from plotweave.llm.ngram_score import OP3_SQL, op3_ngram_score
 from plotweave.llm.personal_data import op7_personal_data
 from plotweave.llm.quality_model import op6_quality_model
 from plotweave.llm.quality_rules import op2_quality_rules
+from plotweave.llm.source_divergence import OP13_SQL, op13_source_divergence
 from plotweave.llm.token_files import op5_token_files
 from plotweave.llm.url_filter import op4_url_filter
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
@@ -36,4 +38,5 @@ ORACLES = {
     "op9_decontamination": OP9_SQL,
     "op11_exact_dedup": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
