@@ -2,9 +2,9 @@ r"""Source divergence audit (operator 13): how the term frequencies of the sourc
 
 Each task sorts word-start pointers into the bytes of its Arrow batches (see `term_pointers`), slice by slice;
 a run of equal terms yields its documents and its occurrences per language and source. The counts of a task's
-slices are added up and leave it as one row per term and source, dealt by term. A term is kept by a language
-in which at least `least` documents have it. No text is shuffled, and however frequent a term is, it is one row
-per task and source.
+slices are added up and leave it as one row per term, a list of counts by source, dealt by term. A term is kept by a language
+in which at least `least` documents have it. No text is shuffled, and however frequent a term is, it is a few rows
+per task.
 
 With N the occurrences of kept terms in a group and V the kept terms of its language, a term with count c has
 p = 1 + floor(10^9 (c + 5) / (N + 5 V)). The division is carried out in three steps by 1,000, so it is exact in
@@ -29,50 +29,80 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plotweave.llm.term_pointers import Terms, counted
 from plotweave.llm.textarrays import slices
-from plotweave.session import cut, parallelism, scratch_scope, settle, ship
+from plotweave.session import cut, parallelism, scratch_scope, settle, ship, small_batches
 
 LEAST_DOCS = 30
 TOP_TERMS = 50
 SMOOTH = 5
 SCALE = 1_000_000_000
-# Bytes of text per sort, rows that a task gathers before it adds them up, and counts per shard.
-SLICE = 8 << 20
-GATHERED = 1 << 21
+# Bytes of text per sort, rows that a task gathers before it adds them up, documents per Arrow batch, and
+# counts per shard.
+SLICE = 4 << 20
+GATHERED = 1 << 19
+BATCH_ROWS = 2_000
 SHARD_CELLS = 1 << 19
 # Cells of the matrix of a shard that are worked on at once.
 CELLS = 1 << 21
 # Rows of a table per language and source that may be broadcast; beyond them a shuffle joins.
 BROADCAST_ROWS = 100_000
 
-_COUNTED = "lang string, source string, term string, n long, docs long"
-_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-
-
-def _slice_counts(lang: pa.Array, source: pa.Array, text: pa.Array) -> Iterator[pa.Table]:
-    langs, sources = lang.dictionary_encode(), source.dictionary_encode()
-    code = langs.indices.to_numpy().astype(np.int64) * max(1, len(sources.dictionary)) + sources.indices.to_numpy()
+_COUNTED = "lang string, term string, docs long, total long, of array<struct<source: string, n: long>>"
+_ROWS = pa.schema([("group", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+
+
+class _Groups:
+    """Numbers of the pairs of language and source that a task meets."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, str], int] = {}
+
+    def numbers(self, lang: pa.Array, source: pa.Array) -> np.ndarray:
+        langs, sources = lang.dictionary_encode(), source.dictionary_encode()
+        wide = max(1, len(sources.dictionary))
+        code = langs.indices.to_numpy().astype(np.int64) * wide + sources.indices.to_numpy()
+        met, at = np.unique(code, return_inverse=True)
+        pairs = [(langs.dictionary[int(c // wide)].as_py(), sources.dictionary[int(c % wide)].as_py()) for c in met]
+        return np.array([self.known.setdefault(p, len(self.known)) for p in pairs], np.int64)[at]
+
+    def listed(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """A row per language and term, with the counts of its sources as a list."""
+        langs, sources = (pa.array([p[k] for p in self.known], pa.string()) for k in range(2))
+        lang_codes = langs.dictionary_encode()
+        group = rows["group"].to_numpy()
+        lang = lang_codes.indices.to_numpy()[group].astype(np.int64)
+        terms = rows["term"].combine_chunks().dictionary_encode()
+        both = lang * max(1, len(terms.dictionary)) + terms.indices.to_numpy()
+        order = np.argsort(both)
+        both = both[order]
+        border = np.r_[np.flatnonzero(np.r_[True, both[1:] != both[:-1]]), len(both)].astype(np.int32)
+        n, docs = (rows[c].to_numpy()[order] for c in ("n", "docs"))
+        cells = pa.StructArray.from_arrays([sources.take(pa.array(group[order])), pa.array(n)], ["source", "n"])
+        head = border[:-1]
+        out = pa.table({
+            "lang": lang_codes.dictionary.take(pa.array(both[head] // max(1, len(terms.dictionary)))), "term": terms.dictionary.take(pa.array(both[head] % max(1, len(terms.dictionary)))),
+            "docs": pa.array(np.add.reduceat(docs, head)), "total": pa.array(np.add.reduceat(n, head)), "of": pa.ListArray.from_arrays(pa.array(border), cells),
+        })
+        yield from out.to_batches(max_chunksize=1 << 14)
+
+
+def _slice_counts(group: np.ndarray, text: pa.Array) -> Iterator[pa.Table]:
     for first, past, texts in slices(text, SLICE):
-        known, group = np.unique(code[first:past], return_inverse=True)
+        known, own = np.unique(group[first:past], return_inverse=True)
         terms = Terms(texts)
-        pointer, of, n, docs = counted(terms, group)
-        parts = known[of]
-        names = lambda d, i: d.dictionary.take(pa.array(i))
-        yield pa.Table.from_arrays([
-            names(langs, parts // max(1, len(sources.dictionary))), names(sources, parts % max(1, len(sources.dictionary))), terms.spelled(pointer), pa.array(n, pa.int64()), pa.array(docs, pa.int64()),
-        ], schema=_ARROW)
+        pointer, of, n, docs = counted(terms, own)
+        yield pa.Table.from_arrays([pa.array(known[of], pa.int64()), terms.spelled(pointer), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], schema=_ROWS)
 
 
 def _added(tables: list[pa.Table]) -> pa.Table:
-    whole = pa.concat_tables(tables)
-    out = whole.group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-    return out.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(_ARROW.names)
+    out = pa.concat_tables(tables).group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return out.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(_ROWS.names)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gathered, rows = [], 0
+    groups, gathered, rows = _Groups(), [], 0
     for batch in batches:
         lang, source, text = (pc.fill_null(batch.column(k), "") for k in range(3))
-        for table in _slice_counts(lang, source, text):
+        for table in _slice_counts(groups.numbers(lang, source), text):
             gathered.append(table)
             rows += len(table)
             if rows > GATHERED:
@@ -80,23 +110,25 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gathered = [_added(gathered)]
                 rows = len(gathered[0])
                 if rows > GATHERED // 2:
-                    yield from gathered[0].cast(_ARROW).to_batches(max_chunksize=1 << 16)
+                    yield from groups.listed(gathered[0])
                     gathered, rows = [], 0
-    if gathered:
-        yield from _added(gathered).cast(_ARROW).to_batches(max_chunksize=1 << 16)
+    if rows:
+        yield from groups.listed(_added(gathered))
 
 
 def term_counts(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """`(lang, term, docs, total, of)` of the terms that a language keeps; `of` holds `(source, n)`."""
+    """`(lang, term, total, of)` of the terms that a language keeps; `of` holds `(source, n)`."""
     spark = docs.sparkSession
     ship(spark)
     read = docs.select(F.col("lang"), F.col("source"), F.col("text"))
     parts = read.mapInArrow(_count_terms, _COUNTED)
-    # by term alone, so that both sums need one exchange; the tasks have added up already
+    # tasks have added up already, so a term is at most a few rows of each; everything else needs no further exchange
     dealt = parts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * parallelism(spark)), "lang", "term")
-    by_source = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    terms = by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("of"))
-    return terms.filter(F.col("docs") >= least)
+    own = Window.partitionBy("lang", "term")
+    kept = dealt.withColumn("docs", F.sum("docs").over(own)).withColumn("total", F.sum("total").over(own)).filter(F.col("docs") >= least)
+    cells = kept.select("lang", "term", "total", F.explode("of").alias("_of"))
+    by_source = cells.groupBy("lang", "term", F.col("_of.source").alias("source")).agg(F.first("total").alias("total"), F.sum("_of.n").alias("n"))
+    return by_source.groupBy("lang", "term").agg(F.first("total").alias("total"), F.collect_list(F.struct("source", "n")).alias("of"))
 
 
 def source_groups(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +222,8 @@ def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """All pairs of sources of a language, and the terms that set a source apart."""
     with scratch_scope(spark):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
-        terms = cut(term_counts(docs), "terms")
+        with small_batches(spark, BATCH_ROWS):
+            terms = cut(term_counts(docs), "terms")
         groups, langs = (cut(t, name) for t, name in zip(source_groups(docs, terms), ("groups", "langs")))
         pairs = pair_divergence(terms, groups, langs).withColumn("part", F.lit("pair"))
         words = top_terms(terms, groups, langs).withColumn("part", F.lit("term"))
