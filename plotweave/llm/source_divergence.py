@@ -40,7 +40,7 @@ SCALE = 1_000_000_000
 SLICE = 4 << 20
 GATHERED = 1 << 19
 BATCH_ROWS = 2_000
-SHARD_CELLS = 1 << 19
+SHARD_CELLS = 1 << 16
 # Cells of the matrix of a shard that are worked on at once.
 CELLS = 1 << 21
 # Rows of a table per language and source that may be broadcast; beyond them a shuffle joins.

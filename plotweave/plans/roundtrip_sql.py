@@ -153,6 +153,37 @@ ORACLES["encoder_layer"] = f"""with {_attention('pa', rt.ATTENTION, _lines('l_pa
 select id, {', '.join(_out)} from h"""
 
 
+def _gradient(name: str, weights, source: str) -> str:
+    """Gradients by the weights of one relation, as `{name}_g (weight, pos, value)`; `h` has the sums cut at zero."""
+    n = lambda v: f"({float(v)!r}e0)"
+    side = lambda m, b, k, x: f"{n(m[k][0])}*{x[0]} + {n(m[k][1])}*{x[1]} + {n(b[k])}"
+    lines = ", ".join([f"{side(weights.left, weights.left_bias, k, ('x0', 'x1'))} as l{k}" for k in range(2)] + [f"{side(weights.right, weights.right_bias, k, ('o', '1'))} as r{k}" for k in range(2)])
+    total = ", ".join(f"l{k} + r{k} + {n(weights.edge[k][0])}*a as t{k}" for k in range(2))
+    active = ", ".join(f"case when t{k} > 0 then t{k} else 0.2e0*t{k} end as y{k}" for k in range(2))
+    d_total = ", ".join(f"ds*{n(weights.score[k])}*case when t{k} > 0 then 1 else 0.2e0 end as d{k}" for k in range(2))
+    named = [(f"left.{2 * k + i}", f"(al*q{k} + d{k})*x{i}") for k in range(2) for i in range(2)] + [(f"left_bias.{k}", f"al*q{k} + d{k}") for k in range(2)]
+    named += [(f"right.{2 * k + i}", f"d{k}*{x}") for k in range(2) for i, x in enumerate(("o", "1"))] + [(f"right_bias.{k}", f"d{k}") for k in range(2)]
+    named += [(f"edge.{k}", f"d{k}*a") for k in range(2)] + [(f"score.{k}", f"ds*y{k}") for k in range(2)]
+    rows = " union all ".join(f"select '{name}.{w.split('.')[0]}' as weight, {w.split('.')[1]} as pos, sum({v}) as value from {name}_d" for w, v in named)
+    return f"""{name}_l as (select *, {lines} from ({source}) q), {name}_t as (select *, {total} from {name}_l), {name}_y as (select *, {active} from {name}_t),
+ {name}_u as (select *, exp({n(weights.score[0])}*y0 + {n(weights.score[1])}*y1) as u from {name}_y),
+ {name}_a as (select *, u/sum(u) over (partition by dst) as al, sum(u*l0) over (partition by dst)/sum(u) over (partition by dst) as m0, sum(u*l1) over (partition by dst)/sum(u) over (partition by dst) as m1 from {name}_u),
+ {name}_s as (select *, al*(q0*l0 + q1*l1 - q0*m0 - q1*m1) as ds from {name}_a join h on h.id = dst), {name}_d as (select *, {d_total} from {name}_s),
+ {name}_g as ({rows} union all select '{name}.bias', 0, sum(q0) from h union all select '{name}.bias', 1, sum(q1) from h)"""
+
+
+_of_parts = _lines('l_partkey', 'part', 'p_partkey', 'p_size/50e0', 'p_retailprice/1999e0')
+_of_suppliers = _lines('l_suppkey', 'supplier', 's_suppkey', 's_nationkey/25e0', 's_acctbal/10000e0')
+_pulled = [f"case when h{k} > 0 then {sum(rt.PULL[c] * float(rt.OUTPUT.weight[c][k]) for c in range(2))!r}e0 else 0e0 end as q{k}" for k in range(2)]
+_linear = " union all ".join(
+    [f"select 'order.weight' as weight, {2 * c + k} as pos, {rt.PULL[c]!r}e0*sum(h{k}) as value from h" for c in range(2) for k in range(2)] + [f"select 'order.bias', {c}, {rt.PULL[c]!r}e0*count(*) from h" for c in range(2)]
+)
+ORACLES["encoder_gradient"] = f"""with {_attention('pa', rt.ATTENTION, _of_parts)}, {_attention('su', rt.ATTENTION_2, _of_suppliers)},
+ z as (select pa.id, greatest(pa.m0 + su.m0, 0) as h0, greatest(pa.m1 + su.m1, 0) as h1 from pa join su using (id)), h as (select *, {', '.join(_pulled)} from z),
+ {_gradient('part', rt.ATTENTION, _of_parts)}, {_gradient('supplier', rt.ATTENTION_2, _of_suppliers)}
+select weight, cast(pos as int) as pos, round(value, 4) + 0e0 as value from (select * from part_g union all select * from supplier_g union all {_linear}) q"""
+
+
 def _headed(name: str, table: str, key: str, width: int, s: int) -> str:
     """Memberships (id, k, p) under the fixed heads."""
     dot = " + ".join(f"cos(k + {2 * i + s}e0)*cos({0.1 * (i + 1)!r}e0*{key})" for i in range(8))

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plotweave.functions import clean, measure
-from plotweave.operators import clip, features, fusion, graph as g, knn, links, propagate, zoning
-from plotweave.operators.encode import Linear, apply_linear, attention_pass, relation_sum
+from plotweave.operators import clip, features, fusion, graph as g, knn, learn, links, propagate, zoning
+from plotweave.operators.encode import Encoder, Linear, apply_linear, attention_pass, relation_sum
 from plotweave.operators.fit import Heads, Settings, build_blocks, evaluate, memberships
 from plotweave.plans import pipeline, raw, sweep
 from plotweave.plans.fixtures import Tables
@@ -261,6 +261,31 @@ def encoder_layer(t: Tables) -> DataFrame:
     return out.select("id", *[rounded(F.col("o")[i], 5).alias(f"o{i}") for i in range(2)])
 
 
+# Gradient by the output that the query below starts from.
+PULL = (1.0, 2.0)
+LINES, SUPPLIES = ("part", "line", "order"), ("supplier", "line", "order")
+
+
+@query
+def encoder_gradient(t: Tables) -> DataFrame:
+    """Gradient of the sum of o0 + 2 o1 over all orders by every weight of the layer above, by the backward passes."""
+    nodes = {
+        "part": t.part.select(F.col("p_partkey").alias("id"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 1999.0).alias("features")),
+        "supplier": t.supplier.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_nationkey") / 25.0, F.col("s_acctbal") / 10000.0).alias("features")),
+        "order": t.orders.select(F.col("o_orderkey").alias("id"), F.array(F.col("o_totalprice") / 100000.0, F.lit(1.0)).alias("features")),
+    }
+    edges = lambda c: t.lineitem.select(F.col(c).alias("src"), F.col("l_orderkey").alias("dst"), F.col("l_discount").alias("w"))
+    graph = g.Graph(nodes, {LINES: edges("l_partkey"), SUPPLIES: edges("l_suppkey")})
+    encoder = Encoder([{LINES: ATTENTION, SUPPLIES: ATTENTION_2}], {"order": OUTPUT})
+    blocks = learn.build_edge_blocks(graph)
+    layers, _ = learn.forward(blocks, encoder, learn.node_table(graph, blocks.kinds))
+    pull = layers[-1].outputs.select("kind", "id", F.array(*map(F.lit, PULL)).alias("g"))
+    grads = learn.backward(blocks, encoder, layers, pull)
+    label = lambda key: f"{key[1] if key[0] == 'out' else key[1][0]}.{key[2]}"
+    rows = [(label(key), k, float(v)) for key, value in grads.items() for k, v in enumerate(value.ravel())]
+    return t.spark.createDataFrame(rows, "weight string, pos int, value double").withColumn("value", rounded(F.col("value"), 4) + 0.0)
+
+
 def fixed_heads() -> Heads:
     """Heads and gates by formula, shared with the SQL counterpart."""
     heads = Heads({}, {})
