@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,8 +123,8 @@ def test_runs_of_sorted_pointers(seed):
 @pytest.mark.parametrize("few", [False, True])
 def test_divergence_against_plain_sums(spark, monkeypatch, few):
     if few:
-        # many flushes, shards and steps give the same
-        for name, value in (("GATHERED", 8), ("SLICE", 64), ("SHARD_CELLS", 4), ("CELLS", 3), ("BROADCAST_ROWS", 0)):
+        # many shards, and joins by shuffle, give the same
+        for name, value in (("SHARD_CELLS", 4), ("BROADCAST_ROWS", 0)):
             monkeypatch.setattr(sd, name, value)
     r = random.Random(8)
     words = ["the", "THE", "of", "été", "Été", "longishword", "longishwords", "z"] + [f"q{chr(97 + k)}" for k in range(12)]
@@ -157,6 +158,32 @@ def test_divergence_against_plain_sums(spark, monkeypatch, few):
     assert top == want_top
 
 
+def test_flushes_and_steps_of_a_task_add_up(monkeypatch):
+    r = random.Random(3)
+    rows = [(r.choice(["en", None]), r.choice(["s1", "s2"]), " ".join(r.choices(["a", "bb", "ccc", "É"], k=9)) if k % 7 else None) for k in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[k : k + 25])], ["lang", "source", "text"]) for k in (0, 25, 50)]
+
+    def totals():
+        out = Counter()
+        for b in sd._count_terms(iter(batches)):
+            for x in b.to_pylist():
+                out[x["lang"], x["term"], "docs"] += x["docs"]
+                out[x["lang"], x["term"], "total"] += x["total"]
+                for c in x["of"]:
+                    out[x["lang"], x["term"], c["source"]] += c["n"]
+        return out
+
+    whole = totals()
+    assert whole["", "É", "docs"] == sum(1 for lang, _, t in rows if lang is None and "É" in (t or ""))
+    groups = pa.table({"lang": ["en"] * 3, "source": ["b", "a", "c"], "bottom": pa.array([50, 70, 40], pa.int64())})
+    terms = pa.table({"lang": ["en"] * 4, "of": [[{"source": "a", "n": 3}], [{"source": "c", "n": 9}, {"source": "b", "n": 1}], [], [{"source": "a", "n": 1}]]})
+    pairs = sd._pair_sums(groups, terms).to_pylist()
+    for name, value in (("GATHERED", 8), ("SLICE", 64), ("CELLS", 3)):
+        monkeypatch.setattr(sd, name, value)
+    assert totals() == whole
+    assert sd._pair_sums(groups, terms).to_pylist() == pairs
+
+
 def test_shares_are_exact_for_large_counts(spark):
     cases = [(0, 10), (5, 10), (10**14 + 7, 8 * 10**15 + 3), (123456789012, 9 * 10**14), (0, 9 * 10**15 - 1)]
     want = [1 + 10**9 * (c + 5) // b for c, b in cases]
