@@ -102,23 +102,3 @@ def bounds(polygons: Column) -> Column:
     return F.struct(
         F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")
     )
-
-
-def clean_polygon(polygons: Column) -> Column:
-    """Drop repeated vertices, close rings, drop rings below three corners, orient outer rings
-    counter-clockwise and holes clockwise."""
-
-    def tidy(ring: Column) -> Column:
-        kept = F.filter(ring, lambda v, i: (i == 0) | (v != F.element_at(ring, F.greatest(i, F.lit(1)))))
-        return F.when(
-            (F.size(kept) > 0) & (kept[0] != F.element_at(kept, -1)), F.concat(kept, F.array(kept[0]))
-        ).otherwise(kept)
-
-    def orient(ring: Column, i: Column) -> Column:
-        ccw = ring_moment(ring)["a2"] >= 0
-        return F.when((i == 0) == ccw, ring).otherwise(F.reverse(ring))
-
-    tidied = F.transform(polygons, lambda p: F.filter(F.transform(p, tidy), lambda r: F.size(r) >= 4))
-    # without its outer ring a polygon has nothing left to cut holes from
-    outer_kept = F.filter(F.arrays_zip(tidied.alias("t"), F.transform(polygons, lambda p: F.size(tidy(p[0])) >= 4).alias("ok")), lambda z: z["ok"])
-    return F.transform(outer_kept, lambda z: F.transform(z["t"], orient))

@@ -330,22 +330,3 @@ def convex_rings(flat: Flat) -> np.ndarray:
     still = np.bincount(ring, ~moving, n_rings) > 0
     once = np.abs(np.abs(np.bincount(ring, turn, n_rings)) - 2 * np.pi) < 1e-6
     return (n >= 3) & once & (left != right) & ~still
-
-
-def clip_ring(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
-    """Part of a closed ring inside a counter-clockwise convex loop (closed again, or empty)."""
-    out = ring[:-1]
-    for a, b in zip(convex, np.roll(convex, -1, axis=0)):
-        if not len(out):
-            break
-        d = b - a
-        side = d[0] * (out[:, 1] - a[1]) - d[1] * (out[:, 0] - a[0])
-        nxt, nside = np.roll(out, -1, axis=0), np.roll(side, -1)
-        piece = []
-        for i in range(len(out)):
-            if side[i] >= 0:
-                piece.append(out[i])
-            if (side[i] > 0 > nside[i]) or (side[i] < 0 < nside[i]):
-                piece.append(out[i] + (nxt[i] - out[i]) * (side[i] / (side[i] - nside[i])))
-        out = np.array(piece).reshape(-1, 2)
-    return np.vstack([out, out[:1]]) if len(out) >= 3 else np.empty((0, 2))

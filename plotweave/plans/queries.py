@@ -17,7 +17,7 @@ from plotweave.functions.geoarrays import from_wkb, to_wkb
 from plotweave.functions.project import GRID_SRID, lambert93
 from plotweave.functions.shapes import SHAPE_COLUMNS, with_shape_features
 from plotweave.functions.vectors import argmax, fourier, softmax
-from plotweave.operators import clip, features, fusion, graph as g, knn, links, propagate, spatial, tripartite as tri, zoning
+from plotweave.operators import features, fusion, graph as g, knn, links, overlay, propagate, spatial, tripartite as tri, zoning
 from plotweave.operators.encode import Attention, attention_pass
 from plotweave.operators.fit import Settings, build_blocks, fit, history_table, memberships
 from plotweave.plans import pipeline, raw, sweep
@@ -254,8 +254,7 @@ def knn_edges(t: Tables) -> DataFrame:
 def clip_to_boundary(t: Tables) -> DataFrame:
     k = F.col("r_regionkey")
     regions = t.region.select(k, measure.rectangle(k * 0 + 100.5, k * 0 + 100.5, 500.0 + k * 100.0, 300.0 + k * 100.0).alias("polygons"))
-    boundary = clip.outline_of(regions.filter(F.col("r_regionkey") == 1))
-    cut_out = clip.clip(t.buildings().select("building", "polygons"), boundary)
+    cut_out = overlay.clip(t.buildings().select("building", "polygons"), regions.filter(F.col("r_regionkey") == 1))
     return cut_out.select("building", rounded(measure.area(F.col("polygons"))).alias("area"))
 
 

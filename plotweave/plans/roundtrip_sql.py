@@ -76,6 +76,32 @@ ORACLES["boundary_union"] = f"""with {_CENTRE} select distinct building from c j
  and cy between 100.3e0 + r_regionkey*40e0 and 200.3e0 + r_regionkey*40e0"""
 ORACLES["repaired_parts"] = f"""with {BUILDING} select building, cast(2 as bigint) as parts, cast(5 as bigint) as corners, round(w*w, 6) as area, round(4*w, 6) as perimeter from v_building"""
 
+# disjoint rectangles that make up the areas of the query
+_AREAS = ((150.25, 150.25, 350.25, 200.25), (150.25, 200.25, 200.25, 300.25), (400.5, 200.5, 430.5, 300.5), (460.5, 200.5, 500.5, 300.5), (430.5, 200.5, 460.5, 230.5),
+          (430.5, 270.5, 460.5, 300.5), (550.5, 300.5, 650.5, 350.5), (650.5, 320.5, 700.5, 400.5), (600.5, 350.5, 650.5, 400.5))
+_common = lambda b, r: f"greatest(least({b[2]}, {r[2]!r}e0) - greatest({b[0]}, {r[0]!r}e0), 0)*greatest(least({b[3]}, {r[3]!r}e0) - greatest({b[1]}, {r[1]!r}e0), 0)"
+_whole, _gone = (" + ".join(_common(b, r) for r in _AREAS) for b in (("x0", "y0", "x0+w", "y0+h"), ("x0+w/2", "y0+h/2", "x0+w", "y0+h")))
+ORACLES["clip_to_outline"] = f"""with {BUILDING}, c as (select building, {_whole} - case when notch then {_gone} else 0e0 end as area from v_building)
+select building, round(area, 6) as area from c where area > 1e-9"""
+
+ORACLES["union_outlines"] = """with b as (select p_partkey % 7 as grp, p_partkey*37 % 211 as x0, p_partkey*53 % 157 as y0, 1 + p_partkey % 9 as w, 1 + p_partkey % 5 as h from part),
+ c as (select grp, x0 + unnest(range(w)) as x, y0, h from b), u as (select distinct grp, x, y0 + unnest(range(h)) as y from c),
+ n as (select u.grp, u.x, u.y, (a.grp is null)::int + (b2.grp is null)::int + (d.grp is null)::int + (e.grp is null)::int as open from u
+   left join u a on a.grp = u.grp and a.x = u.x - 1 and a.y = u.y left join u b2 on b2.grp = u.grp and b2.x = u.x + 1 and b2.y = u.y
+   left join u d on d.grp = u.grp and d.x = u.x and d.y = u.y - 1 left join u e on e.grp = u.grp and e.x = u.x and e.y = u.y + 1)
+select cast(grp as bigint) as grp, count(*)*1e0 as area, sum(open)*1e0 as perimeter, count(*)*1e0 as shape_area, sum(open)*1e0 as shape_perimeter from n group by grp"""
+
+# a corner is sixteen chords: half their sine in area, twice that of half the angle in length, per unit
+_arc_area, _arc_length = 32 * math.sin(math.pi / 32), 128 * math.sin(math.pi / 64)
+ORACLES["zone_outlines"] = f"""with {BUILDING}, {SOFT_Y}, {HARD_Y}, top as (select community from (select community, count(*) as n from hy group by community) q order by n desc, community limit 1),
+ z as (select community, w*h + 2*(w + h)*{rt.REACH!r}e0 + {rt.REACH**2 * _arc_area!r}e0 as a, 2*(w + h) + {rt.REACH * _arc_length!r}e0 as p
+   from v_building join hy on id = building where community <> (select community from top))
+select cast(community as bigint) as community, count(*) as rings, round(avg(a), 1) as area, round(avg(a), 1) as ring_area, round(avg(p), 1) as perimeter from z group by community"""
+
+ORACLES["valid_outlines"] = f"""with {BUILDING} select building, cast(case building % 4 when 0 then 2 when 2 then 2 else 1 end as bigint) as parts,
+ round(case building % 4 when 0 then w*h/2 when 1 then w*h when 2 then w*h + 1 else 2*w*h end, 6) as area,
+ round(case building % 4 when 0 then 2*h + 2*sqrt(w*w + h*h) when 1 then 2*(w + h) when 2 then 2*(w + h) + 4 else 2*(2*w + h) end, 6) as perimeter from v_building"""
+
 NEAR_BUILDINGS = f"""{BUILDING}, reach as (select 8*sqrt(790e0*490e0/count(*)) as d from v_building),
  cells as (select building as id, x0 as x, y0 as y, cast(floor(x0/(select d from reach)) as bigint) as gx, cast(floor(y0/(select d from reach)) as bigint) as gy from v_building),
  moves as (select dx, dy from (select unnest([-1, 0, 1]) as dx) a cross join (select unnest([-1, 0, 1]) as dy) b),

@@ -12,15 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plotweave.functions import clean, measure
-from plotweave.operators import clip, features, fusion, graph as g, knn, learn, links, propagate, zoning
+from plotweave.functions.repair import clean_polygon, make_valid
+from plotweave.functions.shapes import centroid
+from plotweave.operators import features, fusion, graph as g, knn, learn, links, overlay, propagate, spatial, zoning
 from plotweave.operators.encode import Encoder, Linear, apply_linear, attention_pass, relation_sum
 from plotweave.operators.fit import Heads, Settings, build_blocks, evaluate, memberships
 from plotweave.plans import pipeline, raw, sweep
-from plotweave.plans.fixtures import Tables
+from plotweave.functions.vectors import argmax, softmax
+from plotweave.plans.fixtures import Tables, wave_logits
 from plotweave.plans.queries import (
     ATTENTION, BETA, K_X, K_Y, K_Z, SHAPE, feature_rows, key_embedding, order_links, parcel_link_ids, partial_soft, query, rounded, soft_buildings,
 )
-from plotweave.session import cut, scratch_path
+from plotweave.session import cut, scratch_path, spread
 from plotweave.sources import geojson, tables as store
 
 # --- sources and sinks ---------------------------------------------------------------------
@@ -191,9 +194,83 @@ def boundary_union(t: Tables) -> DataFrame:
     """Buildings in the union of regions that overlap, one of them listed twice."""
     k = F.col("r_regionkey")
     box = measure.rectangle(100.3 + k * 60.0, 100.3 + k * 40.0, 250.3 + k * 60.0, 200.3 + k * 40.0)
-    regions = t.region.select(box.alias("polygons"))
-    inside = clip.clip(t.buildings().select("building", "polygons"), clip.outline_of(regions.union(regions.limit(1))))
-    return inside.select("building")
+    regions = t.region.select(k.alias("zone"), box.alias("polygons"))
+    centres = t.buildings().select(F.col("building").alias("id"), centroid(F.col("polygons")).alias("c")).select("id", "c.x", "c.y")
+    inside = spatial.zone_of_points(centres, regions.union(regions.filter(k == 2)))
+    return inside.select(F.col("id").alias("building"))
+
+
+def outline_regions(t: Tables) -> DataFrame:
+    """An L that comes twice, a square with a hole, and two rectangles that overlap."""
+    number = lambda v: F.lit(float(v))
+    ring = lambda *points: F.array(*[F.struct(number(x).alias("x"), number(y).alias("y")) for x, y in (*points, points[0])])
+    box = lambda x0, y0, x1, y1: ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
+    ell = ring((150.25, 150.25), (350.25, 150.25), (350.25, 200.25), (200.25, 200.25), (200.25, 300.25), (150.25, 300.25))
+    shapes = [F.array(F.array(s)) for s in (ell, box(550.5, 300.5, 650.5, 350.5), box(600.5, 320.5, 700.5, 400.5), F.reverse(ell))]
+    holed = F.array(F.array(box(400.5, 200.5, 500.5, 300.5), box(430.5, 230.5, 460.5, 270.5)))
+    k = F.col("r_regionkey")
+    picked = F.when(k == 0, shapes[0]).when(k == 1, holed).when(k == 2, shapes[1]).when(k == 3, shapes[2]).otherwise(shapes[3])
+    return t.region.select(k, picked.alias("polygons"))
+
+
+@query
+def clip_to_outline(t: Tables) -> DataFrame:
+    """Buildings cut by the union of areas that are not convex, have a hole, overlap or come twice."""
+    cut_out = overlay.clip(t.buildings().select("building", "polygons"), outline_regions(t))
+    return cut_out.select("building", rounded(measure.area(F.col("polygons"))).alias("area"))
+
+
+def plan_blocks(t: Tables) -> DataFrame:
+    """Rectangles with whole corners in seven groups, many of which overlap, touch or lie on one another."""
+    k = F.col("p_partkey")
+    x0, y0 = (k * 37 % 211).cast("double"), (k * 53 % 157).cast("double")
+    return t.part.select((k % 7).alias("grp"), measure.rectangle(x0, y0, x0 + 1 + k % 9, y0 + 1 + k % 5).alias("polygons"))
+
+
+@query
+def union_outlines(t: Tables) -> DataFrame:
+    """Area and length of the union of each group, from its edges and again from the geometry put together."""
+    rings, sums = overlay.dissolve(plan_blocks(t), "grp", side=64.0)
+    shapes = overlay.union_polygons(rings).select("grp", F.col("polygons").alias("p"))
+    both = sums.join(shapes, "grp")
+    return both.select(
+        F.col("grp"), rounded(F.col("area")).alias("area"), rounded(F.col("perimeter")).alias("perimeter"),
+        rounded(measure.area(F.col("p"))).alias("shape_area"), rounded(measure.perimeter(F.col("p"))).alias("shape_perimeter"),
+    )
+
+
+REACH = 40.0
+
+
+@query
+def zone_outlines(t: Tables) -> DataFrame:
+    """Community zones as polygons 40 m around buildings that stand apart: their rings, and means per ring."""
+    k = F.col("building")
+    x0, y0 = (k % 1000) * 128.0, F.floor(k / 1000) * 128.0
+    spaced = t.buildings().select(
+        k.cast("string").alias("rnb_id"), argmax(softmax(wave_logits(k, K_Y))).alias("community"), measure.rectangle(x0, y0, x0 + F.col("w"), y0 + F.col("h")).alias("polygons")
+    )
+    labels = spaced.select(F.col("rnb_id").alias("id_bat"), "community")
+    rings, sums = zoning.zone_outlines(spaced.drop("community"), labels, REACH)
+    parts = rings.groupBy("grp").agg(F.count("*").alias("rings"), F.sum("area").alias("ring_area"))
+    mean = lambda c: rounded(F.col(c) / F.col("rings"), 1).alias(c)
+    return sums.join(parts, "grp").select(F.col("grp").alias("community"), "rings", mean("area"), mean("ring_area"), mean("perimeter"))
+
+
+@query
+def valid_outlines(t: Tables) -> DataFrame:
+    """Outlines that cross themselves, have a spike, a hole outside or two parts that overlap: made valid."""
+    k, x, y, w, h = (F.col(c) for c in ("building", "x0", "y0", "w", "h"))
+    ring = lambda *points: F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in (*points, points[0])])
+    box = lambda x0, y0, x1, y1: ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
+    crossed = F.array(F.array(ring((x, y), (x + w, y + h), (x + w, y), (x, y + h))))
+    spiked = F.array(F.array(ring((x, y), (x + w, y), (x + w, y + h), (x + w / 2, y + h), (x + w / 2, y + h + 9), (x + w / 2, y + h), (x, y + h))))
+    outside = F.array(F.array(box(x, y, x + w, y + h), box(x + w + 1, y, x + w + 2, y + 1)))
+    double = F.array(F.array(box(x, y, x + w, y + h)), F.array(box(x + w / 2, y, x + 2 * w, y + h)))
+    kind = k % 4
+    broken = F.when(kind == 0, crossed).when(kind == 1, spiked).when(kind == 2, outside).otherwise(double)
+    rows = spread(t.buildings()).select("building", make_valid(broken).alias("p"))
+    return rows.select("building", F.size("p").cast("long").alias("parts"), rounded(measure.area(F.col("p"))).alias("area"), rounded(measure.perimeter(F.col("p"))).alias("perimeter"))
 
 
 @query
@@ -204,7 +281,7 @@ def repaired_parts(t: Tables) -> DataFrame:
     big = F.array(point(x, y), point(x, y), point(x, y + w), point(x + w, y + w), point(x + w, y))
     small = F.array(point(x + 100, y), point(x + 102, y), point(x + 102, y + 1), point(x + 100, y + 1), point(x + 100, y))
     line = F.array(point(x, y), point(x + 1, y), point(x, y))
-    rows = t.buildings().select("building", measure.clean_polygon(F.array(F.array(small), F.array(big), F.array(line))).alias("p"))
+    rows = t.buildings().select("building", clean_polygon(F.array(F.array(small), F.array(big), F.array(line))).alias("p"))
     part = F.array(measure.largest_part(F.col("p")))
     return rows.select("building", F.size("p").cast("long").alias("parts"), F.size(part[0][0]).cast("long").alias("corners"), rounded(measure.area(part)).alias("area"), rounded(measure.perimeter(part)).alias("perimeter"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from plotweave.functions.measure import clean_polygon
+from plotweave.functions.repair import clean_polygon
 from plotweave.functions.project import LONLAT_SRID, reproject
 
 _FEATURE = T.StructType(

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from plotweave.functions import measure
 from plotweave.functions.geoarrays import Flat, flatten, from_wkb, nest_lists, polygons_of_wkb, to_wkb, wkb_of_polygons
 from plotweave.functions.measure import POLYGONS
-from plotweave.functions.planar import clip_ring, hull, measures, touching
+from plotweave.functions.planar import hull, measures, touching
 from plotweave.functions.shapes import centroid, with_shape_features
-from plotweave.operators import clip, spatial
+from plotweave.functions.repair import clean_polygon
+from plotweave.operators import spatial
 
 ring = lambda *pts: [tuple(map(float, p)) for p in (*pts, pts[0])]
 box = lambda x0, y0, x1, y1: [ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
@@ -59,7 +60,7 @@ def test_largest_part_and_bounds(spark):
 
 def test_clean_polygon_closes_orients_and_drops(spark):
     messy = [[[(0.0, 0.0), (0.0, 1.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)], [(0.1, 0.1), (0.2, 0.2), (0.1, 0.1)]]]
-    got = frame(spark, [messy]).select(measure.clean_polygon(F.col("polygons")).alias("p")).first()["p"]
+    got = frame(spark, [messy]).select(clean_polygon(F.col("polygons")).alias("p")).first()["p"]
     assert len(got) == 1 and len(got[0]) == 1
     pts = [(v["x"], v["y"]) for v in got[0][0]]
     assert pts[0] == pts[-1] and len(pts) == 5
@@ -138,17 +139,6 @@ def test_zone_of_points_takes_lowest_and_splits_hot_tiles(spark):
         assert got == want
 
 
-def test_clip_convex_cuts_and_other_keeps_by_centre(spark):
-    df = frame(spark, [[box(-1, -1, 1, 1)], [box(1, 1, 2, 2)], [box(8, 8, 9, 9)], [box(2, 2, 2.5, 2.5)]])
-    loop = [[np.array(box(0, 0, 3, 3)[0])]]
-    got = {r["id"]: r["a"] for r in clip.clip(df, loop).select("id", measure.area(F.col("polygons")).alias("a")).collect()}
-    assert got == pytest.approx({0: 1.0, 1: 1.0, 3: 0.25})
-    ell = [[np.array([(0, 0), (3, 0), (3, 1.2), (1.2, 1.2), (1.2, 3), (0, 3), (0, 0)], float)]]
-    assert not clip.is_convex(ell)
-    assert {r["id"] for r in clip.clip(df, ell).collect()} == {0}
-    assert clip_ring(np.array(box(5, 5, 6, 6)[0]), hull(loop[0][0])).shape == (0, 2)
-
-
 def test_reprojection_origin_and_explicit_system(spark):
     from plotweave.functions.project import lambert93, reproject
 
