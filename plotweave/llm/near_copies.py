@@ -1,26 +1,25 @@
 """Near-duplicate classes (operator 8): Order MinHash proposes pairs, banded alignment confirms them.
 
 Each text is reduced to its five-word k-mers, labelled by how often the k-mer occurred before in the text.
-For each of 16 hash functions the two labelled k-mers of least hash are taken; the pair, in the order in
-which they stand in the text, is one sketch key. Texts that agree in a key share a bucket. Two texts with
-a share J of common labelled k-mers in the same order agree in one key with probability about J^2, so at
-0.8 fewer than one pair in a million shares no bucket, and at 0.5 one in a hundred.
+A hash lays them on a circle; from each of 16 points on it the next two are taken, and the pair, in the order in
+which they stand in the text, is a sketch key. Five such circles give up to 80 keys, two
+more up to 112 where a text has at most 128 k-mers. Texts that agree in a key
+share a bucket. Two texts with a share J of common labelled k-mers agree at a point with probability about J^2:
+of pairs whose words differ at random in 5, 10 and 15 % of places fewer than one in a hundred shares no bucket,
+at 20 %, the limit, about one in twenty (a test measures it).
 
 Two texts are linked if they share a bucket and 1 - d / (words of the longer text) is at least 0.8, d being
 the edit distance over words. The alignment is banded: its half width doubles until the distance fits into
 it or exceeds the limit, so close copies are cheap. Classes are the connected parts.
 
-Equal texts are one node from the start, whatever their number. In a bucket every node is aligned with
-the bucket's least node only, so the work is linear in its size. A bucket may also hold texts that are
-alike in a small part, such as a common passage; there the least node can be unlike two texts that are
-like each other. Buckets that still hold several classes are therefore cut finer and treated again: by
-bucket and length (equal words, and ranges of 4 and 16 words, each at two offsets) and by pairs of buckets
-that a node is in (neighbours in the order of their keys), each part aligned with its least node. This is
-repeated on what is still mixed until no link between classes is found; it only keeps the rest small.
-
-The rest is exact. What is still mixed goes in blocks of at most about `BLOCK` nodes of a bucket, every two
-blocks of it once, and inside a block all nodes of different classes meet. A pair is listed only if its
-lengths and its word counts in `BINS` bins leave room for a link: an edit changes one count up, one down or
+Equal texts are one node from the start, whatever their number. Buckets with the same members are one bucket: a
+group of near copies mostly shares all its keys. In a bucket every node is first aligned with the bucket's least
+node only, so the work is linear in its size. A bucket may also hold texts that are alike in a small part, such
+as a common passage; there the least node can be unlike two texts that are like each other.
+
+What is still of several classes in a bucket is compared exactly. It goes in blocks of at most about `BLOCK` nodes,
+every two blocks of a bucket once, and inside a block all nodes of different classes meet. A pair is listed only
+if its lengths and its word counts in `BINS` bins leave room for a link: an edit changes one count up, one down or
 both, so the counts that one text has more than the other are a lower bound of the distance. The listed
 pairs are aligned. So every two texts that share a bucket and are alike end in one class; comparing counts
 takes time with the square of what is mixed in a bucket, but no rows.
@@ -47,7 +46,11 @@ from plotweave.operators.components import components
 from plotweave.session import cut, ship
 
 WIDTH = 5
-SKETCHES = 16
+# Circles, and how many more for texts of at most SHORT k-mers; points per circle, a power of two.
+CIRCLES = 5
+MORE = 2
+SHORT = 128
+POINTS = 16
 SHARE = 0.8
 # Rows of 64-bit hashes that may be broadcast: 32 MB as a hashed relation.
 BROADCAST_ROWS = 2_000_000
@@ -56,9 +59,7 @@ BLOCK = 2048
 BINS = 256
 
 _U = np.uint64
-_SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_ODDS = mix(_SEEDS + _U(17)) | _U(1)
-_LAST = _U(2**64 - 1)
+_SEEDS = mix(np.arange(1, CIRCLES + MORE + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def _digest(text: Column) -> Column:
@@ -86,33 +87,37 @@ def kmers(words: np.ndarray, first: np.ndarray, width: int = WIDTH) -> tuple[np.
     return h, border
 
 
-def sketch_keys(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Words per text, and its keys: `SKETCHES` per text with words, else zeros."""
+def sketch_keys(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words per text, the different keys of all texts, and the index of each text's first key."""
     start, end, first = t.words()
     grams, border = kmers(span_hashes(t.data, start, end), first)
     count = np.diff(border)
-    some = np.flatnonzero(count)
-    out = np.zeros((t.n, SKETCHES), np.uint64)
-    if len(some):
-        owner = np.repeat(np.arange(t.n), count)
-        label = mix(grams + mix(owner.astype(np.uint64)))
-        labelled = mix(grams + occurrence(label).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-        heads, size = border[some], count[some]
-        for j in range(SKETCHES):
-            v = (labelled ^ _SEEDS[j]) * _ODDS[j]
-            v ^= v >> _U(32)
-            picked = []
-            for _ in range(2):
-                low = np.minimum.reduceat(v, heads)
-                at = np.flatnonzero(v == np.repeat(low, size))
-                # equal hashes of one text: the first place counts
-                at = at[np.flatnonzero(np.diff(owner[at], prepend=-1))]
-                picked.append(at)
-                v[at] = _LAST
-            # a text with a single k-mer picks it twice
-            one, two = np.minimum(*picked), np.maximum(*picked)
-            out[some, j] = mix(mix(grams[one] + _SEEDS[j]) ^ grams[two])
-    return np.diff(first), out
+    owner = np.repeat(np.arange(t.n), count)
+    label = mix(grams + mix(owner.astype(np.uint64)))
+    labelled = mix(grams + occurrence(label).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    some, short = count > 0, count[owner] <= SHORT
+    found = []
+    for k, seed in enumerate(_SEEDS):
+        # the later circles are for short texts only
+        use = np.flatnonzero(short) if k >= CIRCLES else np.arange(len(grams))
+        texts = np.flatnonzero(some & (count <= SHORT)) if k >= CIRCLES else np.flatnonzero(some)
+        v = mix(labelled[use] ^ seed)
+        order = np.argsort((owner[use].astype(np.uint64) << _U(40)) | (v >> _U(24)))
+        arc = owner[use] * POINTS + (v // _U(2**64 // POINTS)).astype(np.int64)
+        at = np.cumsum(np.bincount(arc, minlength=t.n * POINTS))
+        # the first k-mer behind each point, around the circle, and the one after it
+        one = np.concatenate([[0], at[:-1]]).reshape(t.n, POINTS)[texts]
+        low, past = one[:, :1], at.reshape(t.n, POINTS)[texts, -1:]
+        one = np.where(one == past, low, one)
+        two = np.where(one + 1 == past, low, one + 1)
+        one, two = use[order[one]], use[order[two]]
+        found.append((np.repeat(texts, POINTS), mix(mix(grams[np.minimum(one, two)] + _U(0x51ED2701)) ^ grams[np.maximum(one, two)]).ravel()))
+    texts, keys = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((keys, texts))
+    texts, keys = texts[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
+    return np.diff(first), keys[new], np.concatenate([[0], np.cumsum(np.bincount(texts[new], minlength=t.n))])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -122,9 +127,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, past, t in slices(b.column(3)):
-                n, keys = sketch_keys(t)
-                sizes = np.where(n > 0, SKETCHES, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[n > 0].ravel().view(np.int64)))
+                n, keys, border = sketch_keys(t)
+                lists = pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*[c[first:past] for c in b.columns[:3]], pa.array(n, pa.int64()), lists], ["doc_id", "node", "hash", "n_words", "keys"])
 
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, hash long, n_words long, keys array<long>")
@@ -266,20 +270,6 @@ def _verified(pairs: DataFrame, words: DataFrame, share: float) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-# Widths and offsets of the ranges of words that cut a mixed bucket.
-LENGTHS = ((1, 0), (4, 0), (4, 2), (16, 0), (16, 8))
-
-
-def _finer(members: DataFrame) -> DataFrame:
-    """`(group, node, n, class)`: nodes of mixed buckets by bucket and length, and by two buckets."""
-    by_length = F.array(*[F.xxhash64("key", F.lit(w), F.floor((F.col("n") + o) / w)) for w, o in LENGTHS])
-    lengths = members.select(F.explode(by_length).alias("group"), "node", "n", "class")
-    # a node is in SKETCHES buckets at most; each is taken with the next two in order of their keys
-    own = members.groupBy("node", "n", "class").agg(F.sort_array(F.collect_list("key")).alias("k")).filter(F.size("k") > 1)
-    two = F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, 2), lambda y: F.xxhash64(x, y)))
-    return lengths.union(own.select(F.explode(F.flatten(two)).alias("group"), "node", "n", "class"))
-
-
 def profiles(packed: list[bytes]) -> np.ndarray:
     """How many words of each text fall into each bin, 255 standing for more."""
     sizes = np.array([len(p) // 4 for p in packed], np.int64)
@@ -363,8 +353,11 @@ def near_copies(docs: DataFrame, share: float = SHARE, block: int = BLOCK) -> Da
     signed = cut(signatures(docs), "signatures")
     nodes = signed.filter("n_words > 0").groupBy("node").agg(F.min("n_words").alias("n"), F.min("keys").alias("keys"))
     entries = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most"))
-    members = cut(entries.join(shared.select("key", "least"), "key"), "members")
+    # a bucket is known by its size and two sums over its members; of those that agree one is kept
+    mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    buckets = entries.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size"), mark(1).alias("x"), mark(2).alias("y")).filter("size > 1")
+    single = buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.min("least").alias("least"))
+    members = cut(entries.join(single.select("key", "least"), "key"), "members")
 
     names = cut(members.select("node").distinct(), "names")
     hashes = cut(signed.join(names, "node", "left_semi").select("hash").distinct(), "hashes")
@@ -376,24 +369,12 @@ def near_copies(docs: DataFrame, share: float = SHARE, block: int = BLOCK) -> Da
     sizes = members.select(F.col("node").alias("least"), F.col("n").alias("_ln")).distinct()
     stars = members.filter("node <> least").select("node", "least", "n").distinct().join(sizes, "least").filter(fits(F.col("n"), F.col("_ln")))
     pairs = cut(stars.select(F.col("least").alias("a"), F.col("node").alias("b")), "pairs")
-    checked = pairs
     links = cut(_verified(pairs, words, share), "links")
-    while True:
-        roots = cut(components(links), "classes")
-        classed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
-        mixed = classed.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
-        left = cut(classed.join(mixed.select("key"), "key", "left_semi"), "mixed")
-        groups = _finer(left)
-        heads = groups.groupBy("group").agg(F.min(F.struct("node", "class", "n")).alias("_head"))
-        met = groups.join(heads, "group").filter((F.col("class") != F.col("_head.class")) & fits(F.col("n"), F.col("_head.n")))
-        fresh = met.select(F.least("node", "_head.node").alias("a"), F.greatest("node", "_head.node").alias("b")).distinct()
-        pairs = cut(fresh.join(checked, ["a", "b"], "left_anti"), "pairs")
-        found = cut(_verified(pairs, words, share), "links")
-        checked, links = checked.union(pairs), links.union(found)
-        if found.isEmpty():
-            break
-    # all that is left between classes is seen here, so no further round is needed
-    pairs = cut(_rest(left, words, share, block).join(checked, ["a", "b"], "left_anti"), "pairs")
+    roots = cut(components(links), "classes")
+    classed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
+    mixed = classed.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
+    left = cut(classed.join(mixed.select("key"), "key", "left_semi"), "mixed")
+    pairs = cut(_rest(left, words, share, block).join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = cut(_verified(pairs, words, share), "links")
     if not found.isEmpty():
         roots = cut(components(links.union(found)), "classes")

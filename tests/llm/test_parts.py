@@ -169,11 +169,36 @@ def test_sketches_of_similar_texts_meet():
         edited = words.copy()
         edited[random.choice(300, 6, replace=False)] += 10**6
         texts = pa.array([" ".join(map(str, words)), " ".join(map(str, edited))])
-        _, keys = near_copies.sketch_keys(next(textarrays.slices(texts))[2])
-        met += bool(set(keys[0]) & set(keys[1]))
+        _, keys, border = near_copies.sketch_keys(next(textarrays.slices(texts))[2])
+        met += bool(set(keys[: border[1]]) & set(keys[border[1] :]))
     assert met == 60
 
 
+@pytest.mark.parametrize("n", [60, 200, 1500])
+@pytest.mark.parametrize("percent, least", [(5, 0.99), (10, 0.99), (15, 0.97), (20, 0.9)])
+def test_linked_texts_share_a_bucket(n, percent, least):
+    """Words replaced at random, down to the similarity of a link."""
+    random = np.random.default_rng(n + percent)
+    texts, pairs = [], 250
+    for _ in range(pairs):
+        words = random.integers(0, 10**6, n)
+        edited = words.copy()
+        edited[random.choice(n, n * percent // 100, replace=False)] += 10**6
+        texts += [" ".join(map(str, words)), " ".join(map(str, edited))]
+    _, keys, border = near_copies.sketch_keys(next(textarrays.slices(pa.array(texts), 1 << 30))[2])
+    own = [set(keys[a:b].tolist()) for a, b in zip(border, border[1:])]
+    assert sum(bool(own[2 * k] & own[2 * k + 1]) for k in range(pairs)) >= least * pairs
+
+
+def test_keys_of_short_and_repeated_texts():
+    texts = ["", "one", "one two", "a b c d e", "a b c d e f", "x " * 500, "a b c d e"]
+    n, keys, border = near_copies.sketch_keys(next(textarrays.slices(pa.array(texts)))[2])
+    assert n.tolist() == [0, 1, 2, 5, 6, 500, 5]
+    own = [keys[a:b].tolist() for a, b in zip(border, border[1:])]
+    assert own[0] == [] and own[3] == own[6] and [len(k) for k in own[1:4]] == [1, 1, 1]
+    assert len(own[4]) == 1 and all(len(set(k)) == len(k) <= 112 for k in own)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=30), min_size=2, max_size=8), st.sampled_from([0.5, 0.8]))
 def test_counts_never_hide_a_link(texts, share):
@@ -197,7 +222,8 @@ def test_copies_beside_a_shared_passage(spark, block):
         texts.append(passage + own)
         if k < 40:
             texts.append(passage + own[: 25 - 18 + k % 8] + [f"c{k}x{j}" for j in range(18 - k % 8)])
-    _, keys = near_copies.sketch_keys(next(textarrays.slices(pa.array([" ".join(t) for t in texts])))[2])
+    _, flat, border = near_copies.sketch_keys(next(textarrays.slices(pa.array([" ".join(t) for t in texts])))[2])
+    keys = [set(flat[a:b].tolist()) for a, b in zip(border, border[1:])]
     root = list(range(len(texts)))
 
     def find(k):
@@ -207,7 +233,7 @@ def test_copies_beside_a_shared_passage(spark, block):
 
     for a in range(len(texts)):
         for b in range(a):
-            if set(keys[a]) & set(keys[b]) and _distance(texts[a], texts[b]) <= 20:
+            if keys[a] & keys[b] and _distance(texts[a], texts[b]) <= 20:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     want = {k: find(k) for k in range(len(texts))}
