@@ -1,6 +1,6 @@
 """Token-ID files (operator 5): documents in id order, their ids in frames of independent coded blocks.
 
-A shard is one range of document ids; it holds frames of whole documents, and a frame holds a document
+The pipeline gives another order, that of training. A shard is one range of it; it holds frames of whole documents, and a frame holds a document
 table and blocks of at most 4,096 ids, coded by the mixing range coder, each with a checksum of its ids
 and one of its bytes. Shards are written as Parquet files with one frame per row, so that Spark's
 committer deals with lost and repeated tasks, any store that Spark can write works, and the frames of a
@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plotweave.llm.mixing_coder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
 from plotweave.llm.tokens import encoder
@@ -91,15 +92,17 @@ def unpack_many(frames: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield doc_ids, nulls, sizes, np.concatenate(own) if own else np.zeros(0, np.uint32)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Encode `(doc_id, text)` of all documents and write them in ascending order of `doc_id`."""
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: Sequence[Column] | None = None) -> None:
+    """Encode `(doc_id, text)` of all documents and write them in ascending order of `doc_id`, or of `order`."""
     spark = docs.sparkSession
     ship(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    placed = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(shards, F.col("doc_id"), F.col("_h"))
-    placed = placed.sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    by = list(order) if order else [doc_id, F.xxhash64(text)]
+    keys = [f"_by{k}" for k in range(len(by))]
+    rows = docs.select(*[c.alias(k) for c, k in zip(by, keys)], doc_id.alias("doc_id"), text.alias("text"))
+    placed = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys, "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
@@ -222,19 +225,33 @@ def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
     return _placed_frames(spark, path).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _through_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _through_files(spark: SparkSession, docs: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
     import public_tokenizers
 
     path = scratch_path(spark, "tokens")
-    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), order=order)
     return digest_token_files(spark, path)
 
 
+def stored_order(docs: DataFrame) -> list[Column] | None:
+    """Columns by which the rows of a table read from files stand as they were written, none for other tables.
+
+    Spark numbers the files of a sorted table in the order of its partitions.
+    """
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*place).schema
+    except AnalysisException:
+        return None
+    return place
+
+
 def op5_token_files(spark, folder: str) -> DataFrame:
     """All documents encoded, written, read back and digested."""
     return _through_files(spark, spark.read.parquet(f"{folder}/documents.parquet"))
 
 
 def token_stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """Last pipeline stage: the token files of what is left, read back and digested."""
-    return _through_files(spark, docs)
+    """Last pipeline stage: the token files of what is left, in the order in which the stage before it has written its
+    rows (the training order), read back and digested."""
+    return _through_files(spark, docs, stored_order(docs))

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from plotweave.llm import boosting, chat_format, decontaminate, mixing_coder, near_copies, personal_data, textarrays, token_files
@@ -277,6 +278,21 @@ def test_pipeline_stage_by_stage(spark):
 
     written = stages["token files"](spark, mixed, SMALL).toPandas()
     assert sorted(written["doc_id"]) == sorted(r["doc_id"] for r in mixed.collect())
+    # the files hold the documents in the order of training
+    want = [(r["position"], r["doc_id"]) for r in mixing.training_order(clean).select("position", "doc_id").collect()]
+    assert written.sort_values("start")["doc_id"].tolist() == [d for _, d in want]
+    assert [d for _, d in want] != sorted(d for _, d in want)
+
+
+def test_token_files_keep_the_stored_order(spark, tmp_path):
+    from plotweave.llm import token_files
+
+    docs = spark.createDataFrame([(k * 7919 % 400, f"text {k}") for k in range(400)], "doc_id long, text string")
+    docs.orderBy(F.desc("doc_id")).write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    got = token_files.token_stage(spark, stored, "").toPandas().sort_values("start")
+    assert got["doc_id"].tolist() == sorted(range(400), reverse=True)
+    assert token_files.stored_order(docs) is None
 
 
 def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
