@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plotweave.llm.memory import returns_memory
 from plotweave.llm.textarrays import Texts, mix, occurrence, slices, span_hashes
 from plotweave.operators.components import components
 from plotweave.session import cut, ship
@@ -124,6 +125,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """`(doc_id, node, hash, n_words, keys)` per row; equal texts have equal nodes."""
     rows = docs.select(F.col("doc_id"), _digest(F.col("text")).alias("node"), _hash(F.col("text")).alias("hash"), F.col("text").alias("text"))
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, past, t in slices(b.column(3)):
@@ -139,6 +141,7 @@ def _word_rows(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     listed = F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes
     rows = docs.select(_hash(F.col("text")).alias("hash"), F.col("text")).join(listed, "hash", "left_semi").select(_digest(F.col("text")).alias("node"), "text")
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, past, t in slices(b.column(1)):
@@ -258,6 +261,7 @@ def _verified(pairs: DataFrame, words: DataFrame, share: float) -> DataFrame:
     right = words.select(F.col("node").alias("b"), F.col("words").alias("_bw"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "_aw", "_bw")
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # some pairs at a time, so that long texts are never unpacked all at once
@@ -320,6 +324,7 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
 def _rest(members: DataFrame, words: DataFrame, share: float, block: int) -> DataFrame:
     """Pairs `(a, b)` of nodes of different classes in a bucket that may be linked."""
 
+    @returns_memory
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
@@ -334,6 +339,7 @@ def _rest(members: DataFrame, words: DataFrame, share: float, block: int) -> Dat
     entry = F.struct("node", F.col("n").cast("long").alias("n"), F.xxhash64("class").alias("kind"), "side", "counts")
     grouped = met.groupBy("key", F.least("side", "_other").alias("_lo"), F.greatest("side", "_other").alias("_hi")).agg(F.collect_list(entry).alias("m")).select("m")
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):

@@ -2,14 +2,16 @@
 
 Every word has a sparse random index vector that follows from its hash, so no vocabulary is kept. The
 vector of a word is the sum of the index vectors of the words around it (random indexing over a window),
-learned on a bounded sample of labelled documents into a table with one row per hash bin, plus its own
+learned on all documents into a table with one row per hash bin, plus its own
 index vector and that of its shape (letters to a or A, digits to 0, other characters kept, runs
 shortened), which lets words never seen before stand near words of their kind. A document is the mean of
 its word vectors; a two-layer network, fitted in numpy, turns it into a probability, whose temperature is
 set on rows kept out of the fit.
 
-Learning reads the texts of at most `MAX_FIT_ROWS` labelled ids; scoring is one narrow pass over all
-texts. Everything that is broadcast has a fixed size. Labels, language, source and id are no inputs.
+The vectors are sums over all texts, one row per bin and task; the network is fitted on at most
+`MAX_FIT_ROWS` labelled ids; scoring is one narrow pass over all texts. There are as many bins as different words,
+rounded up to a power of two, within `BINS`, so what is broadcast is bounded. Labels, language, source and id are
+no inputs.
 
 Defined cases: a null text is an empty one, whose mean is the zero vector, and is scored; a null id is
 never held out; repeated rows are scored one by one; without labels of both kinds the score is the
@@ -32,7 +34,9 @@ from plotweave.session import ship
 # How many labelled documents the model is fitted on at most.
 MAX_FIT_ROWS = 6_000
 WIDTH = 64
-BINS = 1 << 13
+# Least and most bins, as powers of two; bits of the sketch that counts different words.
+BINS = (13, 14)
+SKETCH = 18
 WINDOW = 2
 HIDDEN = 32
 
@@ -43,23 +47,42 @@ _SHAPE[ord("0") : ord("9") + 1] = ord("0")
 _SHAPE[0x80:] = ord("a")
 
 
-def index_table() -> np.ndarray:
+def index_table(bins: int) -> np.ndarray:
     """Sparse random index vectors of all bins: eight entries of plus or minus one each."""
     random = np.random.default_rng(7)
-    table = np.zeros((BINS, WIDTH), np.float32)
+    table = np.zeros((bins, WIDTH), np.float32)
     for _ in range(8):
-        table[np.arange(BINS), random.integers(0, WIDTH, BINS)] += random.choice(np.float32([-1, 1]), BINS)
+        table[np.arange(bins), random.integers(0, WIDTH, bins)] += random.choice(np.float32([-1, 1]), bins)
     return table
 
 
-def _bins(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+def _bins(h: np.ndarray, bins: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
 
 
-def bins_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bins_for(docs: DataFrame) -> int:
+    """A power of two that follows the number of different words, by linear counting."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(1 << SKETCH, bool)
+        for b in batches:
+            for _, _, t in slices(b.column(0)):
+                start, end, _ = t.words()
+                met[(span_hashes(t.data, start, end) >> np.uint64(64 - SKETCH)).astype(np.int64)] = True
+        part = np.packbits(met).view(np.int64)
+        some = np.flatnonzero(part)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(part[some])], ["at", "bits"])
+
+    parts = docs.select(F.col("text")).mapInArrow(sketch, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    met = parts.agg(F.sum(F.bit_count("bits"))).first()[0] or 0
+    words = -(1 << SKETCH) * np.log1p(-min(met, (1 << SKETCH) - 1) / (1 << SKETCH))
+    return 1 << int(np.clip(np.ceil(np.log2(max(words, 1))), *BINS))
+
+
+def bins_of(t: Texts, bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash bins of all words and of their shapes, and the index of each text's first word."""
     start, end, first = t.words()
-    words = _bins(span_hashes(t.data, start, end))
+    words = _bins(span_hashes(t.data, start, end), bins)
     shape = _SHAPE[t.data[: t.size]]
     # the first byte of each run of equal shape bytes stays, so a run counts once
     head = np.ones(t.size, bool)
@@ -67,22 +90,21 @@ def bins_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     head[start] = True
     packed = np.concatenate([shape[head], np.zeros(16, np.uint8)])
     at = t.prefix(head)
-    return words, _bins(mix(span_hashes(packed, at[start], at[end]))), first
+    return words, _bins(mix(span_hashes(packed, at[start], at[end])), bins), first
 
 
-def _around(words: np.ndarray, first: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Sum over the words of the index vectors in their window, added up per bin of the word."""
+def _around(out: np.ndarray, words: np.ndarray, first: np.ndarray, index: np.ndarray) -> None:
+    """Add the index vectors in the window of each word to the row of its bin."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = np.zeros((BINS, WIDTH), np.float64)
+    bins = len(index)
     for gap in range(1, WINDOW + 1):
         together = np.flatnonzero(owner[gap:] == owner[:-gap])
-        pairs, n = np.unique(words[together] * BINS + words[together + gap], return_counts=True)
-        a, b = pairs // BINS, pairs % BINS
+        pairs, n = np.unique(words[together] * bins + words[together + gap], return_counts=True)
+        a, b = pairs // bins, pairs % bins
         for part in np.array_split(np.arange(len(pairs)), len(pairs) // 100_000 + 1):
             weight = n[part, None].astype(np.float32)
             _add_rows(out, a[part], weight * index[b[part]])
             _add_rows(out, b[part], weight * index[a[part]])
-    return out
 
 
 def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -94,7 +116,8 @@ def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 def pooled(t: Texts, table: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """Mean vector of each text: two blocks, words and shapes, of `WIDTH` values each."""
-    words, kinds, first = bins_of(t)
+    bins = len(table)
+    words, kinds, first = bins_of(t, bins)
     n = np.maximum(np.diff(first), 1)[:, None]
     out = np.zeros((t.n, 2 * WIDTH), np.float32)
     some = np.flatnonzero(np.diff(first))
@@ -103,10 +126,10 @@ def pooled(t: Texts, table: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         a, b = first[part[0]], first[part[-1] + 1]
         owner = np.repeat(np.arange(len(part)), np.diff(first)[part])
         # texts are short against the bins: counts of the bins that occur, times their vectors
-        for block, (bins, vectors) in enumerate(((words, table), (kinds, shapes))):
-            keys, count = np.unique(owner * BINS + bins[a:b], return_counts=True)
-            rows = vectors[keys % BINS] * count[:, None].astype(np.float32)
-            head = np.flatnonzero(np.diff(keys // BINS, prepend=-1))
+        for block, (found, vectors) in enumerate(((words, table), (kinds, shapes))):
+            keys, count = np.unique(owner * bins + found[a:b], return_counts=True)
+            rows = vectors[keys % bins] * count[:, None].astype(np.float32)
+            head = np.flatnonzero(np.diff(keys // bins, prepend=-1))
             out[part, block * WIDTH : (block + 1) * WIDTH] = np.add.reduceat(rows, head, axis=0)
     return out / n
 
@@ -167,35 +190,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Mod
     ship(spark)
     ids = labelled_ids(labels, "quality", max_rows, ~held_out(F.col("doc_id")))
     texts = docs.select(F.col("doc_id"), F.col("text")).join(ids, "doc_id").select("doc_id", "label", "text")
-    index = index_table()
+    bins = bins_for(docs)
+    index = index_table(bins)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BINS, WIDTH), np.float64)
+        total, own = np.zeros((bins, WIDTH), np.float64), index_table(bins)
         for b in batches:
-            for _, _, t in slices(b.column(2)):
-                words, _, first = bins_of(t)
-                total += _around(words, first, index)
+            for _, _, t in slices(b.column(0)):
+                words, _, first = bins_of(t, bins)
+                _around(total, words, first, own)
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(total[some, k]) for k in range(WIDTH)]], ["bin", *[f"v{k}" for k in range(WIDTH)]])
 
     kinds = T.StructType([T.StructField("bin", T.IntegerType()), *[T.StructField(f"v{k}", T.DoubleType()) for k in range(WIDTH)]])
     # one row per bin at most, all values whole numbers: the sums agree in any order
-    rows = texts.mapInArrow(learn, kinds).groupBy("bin").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(WIDTH)]).collect()
-    table = np.zeros((BINS, WIDTH), np.float32)
+    rows = docs.select(F.col("text")).mapInArrow(learn, kinds).groupBy("bin").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(WIDTH)]).collect()
+    table = np.zeros((bins, WIDTH), np.float32)
     if rows:
         got = np.array([list(r) for r in rows], float)
         table[got[:, 0].astype(int)] = got[:, 1:]
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
     table = (table + index / np.sqrt(8)).astype(np.float32)
 
+    sent = spark.sparkContext.broadcast(table)
+
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index_table(bins)
         for b in batches:
             for first, past, t in slices(b.column(2)):
-                x = pooled(t, table, index)
+                x = pooled(t, sent.value, own)
                 yield pa.RecordBatch.from_arrays([b.column(0)[first:past], b.column(1)[first:past], pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "label", "x"])
 
     kinds = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("label", T.DoubleType()), T.StructField("x", T.ArrayType(T.FloatType()))])
-    got = texts.mapInArrow(pool, kinds).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).collect()
+    # an id may stand on very many rows: the one with the least values counts
+    single = texts.mapInArrow(pool, kinds).groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("_row")).select("doc_id", "_row.x", "_row.label")
+    got = single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
     x = np.array([r["x"] for r in got], float).reshape(-1, 2 * WIDTH)
     y = np.array([r["label"] for r in got], float)
     flat = [np.zeros((2 * WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)]
@@ -224,7 +253,8 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     width = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, own = index_table(), sent.value
+        own = sent.value
+        index = index_table(len(own.table))
         for b in batches:
             for first, past, t in slices(b.column(width)):
                 part = b.slice(first, past - first)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plotweave.llm.boosting import Forest, fit_forest
+from plotweave.llm.memory import returns_memory
 from plotweave.llm.sample import labelled_ids
 from plotweave.llm.textarrays import Texts, mix, repeated, slices, span_hashes, sums
 from plotweave.session import ship
@@ -140,8 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> For
                 )
 
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("label", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    # an id may stand on several rows: the least by its values are kept, so that reruns agree
-    rows = texts.mapInArrow(features, schema).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).collect()
+    # an id may stand on very many rows: the one with the least values counts
+    single = texts.mapInArrow(features, schema).groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("_row")).select("doc_id", "_row.x", "_row.label")
+    rows = single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     return fit_forest(x, np.array([r["label"] for r in rows], float), list(FEATURES.values()))
 
@@ -155,6 +157,7 @@ def judge(docs: DataFrame, forest: Forest, columns: list[str], threshold: float
     read = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(columns)], F.col("text").alias("_text"))
     width = len(columns)
 
+    @returns_memory
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, past, t in slices(b.column(width)):

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plotweave.llm.memory import returns_memory
 from plotweave.llm.mixing_coder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
 from plotweave.llm.tokens import encoder
 from plotweave.session import scratch_path, ship, small_batches
@@ -104,6 +105,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     rows = docs.select(*[c.alias(k) for c, k in zip(by, keys)], doc_id.alias("doc_id"), text.alias("text"))
     placed = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys, "text").select("doc_id", "text")
 
+    @returns_memory
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         shard = TaskContext.get().partitionId()
@@ -199,6 +201,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """`(doc_id, start, ids)`: every document with its ids, the end id included."""
     ship(spark)
 
+    @returns_memory
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, (doc_ids, nulls, sizes, ids) in _decoded(batches, TOGETHER):
             border = np.concatenate([[0], np.cumsum(sizes)])
@@ -212,6 +215,7 @@ def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
     """`(doc_id, start, n_tokens, ids_crc32)` from the files, without handing the ids to the JVM."""
     ship(spark)
 
+    @returns_memory
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, (doc_ids, nulls, sizes, ids) in _decoded(batches, TOGETHER):
             border = np.concatenate([[0], np.cumsum(sizes)])

@@ -127,8 +127,10 @@ def with_features(rows: DataFrame, endings: DataFrame, domains: DataFrame, overa
 
 
 def fit(rows: DataFrame, endings: DataFrame, domains: DataFrame, overall: float, max_rows: int = MAX_FIT_ROWS) -> Forest:
-    """Trees for the chance that a URL is blocked, from at most `max_rows` labelled ones in hash order."""
-    sample = rows.filter(F.col("ruled").isNotNull()).orderBy(F.xxhash64("url"), "url", "page_id").limit(max_rows)
+    """Trees for the chance that a URL is blocked, from at most `max_rows` different labelled ones in hash order."""
+    # a URL counts once, however many rows it has; everything else follows from it
+    known = rows.filter(F.col("ruled").isNotNull()).groupBy("url").agg(*[F.min(c).alias(c) for c in ("host", "path", "rule", "ruled", "ending", "domain")])
+    sample = known.withColumn("page_id", F.lit(None).cast("long")).orderBy(F.xxhash64("url"), "url").limit(max_rows)
     chosen = with_features(sample, endings, domains, overall, own_label=True)
     got = chosen.select("url", (F.col("ruled") == "block").cast("double").alias("y"), *FEATURES).orderBy("url", "y").collect()
     x = np.array([[r[f] for f in FEATURES] for r in got], float).reshape(-1, len(FEATURES))
