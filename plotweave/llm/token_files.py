@@ -41,6 +41,8 @@ END_ID = 0
 FRAME_IDS = 1 << 17
 SHARD_BYTES = 16 << 20
 BATCH_ROWS = 1000
+# Blocks that are coded together: another frame would need a second portion of lanes.
+FULL = LANES - FRAME_IDS // BLOCK_IDS
 
 _HEAD = struct.Struct("<4sHHII")
 _FRAMES = "shard long, frame long, n_docs long, n_ids long, start long, data binary"
@@ -154,7 +156,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     open_size += len(own)
                     if open_size >= FRAME_IDS:
                         close()
-                        if held >= LANES:
+                        if held >= FULL:
                             yield from flush()
                 lo = hi
         close()
@@ -178,32 +180,28 @@ def _placed_frames(spark: SparkSession, path: str) -> DataFrame:
     return placed.select((F.col("_before") + F.col("start")).alias("start"), "data")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[tuple]:
-    """Frames of some batches, decoded about `together` bytes at a time."""
-    starts, frames, size = [], [], 0
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Frames of some batches, decoded about as many blocks at a time as there are lanes."""
+    starts, frames, blocks = [], [], 0
     for b in batches:
         for start, data in zip(b.column(0).to_pylist(), b.column(1)):
             starts.append(start)
             frames.append(data.as_py())
-            size += len(frames[-1])
-            if size >= together:
+            blocks += _HEAD.unpack_from(frames[-1])[4]
+            if blocks >= FULL:
                 yield from zip(starts, unpack_many(frames))
-                starts, frames, size = [], [], 0
+                starts, frames, blocks = [], [], 0
     if frames:
         yield from zip(starts, unpack_many(frames))
 
 
-# Coded bytes that are decoded together: about as many blocks as there are lanes.
-TOGETHER = 4 << 20
-
-
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """`(doc_id, start, ids)`: every document with its ids, the end id included."""
     ship(spark)
 
     @returns_memory
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for start, (doc_ids, nulls, sizes, ids) in _decoded(batches, TOGETHER):
+        for start, (doc_ids, nulls, sizes, ids) in _decoded(batches):
             border = np.concatenate([[0], np.cumsum(sizes)])
             lists = pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=nulls.astype(bool)), pa.array(start + border[:-1]), lists], ["doc_id", "start", "ids"])
@@ -217,7 +215,7 @@ def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     @returns_memory
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for start, (doc_ids, nulls, sizes, ids) in _decoded(batches, TOGETHER):
+        for start, (doc_ids, nulls, sizes, ids) in _decoded(batches):
             border = np.concatenate([[0], np.cumsum(sizes)])
             raw = memoryview(ids.astype("<u4").tobytes())
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(border[:-1].tolist(), border[1:].tolist())]
