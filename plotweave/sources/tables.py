@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plotweave.functions.clean import pad_code, require
@@ -179,13 +180,14 @@ def write_labels(df: DataFrame, path: str) -> None:
 
 
 def areas_present(spark: SparkSession, path: str, area: str = AREA) -> DataFrame:
-    """Areas that a per-area table holds; empty if it cannot be read."""
+    """Areas that a per-area table holds; none if there is no such table. A store that fails to answer raises, as
+    taking it for empty would write areas anew that exist."""
     try:
         # declared, as inference would turn "01" into the number 1
         return spark.read.schema(f"{area} string").parquet(path).select(area).distinct()
-    except Exception as error:  # a store that answers with an error counts as holding nothing
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            print(f"treating {path} as empty: {error}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], f"{area} string")
 
 

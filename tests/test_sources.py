@@ -220,3 +220,9 @@ def test_joint_sweep(spark, tmp_path, monkeypatch):
     assert len(rows) == 3 and rows[1]["q"] == pytest.approx(alone.best_q, rel=1e-9)
     best = sweep.best_trial(results).first()
     assert best["score"] == max(r["score"] for r in rows)
+
+
+def test_a_store_that_fails_is_not_an_empty_one(spark, tmp_path):
+    assert store.areas_present(spark, str(tmp_path / "none")).isEmpty()
+    with pytest.raises(Exception, match="nosuchstore"):
+        store.areas_present(spark, "nosuchstore://place/table")
