@@ -40,7 +40,7 @@ END_ID = 0
 # Ids that close a frame, and bytes of text per shard.
 FRAME_IDS = 1 << 17
 SHARD_BYTES = 16 << 20
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 # Blocks that are coded together: another frame would need a second portion of lanes.
 FULL = LANES - FRAME_IDS // BLOCK_IDS
 
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             lo = 0
             while lo < len(doc_ids):
                 # some texts at a time, so that the ids of a batch of long texts are never all there
-                hi = min(lo + 256, len(doc_ids))
+                hi = min(lo + 128, len(doc_ids))
                 ids, border = coder.encode(texts[lo:hi].to_pylist())
                 for k in range(hi - lo):
                     own = np.append(ids[border[k] : border[k + 1]], np.uint32(end_id)).astype(np.uint16 if coder.size <= 1 << 16 else np.uint32)

@@ -16,7 +16,7 @@ import numpy as np
 _CUT = re.compile(r"(?= \S)")
 _UNSAFE = re.compile(r" \s| \Z")
 # Bound of the memory for pieces, per task.
-MAX_PIECES = 150_000
+MAX_PIECES = 120_000
 
 
 _coders: dict = {}
