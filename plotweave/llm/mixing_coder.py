@@ -22,7 +22,7 @@ from collections.abc import Sequence
 import numpy as np
 
 BLOCK_IDS = 4096
-LANES = 512
+LANES = 768
 MAX_ID = 1 << 16
 
 _SLOTS = 1 << 11
