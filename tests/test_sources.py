@@ -223,6 +223,6 @@ def test_joint_sweep(spark, tmp_path, monkeypatch):
 
 
 def test_a_store_that_fails_is_not_an_empty_one(spark, tmp_path):
-    assert store.areas_present(spark, str(tmp_path / "none")).isEmpty()
+    assert tables.areas_present(spark, str(tmp_path / "none")).isEmpty()
     with pytest.raises(Exception, match="nosuchstore"):
-        store.areas_present(spark, "nosuchstore://place/table")
+        tables.areas_present(spark, "nosuchstore://place/table")
