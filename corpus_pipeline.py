@@ -1,4 +1,9 @@
-"""Documents to training data in stages; each stage calls one operator of `plotweave.llm`."""
+"""Documents to training data in stages; each stage calls one operator of `plotweave.llm`.
+
+Defined cases: a null or empty text fails the quality rules; of rows equal in id and text one stays as a near copy;
+a null id is an id like any other; an empty table gives an empty result; other columns are handed on to the last stage,
+which returns those of the token files. The files hold the documents in the order of training.
+"""
 
 from __future__ import annotations
 
