@@ -9,9 +9,10 @@ The loss mask is the running sum of +1 where a trained span begins and -1 where
 In content a backslash is doubled, and a backslash is put before each of the strings `### ` and
 `</turn>`, so that a control string never occurs bare and dropping those backslashes restores the text.
 
-Turns are encoded where they lie, spread over all tasks; then the narrow segments are sorted within
-hash partitions and assembled as a stream, so that a task holds one turn of a conversation at a time
-and not the conversation.
+Turns are sorted by ranges of conversation, turn, role and text, so that a conversation with very many
+turns spans several tasks, and are encoded and assembled there as a stream, one turn at a time. Each task
+counts from zero; what the tasks before hold of the conversation that it begins with is a sum over one
+narrow row per task and conversation, and is added afterwards.
 
 Defined cases: a null text counts as empty, a null role as the role "" (never trained); turns of one
 conversation come by turn, then role, then text, nulls first, so ties and repeated rows have one order
@@ -27,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plotweave.llm.tokens import encoder
-from plotweave.session import ship
+from plotweave.session import cut, ship
 
 # The template.
 OPEN, BREAK, CLOSE = "### ", ":\n", "</turn>\n"
@@ -39,16 +42,7 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 ROLES = ("system", "user", "assistant", "tool")
 TRAINED = "assistant"
 
-_SEGMENTS = T.StructType(
-    [
-        T.StructField("conv_id", T.LongType()),
-        T.StructField("turn", T.LongType()),
-        T.StructField("role", T.StringType()),
-        T.StructField("at", T.StringType()),
-        T.StructField("ids", T.BinaryType()),
-    ]
-)
-_FORMATTED = T.StructType(
+_PLACED = T.StructType(
     [
         T.StructField("conv_id", T.LongType()),
         T.StructField("segment", T.LongType()),
@@ -56,6 +50,8 @@ _FORMATTED = T.StructType(
         T.StructField("ids", T.ArrayType(T.IntegerType())),
         T.StructField("loss_mask", T.ArrayType(T.ByteType())),
         T.StructField("role", T.StringType()),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("leads", T.BooleanType()),
     ]
 )
 
@@ -74,37 +70,37 @@ def role_ids(size: int) -> dict[str, int]:
     return {**{r: size + k for k, r in enumerate(ROLES)}, "": size + len(ROLES), "named": size + len(ROLES) + 1, "close": size + len(ROLES) + 2}
 
 
-def format_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
+def format_turns(conversations: DataFrame, tokenizer: str, partitions: int | None = None) -> DataFrame:
     """One row per turn, in token positions of its conversation: `(conv_id, segment, start, ids,
     loss_mask, role)`. The rows of a conversation by `segment` are its training sequence."""
     spark = conversations.sparkSession
     ship(spark)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")
+    )
+    # the last key parts repeated rows; which of them comes first makes no difference
+    order = ["conv_id", "turn", "role", "text", "_row"]
+    ranged = rows.withColumn("_row", F.monotonically_increasing_id())
+    ranged = ranged.repartitionByRange(partitions, *order) if partitions else ranged.repartitionByRange(*order)
+    placed = cut(ranged.sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(_assembler(tokenizer), _PLACED), "turns")
+    return _carried(placed)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, specials_as_text=True)
-        for b in batches:
-            texts = [t or "" for t in b.column(3).to_pylist()]
-            ids, border = coder.encode([escape(t) for t in texts])
-            packed = [ids[border[k] : border[k + 1]].astype("<u4").tobytes() for k in range(len(texts))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(packed, pa.binary())], ["conv_id", "turn", "role", "at", "ids"]
-            )
 
-    # the text itself orders turns that tie; it goes no further than the sort
-    encoded = rows.mapInArrow(encode, _SEGMENTS)
-    placed = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "at")
+def _assembler(tokenizer: str):
+    """Turns in order to segments, counted from the first turn that the task holds of a conversation."""
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, specials_as_text=True)
         reserved = role_ids(coder.size)
-        current, segment, start, begun = None, 0, 0, False
+        part, current, segment, start, begun, leads = TaskContext.get().partitionId(), None, 0, 0, False, True
         for b in batches:
             out = []
-            for conv, role, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist()):
+            ids, border = coder.encode([escape(t or "") for t in b.column(2).to_pylist()])
+            for k, (conv, role) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 if not begun or conv != current:
+                    leads = not begun
                     current, segment, start, begun = conv, 0, 0, True
-                content = np.frombuffer(ids, "<u4").astype(np.int32)
+                content = ids[border[k] : border[k + 1]].astype(np.int32)
                 known = role or ""
                 if known in ROLES or known == "":
                     head = [reserved[known]]
@@ -117,39 +113,37 @@ def format_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
                     step[len(head)] += 1
                     step[-1] -= 1
                 mask = np.cumsum(step, dtype=np.int8)
-                out.append((conv, segment, start, whole, mask, role))
+                out.append((conv, segment, start, whole, mask, role, part, leads))
                 segment, start = segment + 1, start + len(whole)
             if out:
-                c, s, a, i, m, r = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()), pa.array(s, pa.int64()), pa.array(a, pa.int64()), pa.array(i, pa.list_(pa.int32())), pa.array(m, pa.list_(pa.int8())), pa.array(r, pa.string())],
-                    ["conv_id", "segment", "start", "ids", "loss_mask", "role"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(zip(*out), _PLACED)], _PLACED.names)
 
-    return placed.mapInArrow(assemble, _FORMATTED)
+    return assemble
 
 
-def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
-    """Per conversation what its formatted ids and masks hold, read from them alone."""
+def _carried(placed: DataFrame) -> DataFrame:
+    """Adds what the tasks before hold of the conversation that a task begins with: a row per task at most."""
+    spans = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("size"), F.max("leads").alias("leads"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        spans.select("part", "leads", F.sum("n").over(before).alias("_n"), F.sum("size").over(before).alias("_size"))
+        .filter("leads and _n is not null").withColumn("_leads", F.lit(True)).drop("leads")
+    )
+    moved = placed.join(F.broadcast(carry), (placed["part"] == carry["part"]) & (placed["leads"] == carry["_leads"]), "left")
+    add = lambda name, more: (F.col(name) + F.coalesce(F.col(more), F.lit(0))).cast("long").alias(name)
+    return moved.select("conv_id", add("segment", "_n"), add("start", "_size"), "ids", "loss_mask", "role")
+
+
+def said(formatted: DataFrame, tokenizer: str) -> DataFrame:
+    """The turns back from ids and masks, decoded where they lie: `(conv_id, segment, role, text, loss,
+    loss_chars, formatted_chars)`; `loss` is the text under the mask."""
     ship(formatted.sparkSession)
-    rows = formatted.select("conv_id", "segment", "ids", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, specials_as_text=True)
         reserved = role_ids(coder.size)
         names = {v: k for k, v in reserved.items()}
-        state = None
-
-        def close(s):
-            return (s["conv"], s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"])
-
-        def batch(done):
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], names)
-
         for b in batches:
-            done = []
             lists, masks = b.column(2), b.column(3)
             contents, roles, trained = [], [], []
             for k in range(b.num_rows):
@@ -159,27 +153,60 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
                     stop = int(np.flatnonzero(ids[1:] == reserved["named"])[0]) + 1
                     role, body = unescape(coder.decode([ids[1:stop]])[0]), ids[stop + 1 : -1]
                 else:
-                    stop, role, body = 0, names[int(ids[0])], ids[1:-1]
+                    role, body = names[int(ids[0])], ids[1:-1]
                 roles.append(role)
                 contents.append(body)
                 trained.append(ids[mask.astype(bool)])
-            texts = coder.decode(contents)
-            losses = coder.decode(trained)
-            for conv, role, text, loss in zip(b.column(0).to_pylist(), roles, texts, losses):
+            texts, losses = coder.decode(contents), [unescape(t) for t in coder.decode(trained)]
+            sizes = [len(t) for t in losses]
+            chars = [len(render(role, text)) for role, text in zip(roles, texts)]
+            columns = [roles, [unescape(t) for t in texts], losses, sizes, chars]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], _SAID)
+
+    schema = "conv_id long, segment long, role string, text string, loss string, loss_chars long, formatted_chars long"
+    return formatted.select("conv_id", "segment", "ids", "loss_mask").mapInArrow(decode, schema)
+
+
+_SAID = ["conv_id", "segment", "role", "text", "loss", "loss_chars", "formatted_chars"]
+
+
+def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
+    """Per conversation what its formatted ids and masks hold, read from them alone.
+
+    A digest takes the turns of a conversation in order, so it runs over them as a stream in one task;
+    all decoding is done before, where the segments lie.
+    """
+    rows = said(formatted, tokenizer).repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+
+        def batch(done):
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*map(close, done)), kinds)], names)
+
+        def close(s):
+            return s["conv"], s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"]
+
+        for b in batches:
+            done = []
+            columns = [b.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6)]
+            for conv, role, text, loss, lost, chars in zip(*columns):
                 if state is None or conv != state["conv"]:
                     if state is not None:
-                        done.append(close(state))
+                        done.append(state)
                     state = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
-                plain, lost = unescape(text), unescape(loss)
                 state["n"] += 1
-                state["turns"].update(f"{role}\n{plain}\n".encode())
-                state["loss"].update(lost.encode())
-                state["loss_chars"] += len(lost)
-                state["chars"] += len(render(role, text))
+                state["turns"].update(f"{role}\n{text}\n".encode())
+                state["loss"].update(loss.encode())
+                state["loss_chars"] += lost
+                state["chars"] += chars
             if done:
                 yield batch(done)
         if state is not None:
-            yield batch([close(state)])
+            yield batch([state])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rows.mapInArrow(digest, schema)

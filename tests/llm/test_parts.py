@@ -122,6 +122,27 @@ def test_escapes_are_reversible(text):
     assert "</turn>" not in bare and "### " not in bare
 
 
+def test_a_long_conversation_spans_tasks(spark):
+    import public_tokenizers
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(7, t // 2, "assistant" if t % 2 else "user", f"turn {t} of many") for t in range(900)]
+    rows += [(7, 450, "user", "again")] * 900 + [(None, t, "user", None) for t in range(600)] + [(c, 0, "critic", "one") for c in range(100, 160)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    formatted = chat_format.format_turns(chats, tokenizer, partitions=12)
+    got = formatted.withColumn("size", F.size("ids")).orderBy("conv_id", "segment").collect()
+    place: dict = {}
+    for r in got:
+        segment, start = place.get(r["conv_id"], (0, 0))
+        assert (r["segment"], r["start"]) == (segment, start)
+        place[r["conv_id"]] = (segment + 1, start + r["size"])
+    assert place[7][0] == 1800 and place[None][0] == 600 and len(got) == len(rows)
+    turns = chat_format.said(formatted, tokenizer).filter("conv_id = 7").orderBy("segment").collect()
+    assert [r["text"] for r in turns] == [f"turn {2 * (t // 2) + 1 - t % 2} of many" for t in range(900)] + ["again"] * 900
+    # no task of the stored segments holds the whole conversation
+    parts = formatted.inputFiles()
+    assert len(parts) > 6
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab@.-_1", max_size=30))
 def test_addresses_are_leftmost_matches(text):
