@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from plotweave.functions.clean import pad_code, require
 from plotweave.functions.geoarrays import from_wkb, to_wkb
 from plotweave.functions.project import reproject
+from plotweave.sources.records import SplitText
 
 AREA = "dep"
 
@@ -38,39 +39,33 @@ def _typed(schema: T.StructType | str) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-def _headers(spark: SparkSession, path: str, sep: str) -> dict[tuple[str, ...], list[str]]:
-    """Files below `path` by their header; reads the first line of each file only."""
-    found: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(spark.read.text(path).inputFiles()):
-        line = spark.read.text(file).limit(1).collect()
-        if line:
-            names = next(csv.reader([line[0]["value"].lstrip("\ufeff").rstrip("\r")], delimiter=sep))
-            found.setdefault(tuple(names), []).append(file)
-    return found
-
-
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ";", partitions: int | None = None
 ) -> DataFrame:
     """Delimited text with a header; columns are found by name in each file, whatever their order.
 
     Files that share a header are read together, and only the columns of `schema` are parsed; a name
-    that a file lacks is an error. Without a schema the types are inferred, which reads the text twice.
-    Quoted cells may hold line breaks. A gzip file is one split, so it is spread out on request.
+    that a file lacks is an error. Quoted cells may hold line breaks, and a large plain file is read in
+    many splits all the same; a quote inside a cell must be doubled, the cell quoted. Without a schema the
+    types are inferred, which reads the text twice and each file in one split. A gzip file is one split, so it is spread out on request.
     """
-    reader = lambda: spark.read.option("sep", sep).option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true")
+    options = {"sep": sep, "quote": '"', "escape": '"'}
     if schema is None:
-        df = reader().option("inferSchema", "true").csv(path)
+        df = spark.read.options(**options).option("header", "true").option("multiLine", "true").option("inferSchema", "true").csv(path)
         return df.repartition(partitions) if partitions else df
     wanted = _typed(schema)
     df = spark.createDataFrame([], wanted)
-    for names, files in _headers(spark, path, sep).items():
+    text = SplitText(spark, path, sep)
+    for head, files in text.headers().items():
+        names = next(csv.reader([head.lstrip("\ufeff").rstrip("\r")], delimiter=sep))
         missing = [n for n in wanted.names if n not in names]
         if missing:
             raise ValueError(f"{files[0]} lacks columns {missing}; found {list(names)}")
-        types = {f.name: f.dataType for f in wanted}
-        own = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-        df = df.union(reader().schema(own).csv(files).select(*[F.col(f"`{n}`") for n in wanted.names]))
+        types = {f.name: f.dataType.simpleString() for f in wanted}
+        # by place, as a header may repeat names that are not asked for
+        cells = ", ".join(f"_{k} {types.get(n, 'string')}" for k, n in enumerate(names))
+        parsed = text.records(head).select(F.from_csv(F.regexp_replace("record", "\r+$", ""), cells, options).alias("r"))
+        df = df.union(parsed.select(*[F.col(f"r._{names.index(n)}").alias(n) for n in wanted.names]))
     return df.repartition(partitions) if partitions else df
 
 

@@ -1,5 +1,7 @@
+import csv
 import gzip
 import json
+import random
 import sqlite3
 import zipfile
 
@@ -162,6 +164,36 @@ def test_columns_are_found_by_name(spark, tmp_path):
     assert [tuple(r) for r in zipped] == [("B1", "pp", 4), ("rnb_id", "plots", None)]
 
 
+def test_records_across_splits(spark, tmp_path):
+    """Cells with line breaks, longer than a split, stray and doubled quotes: any split size gives the same rows."""
+    random.seed(5)
+    cells = ["", "plain", "two\nlines", 'say "x"', ';"\n;', "\n\n", "5 inch", "a\r\nb", '"', "line\n" * 60]
+    want = []
+    for f in range(3):
+        rows = [(f * 1000 + k, random.choice(cells), random.choice(cells)) for k in range(40)]
+        want += [(k, a or None, b or None) for k, a, b in rows]
+        with open(tmp_path / f"{f}.csv", "w", newline="") as out:
+            writer = csv.writer(out, delimiter=";", lineterminator="\r\n" if f == 1 else "\n")
+            writer.writerows([("note", "key", "other"), *((a, k, b) for k, a, b in rows)] if f else [("key", "note", "other"), *rows])
+            out.write("" if f == 2 else '9;;\n' if f == 0 else ";9;\n")
+    want += [(9, None, None)] * 2
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    none = lambda v: (v[0], v[1] or "", v[2] or "")
+    try:
+        for size in ("250", "2000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            df = tables.read_delimited(spark, str(tmp_path), "key long, note string, other string")
+            assert sorted(map(none, df.collect())) == sorted(map(none, want)), size
+        df = tables.read_delimited(spark, str(tmp_path), "key long, other string")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "333")
+        with pytest.raises(Exception, match="splits of the text changed"):
+            df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_archives_of_all_areas(spark):
     name = "BDTOPO_3-5_TOUSTHEMES_GPKG_LAMB93_D{}_2025-09-15.7z"
     html = "".join(f'<a href="/f/{name.format(a)}">x</a>' for a in ("02A", "02B", "075", "971")) + '<a href="/f/BDTOPO_3-5_TOUSTHEMES_GPKG_LAMB93_D075_2024-09-15.7z">old</a>'
