@@ -156,11 +156,21 @@ def training_order(docs: DataFrame) -> DataFrame:
     return _copies(docs).select(*kept, F.col("_position").alias("position"))
 
 
+def mix_order(plan: DataFrame, row: str = "_row") -> DataFrame:
+    """`(row, position, place)` of each copy that a plan takes: the copies range-sorted by position, numbered from 0.
+
+    The order is written without the texts; `row` names the rows of the plan and tells ties apart.
+    """
+    return numbered(plan.select(row, F.explode("positions").alias("position")), ["position", row], "place")
+
+
 def op1_source_mix(spark, folder: str) -> DataFrame:
-    """What the mix takes of each document, and where its first copy stands."""
+    """What the mix takes of each document, and where its first copy stands, read back from the order of the mix."""
     plan = curriculum(spark.read.parquet(f"{folder}/documents.parquet"))
-    taken = F.col("size") * F.size("positions")
-    return plan.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position"))
+    plan = cut(plan.withColumn("_row", F.monotonically_increasing_id()), "plan")
+    found = mix_order(plan).groupBy("_row").agg(F.count("*").alias("_copies"), F.min_by("position", "place").alias("_first"))
+    taken = F.col("size") * F.coalesce("_copies", F.lit(0))
+    return plan.join(found, "_row", "left").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.round("_first", 9).alias("first_position"))
 
 
 def mixing_stage(spark, docs: DataFrame, folder: str) -> DataFrame:

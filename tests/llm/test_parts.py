@@ -418,3 +418,15 @@ def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
 
     assert corpus_pipeline.run(spark, tables.write(str(tmp_path / "empty"), empty=True)).count() == 0
     assert corpus_pipeline.run(spark, tables.write(str(tmp_path / "awkward"), clashing=True)).count() > 0
+
+
+def test_source_mix_is_read_back_from_its_order(spark, monkeypatch):
+    from plotweave.llm import mixing
+
+    orders, order = [], mixing.mix_order
+    monkeypatch.setattr(mixing, "mix_order", lambda plan: orders.append(order(plan)) or orders[-1])
+    found = {r["doc_id"]: r for r in mixing.op1_source_mix(spark, SMALL).collect()}
+    places = sorted(orders[0].collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in places] == list(range(len(places)))
+    assert [r["position"] for r in places] == sorted(r["position"] for r in places)
+    assert sum(r["taken"] // r["size"] for r in found.values() if r["size"]) == len(places) - sum(r["taken"] == 0 and r["first_position"] is not None for r in found.values())
