@@ -13,8 +13,9 @@ the edit distance over words. The alignment is banded: its half width doubles un
 it or exceeds the limit, so close copies are cheap. Classes are the connected parts.
 
 Equal texts are one node from the start, whatever their number. Buckets with the same members are one bucket: a
-group of near copies mostly shares all its keys. In a bucket every node is first aligned with the bucket's least
-node only, so the work is linear in its size. A bucket may also hold texts that are alike in a small part, such
+group of near copies mostly shares all its keys. Every node is first aligned with one node only, the least of all its
+buckets, then with the least nodes of those buckets whose class it is not yet in, so the work is linear in the
+size of a bucket. A bucket may also hold texts that are alike in a small part, such
 as a common passage; there the least node can be unlike two texts that are like each other.
 
 What is still of several classes in a bucket is compared exactly. It goes in blocks of at most about `BLOCK` nodes,
@@ -374,13 +375,23 @@ def near_copies(docs: DataFrame, share: float = SHARE, block: int = BLOCK) -> Da
 
     sizes = members.select(F.col("node").alias("least"), F.col("n").alias("_ln")).distinct()
     stars = members.filter("node <> least").select("node", "least", "n").distinct().join(sizes, "least").filter(fits(F.col("n"), F.col("_ln")))
-    pairs = cut(stars.select(F.col("least").alias("a"), F.col("node").alias("b")), "pairs")
+    stars = cut(stars.select(F.col("least").alias("a"), F.col("node").alias("b")), "stars")
+    # a large group mostly falls together by a pair per node; the other pairs are aligned where it does not
+    pairs = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = cut(_verified(pairs, words, share), "links")
     roots = cut(components(links), "classes")
+    kind = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
+    apart = stars.join(pairs, ["a", "b"], "left_anti").join(kind("a"), "a", "left").join(kind("b"), "b", "left")
+    apart = apart.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    more = cut(_verified(apart, words, share), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = cut(components(links), "classes")
     classed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
     mixed = classed.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
     left = cut(classed.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    pairs = cut(_rest(left, words, share, block).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # what is still apart in a star was aligned above
+    pairs = cut(_rest(left, words, share, block).join(stars, ["a", "b"], "left_anti"), "pairs")
     found = cut(_verified(pairs, words, share), "links")
     if not found.isEmpty():
         roots = cut(components(links.union(found)), "classes")

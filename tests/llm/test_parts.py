@@ -420,6 +420,21 @@ def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables.write(str(tmp_path / "awkward"), clashing=True)).count() > 0
 
 
+def test_a_large_group_takes_about_a_pair_per_node(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    rows = []
+    for k in range(200):
+        words = [f"w{j}" for j in range(200)]
+        for at in random.choice(200, 6, replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    aligned, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: aligned.append(pairs.count()) or verified(pairs, *rest))
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["class_id"] for r in found.collect()} == {0}
+    assert 0 < sum(aligned) <= 250
+
+
 def test_source_mix_is_read_back_from_its_order(spark, monkeypatch):
     from plotweave.llm import mixing
 
