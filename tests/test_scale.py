@@ -39,3 +39,19 @@ def test_one_hot_of_a_large_vocabulary(spark):
     got = spark.createDataFrame([("v00000",), ("v02999",), ("other",), (None,)], "c string").select(one_hot(F.col("c"), values).alias("h")).collect()
     assert [int(np.argmax(r["h"])) if sum(r["h"]) else None for r in got] == [0, 2999, None, None]
     assert all(len(r["h"]) == 3000 and sum(r["h"]) <= 1 for r in got)
+
+
+def test_shuffles_follow_the_stored_tables(spark, tmp_path):
+    from plotweave.session import size_shuffles
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        (tmp_path / "small.parquet").write_bytes(b"x")
+        size_shuffles(spark, str(tmp_path))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        with open(tmp_path / "large.parquet", "wb") as f:
+            f.truncate(400 << 20)
+        size_shuffles(spark, str(tmp_path))
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 101
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
