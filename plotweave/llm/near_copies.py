@@ -22,8 +22,9 @@ What is still of several classes in a bucket is compared exactly. It goes in blo
 every two blocks of a bucket once, and inside a block all nodes of different classes meet. A pair is listed only
 if its lengths and its word counts in `BINS` bins leave room for a link: an edit changes one count up, one down or
 both, so the counts that one text has more than the other are a lower bound of the distance. The listed
-pairs are aligned. So every two texts that share a bucket and are alike end in one class; comparing counts
-takes time with the square of what is mixed in a bucket, but no rows.
+pairs are aligned in the block of the least bucket they share, as long as they are not in one class there, and only the
+links that join two classes leave it. So every two texts that share a bucket and are alike end in one class; comparing
+counts takes time with the square of what is mixed in a bucket, but no rows: a pair is a number beside its node.
 
 All steps are joins and grouped sums on narrow rows; AQE splits a bucket that holds very many nodes. Words
 of texts are read again only for texts that share a bucket.
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plotweave.llm.memory import returns_memory
 from plotweave.llm.textarrays import Texts, mix, occurrence, slices, span_hashes
 from plotweave.operators.components import components
-from plotweave.session import cut, ship
+from plotweave.session import cut, parallelism, ship
 
 WIDTH = 5
 # Circles, and how many more for texts of at most SHORT k-mers; points per circle, a power of two.
@@ -59,6 +60,9 @@ BROADCAST_ROWS = 2_000_000
 # Nodes of a mixed bucket that are compared at a time, and bins of the word counts, a byte each.
 BLOCK = 2048
 BINS = 256
+# Words a text of such a block has on average at most, and places of a side of the squares in which its pairs are aligned.
+LONG = 2048
+SQUARE = 512
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, CIRCLES + MORE + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -322,8 +326,51 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[border[0] : border[-1]].reshape(-1, width)
 
 
+def _owned(one: np.ndarray, other: np.ndarray, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which pairs of places share none of the `keys`, which stand beside the place `owner` that has them."""
+    key, at, many = np.unique(keys, return_inverse=True, return_counts=True)
+    some = many[at] > 1
+    number = np.cumsum(many > 1) - 1
+    width = -(-int((many > 1).sum()) // 8)
+    out = np.ones(len(one), bool)
+    if not width:
+        return out
+    at, owner = number[at[some]], owner[some]
+    bits = np.zeros((int(max(one.max(initial=0), other.max(initial=0), owner.max(initial=0))) + 1, width), np.uint8)
+    np.bitwise_or.at(bits, (owner, at // 8), np.left_shift(1, at % 8).astype(np.uint8))
+    step = max(1, (1 << 22) // width)
+    for lo in range(0, len(one), step):
+        out[lo : lo + step] = ~(bits[one[lo : lo + step]] & bits[other[lo : lo + step]]).any(axis=1)
+    return out
+
+
+def spanning(words: list[np.ndarray], kind: np.ndarray, one: np.ndarray, other: np.ndarray, share: float = SHARE) -> list[tuple[int, int]]:
+    """Pairs of `one` and `other` that are linked, as many as it takes to join what they join; places of a kind are joined already."""
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    # a kind is named by its first place
+    first: dict[int, int] = {}
+    root = [first.setdefault(r, k) for k, r in enumerate(kind.tolist())]
+    links, todo = [], list(zip(one.tolist(), other.tolist()))
+    for lo in range(0, len(todo), 512):
+        part = [(a, b) for a, b in todo[lo : lo + 512] if top(a) != top(b)]
+        for (a, b), d in zip(part, edit_distances([(words[a], words[b]) for a, b in part], share)):
+            if d >= 0 and top(a) != top(b):
+                root[top(b)] = top(a)
+                links.append((a, b))
+    return links
+
+
 def _rest(members: DataFrame, words: DataFrame, share: float, block: int) -> DataFrame:
-    """Pairs `(a, b)` of nodes of different classes in a bucket that may be linked."""
+    """Links `(a, b)` between nodes of different classes in a bucket, as many as it takes to join them.
+
+    Pairs that word counts leave room for are noted beside their nodes and aligned where the nodes meet, in the least
+    of the buckets they share: there is no row per pair.
+    """
 
     @returns_memory
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,25 +380,58 @@ def _rest(members: DataFrame, words: DataFrame, share: float, block: int) -> Dat
                 rows = [r.tobytes() for r in profiles(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["node", "counts"])
 
+    nodes = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
     counted = words.select("node", "words").join(members.select("node").distinct(), "node", "left_semi").mapInArrow(count, "node binary, counts binary")
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    dealt = members.join(blocks, "key").join(counted, "node").withColumn("side", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_blocks")).cast("int"))
+    # long texts go in smaller blocks, so that the words of a block stay few
+    blocks = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (block * LONG))).cast("int").alias("_blocks"))
+    dealt = members.join(blocks, "key").join(counted.join(nodes, "node"), "node").withColumn("side", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_blocks")).cast("int"))
     met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    entry = F.struct("node", F.col("n").cast("long").alias("n"), F.xxhash64("class").alias("kind"), "side", "counts")
-    grouped = met.groupBy("key", F.least("side", "_other").alias("_lo"), F.greatest("side", "_other").alias("_hi")).agg(F.collect_list(entry).alias("m")).select("m")
+    before = F.filter("keys", lambda k: k < F.col("key"))
+    entry = F.struct("node", F.col("n").cast("long").alias("n"), F.xxhash64("class").alias("kind"), "side", "counts", before.alias("keys"))
+    pair_of_blocks = ["key", F.least("side", "_other").alias("_lo"), F.greatest("side", "_other").alias("_hi")]
+    grouped = met.groupBy(*pair_of_blocks).agg(F.collect_list(entry).alias("m"))
 
     @returns_memory
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                node, n, kind, side, counts = b.column(0)[k].values.flatten()
-                one, other = near_enough(n.to_numpy(), kind.to_numpy(), side.to_numpy(), _bytes(counts, BINS), share)
-                for lo in range(0, len(one), 1 << 16):
-                    x, y = node.take(pa.array(one[lo : lo + (1 << 16)])), node.take(pa.array(other[lo : lo + (1 << 16)]))
-                    yield pa.RecordBatch.from_arrays([x, y], ["a", "b"])
-
-    found = grouped.mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                node, n, kind, side, counts, keys = b.column(3)[k].values.flatten()
+                n, kind, side = n.to_numpy(), kind.to_numpy(), side.to_numpy()
+                one, other = near_enough(n, kind, side, _bytes(counts, BINS), share)
+                if not len(one):
+                    continue
+                own = _owned(one, other, keys.flatten().to_numpy(), np.repeat(np.arange(len(n)), keys.value_lengths().to_numpy()))
+                one, other = one[own], other[own]
+                if not len(one):
+                    continue
+                # dealt by squares of places; in each the nodes that are left, with the numbers of those they meet
+                edge = -(-len(n) // SQUARE)
+                square = one // SQUARE * edge + other // SQUARE
+                for at in np.unique(square):
+                    x, y = one[square == at], other[square == at]
+                    used = np.unique(np.concatenate([x, y]))
+                    x, y = np.searchsorted(used, x), np.searchsorted(used, y)
+                    starts = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(used)))]).astype(np.int32)
+                    meets = pa.ListArray.from_arrays(pa.array(starts), pa.array(y[np.argsort(x, kind="stable")].astype(np.int32)))
+                    same = [b.column(c).slice(k, 1).take(pa.array(np.zeros(len(used), np.int64))) for c in range(3)]
+                    numbers = [pa.array(np.full(len(used), at, np.int32)), node.take(pa.array(used)), pa.array(kind[used]), pa.array(np.arange(len(used), dtype=np.int32))]
+                    yield pa.RecordBatch.from_arrays([*same, *numbers, meets], ["key", "_lo", "_hi", "_square", "node", "kind", "at", "meets"])
+
+    def align(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        own = [np.frombuffer(v.as_buffer(), "<u4") for v in table["words"].combine_chunks()]
+        meets = table["meets"].combine_chunks()
+        one = np.repeat(np.arange(len(own)), meets.value_lengths().to_numpy())
+        found = spanning(own, table["kind"].to_numpy(), one, meets.flatten().to_numpy(), share)
+        node = table["node"].combine_chunks()
+        return pa.table({"a": node.take(pa.array([a for a, _ in found], pa.int64())), "b": node.take(pa.array([b for _, b in found], pa.int64()))})
+
+    listed = cut(grouped.mapInArrow(near, "key long, _lo int, _hi int, _square int, node binary, kind long, at int, meets array<int>"), "near")
+    group = ["key", "_lo", "_hi", "_square"]
+    # light in bytes and heavy in work: the number of tasks is fixed
+    spark = members.sparkSession
+    tasks = max(2 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return listed.join(words.select("node", "words"), "node").repartition(tasks, *group).groupBy(*group).applyInArrow(align, "a binary, b binary")
 
 
 def near_copies(docs: DataFrame, share: float = SHARE, block: int = BLOCK) -> DataFrame:
@@ -390,9 +470,7 @@ def near_copies(docs: DataFrame, share: float = SHARE, block: int = BLOCK) -> Da
     classed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
     mixed = classed.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
     left = cut(classed.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    # what is still apart in a star was aligned above
-    pairs = cut(_rest(left, words, share, block).join(stars, ["a", "b"], "left_anti"), "pairs")
-    found = cut(_verified(pairs, words, share), "links")
+    found = cut(_rest(left, words, share, block), "links")
     if not found.isEmpty():
         roots = cut(components(links.union(found)), "classes")
     rows = signed.select("doc_id", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))

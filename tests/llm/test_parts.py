@@ -435,6 +435,42 @@ def test_a_large_group_takes_about_a_pair_per_node(spark, monkeypatch):
     assert 0 < sum(aligned) <= 250
 
 
+def test_texts_beside_a_shared_passage_make_no_pair_rows(spark, monkeypatch):
+    """Texts of 300 words that are alike in three quarters: their word counts leave room for a link, the alignment does not."""
+    random, rows = np.random.default_rng(4), []
+    base = [f"w{j}" for j in range(300)]
+    for k in range(160):
+        words = list(base)
+        for at in random.choice(np.arange(60, 300), 80, replace=False):
+            words[at] = f"w{random.integers(300)}"
+        rows.append((k, " ".join(words)))
+    # a copy of the first one links at once
+    rows.append((160, rows[0][1] + " more"))
+    made, listed = [], near_copies._rest
+    monkeypatch.setattr(near_copies, "_rest", lambda *given: made.append(listed(*given)) or made[-1])
+    aligned, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: aligned.append(pairs.count()) or verified(pairs, *rest))
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = [np.array([hash(w) & 0xFFFFFFFF for w in text.split()], np.uint32) for _, text in rows]
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b)]
+    root = list(range(len(rows)))
+    for (a, b), d in zip(pairs, near_copies.edit_distances([(texts[a], texts[b]) for a, b in pairs])):
+        if d >= 0:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
+    # some pairs a text are aligned across tasks, and fewer links than texts come back
+    assert sum(aligned) <= 5 * len(rows) and made[0].count() < len(rows)
+
+
+def test_linked_places_are_joined_once():
+    words = [np.arange(100, dtype=np.uint32) + (1000 if k == 3 else 0) for k in range(5)]
+    kind = np.array([7, 8, 7, 9, 5])
+    one, other = np.array([0, 1, 0, 1, 3, 2]), np.array([1, 2, 4, 4, 4, 4])
+    assert near_copies.spanning(words, kind, one, other) == [(0, 1), (0, 4)]
+    assert near_copies._owned(np.array([0, 0, 1]), np.array([1, 2, 2]), np.array([5, 5, 6, -1]), np.array([0, 1, 1, 2])).tolist() == [False, True, True]
+
+
 def test_source_mix_is_read_back_from_its_order(spark, monkeypatch):
     from plotweave.llm import mixing
 
