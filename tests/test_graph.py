@@ -122,3 +122,21 @@ def test_propagation_splits_ids_and_keeps_unmatched_null(spark):
     assert out["a"]["probs"] == pytest.approx([0.55, 0.45]) and out["a"]["cluster"] == 0 and out["z"]["cluster"] is None
     table = propagate.community_table(soft.withColumn("node_id", F.lit(1)))
     assert {r["id_bat"] for r in table.collect()} == {"B1", "C1", "B2"}
+
+
+def test_dual_pairs_of_one_parcel_are_not_summed(spark):
+    links = [(b, b % 5) for b in range(40)] + [(b, b % 5 + 1) for b in range(0, 40, 4)] + [(1, 1), (7, 2)]
+    touch = [(p, p + 1, 0.5 + p) for p in range(5)] + [(3, 3, 9.0)]
+    touch += [(q, p, w) for p, q, w in touch if p != q]
+    want = {}
+    for a, p in links:
+        for p1, q, w in [*touch, *[(k, k, 1.0) for k in range(6)]]:
+            if p1 == p and (p1 != q or w == 1.0):
+                for b, p2 in links:
+                    if p2 == q and a != b:
+                        want[a, b] = want.get((a, b), 0.0) + w
+    out = g.dual_projection(spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame(touch, "src long, dst long, w double"))
+    rows = out.collect()
+    assert len(rows) == len(want) and {(r["src"], r["dst"]): r["w"] for r in rows} == pytest.approx(want)
+    # the pairs that meet through one parcel come straight from the join
+    assert out._jdf.queryExecution().analyzed().toString().startswith("Union")
