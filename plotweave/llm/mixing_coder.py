@@ -1,17 +1,20 @@
-"""Adaptive context-mixing range coder for blocks of token ids, many blocks in step with one another.
+"""Adaptive context-mixing range coder for blocks of token ids, the lanes of a block in step with one another.
 
-Each block is coded on its own, from a fresh model, so blocks can be read in any order. Per id:
+Each block is coded on its own, from a fresh model, so blocks can be read in any order. A block is cut into
+lanes, runs of its ids that are coded side by side as columns of numpy arrays; all of them share the model of
+the block and teach it. Per id:
 
 - order 2 and order 1: a slot per context (the last two ids, the last id) predicts the id that followed
   it, with a confidence. The prediction of the higher order wins if it has any confidence. Whether it is
   right is one yes/no decision; its probability mixes three adaptive estimates (by the confidence of
-  order 2, by that of order 1, and by the last four decisions) with learned weights, on a logistic scale.
-- order 0: a missed id is coded as four 4-bit symbols from adaptive cumulative tables, each chosen by the
-  bits before it.
-
-The blocks of a batch are lanes of numpy arrays, and every step codes one id in each lane. All
-arithmetic is on whole numbers, so any machine decodes what another has written. The range coder keeps
-48 bits and puts out 16 at a time; carries are left in the words and resolved at the end.
+  order 2, by that of order 1, and by the last four decisions of the lane) with learned weights, on a logistic scale.
+- order 0: a missed id is coded by the counts of the ids missed before; one whose share is too small for
+  the table follows an escape as 16 plain bits.
+
+Slots learn at each step (of lanes that share a slot the last one counts), counts, estimates and weights whenever
+the ids since the last time are a quarter of those before. All arithmetic is on whole numbers, so any machine decodes
+what another has written. The range coder keeps 48 bits and puts out 16 at a time; carries are left in the words and
+resolved at the end. The words of all lanes stand in the order in which a reader asks for them.
 """
 
 from __future__ import annotations
@@ -21,280 +24,241 @@ from collections.abc import Sequence
 
 import numpy as np
 
-BLOCK_IDS = 4096
-LANES = 768
+BLOCK_IDS = 1 << 20
 MAX_ID = 1 << 16
+# Ids that a lane has at least, and lanes of a block.
+LANE_IDS, LANES = 256, 4096
 
-_SLOTS = 1 << 11
-_LEVEL_ROWS = (1, 16, 256, 1024)
-_LEVEL_AT = np.cumsum([0, *_LEVEL_ROWS]).tolist()
-_ROWS = _LEVEL_AT[-1]
-_SHIFTS = (5, 5, 4, 3)
-_TOTAL_BITS, _FLAG_BITS = 15, 12
-_LEAST = 32
+_SLOTS = 1 << 17
+_TOTAL_BITS, _FLAG_BITS = 16, 12
+_TOTAL = 1 << _TOTAL_BITS
 _LOW, _FULL = 1 << 32, 1 << 48
+# Symbols of order 0 behind the ids: an escape, and none at all for an id that was predicted.
+_ESCAPE, _NONE = MAX_ID, MAX_ID + 1
+_REFRESH_IDS = 1 << 17
 
-
-def _targets() -> np.ndarray:
-    """Upper bounds of the 16 symbols that a table moves to when a symbol occurs."""
-    j = np.arange(16)
-    rows = [np.where(j < s, (j + 1) * _LEAST, (1 << _TOTAL_BITS) - (15 - j) * _LEAST) for s in range(16)]
-    return np.array(rows, np.uint16).view(np.int16)
-
-
-_TARGETS = _targets()
-_EVEN = ((np.arange(16) + 1) << (_TOTAL_BITS - 4)).astype(np.uint16).view(np.int16)
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int64)
-
-
-def _portions(order: np.ndarray) -> list[np.ndarray]:
-    """Blocks that are coded side by side: even portions, as a step costs much the same for few lanes."""
-    return [p for p in np.array_split(order, -(-len(order) // LANES)) if len(p)] if len(order) else []
+# What a confidence of 0 to 7 gains when its prediction was right, and loses when it was wrong.
+_GAIN = np.array([1, 1, 1, 1, 1, 1, 1, 0], np.int32)
+_LOSS = np.array([t - (t >> 1) for t in range(8)], np.int32)
 
 
 class _Model:
-    """State of all lanes; `lanes(n)` narrows it to the first n once the others have ended."""
-
-    def __init__(self, n: int):
-        self.table = np.empty((n * _ROWS, 16), np.int16)
-        self.table[:] = _EVEN
-        self.ids = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(n * _SLOTS, np.int8) for _ in range(2)]
-        self.chance = [np.full(n * 16, 1 << 15, np.int64) for _ in range(3)]
-        self.weight = [np.full(n, (1 << 16) * 2 // 5, np.int64) for _ in range(3)]
-        self.prev, self.prev2, self.past = (np.zeros(n, np.int64) for _ in range(3))
-        self.lanes(n)
-
-    def lanes(self, n: int) -> None:
-        lane = np.arange(n)
-        self.n, self.row_at, self.slot_at, self.chance_at = n, lane * _ROWS, lane * _SLOTS, lane * 16
-        self.weight = [w[:n] for w in self.weight]
+    """State of a block, shared by its lanes; `narrow(n)` keeps the first n lanes."""
+
+    def __init__(self, lanes: int):
+        # a slot holds its id and, in the lowest three bits, the confidence
+        self.slots = [np.full(n, -8, np.int32) for n in (_SLOTS, MAX_ID)]
+        self.prev, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.past = np.zeros(lanes, np.int32)
+        self.seen = [np.full(16, 4, np.int64) for _ in range(3)]
+        self.hits = [np.full(16, 1, np.int64) for _ in range(3)]
+        self.weight = [(1 << 16) * 2 // 5] * 3
+        self.counts = np.zeros(MAX_ID, np.int64)
+        self.came: list[np.ndarray] = []
+        self.told: list[np.ndarray] = []
+        self.since = self.before = 0
+        self._mix()
+        self._share()
+
+    def narrow(self, n: int) -> None:
         self.prev, self.prev2, self.past = self.prev[:n], self.prev2[:n], self.past[:n]
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The predicted id and the chance (of 4096) that it is right."""
-        mixed = self.prev * 0x2C9277B5
-        self.slot = [
-            self.slot_at + (((mixed + self.prev2 * 0x5F356495) >> 15) & (_SLOTS - 1)),
-            self.slot_at + ((mixed >> 13) & (_SLOTS - 1)),
-        ]
-        self.said = [ids[slot] for ids, slot in zip(self.ids, self.slot)]
-        self.trust = [sure[slot] for sure, slot in zip(self.sure, self.slot)]
+        """The predicted id (-1 for none) and the chance (of 4096) that it is right."""
+        self.at = (((self.prev * 0x2C9277B5 + self.prev2 * 0x5F356495) >> 15) & (_SLOTS - 1), self.prev)
+        self.held = [s.take(at, mode="clip") for s, at in zip(self.slots, self.at)]
+        self.trust = [e & 7 for e in self.held]
         high = self.trust[0] > 0
-        guess = np.where(high, self.said[0], self.said[1])
-        self.at = [
-            self.chance_at + self.trust[0] * 2 + (self.said[1] == guess),
-            self.chance_at + self.trust[1] * 2 + high,
-            self.chance_at + self.past,
-        ]
-        self.estimate = [c[at] for c, at in zip(self.chance, self.at)]
-        self.input = [_STRETCH[e >> 4] for e in self.estimate]
-        w, s = self.weight, self.input
-        dot = (w[0] * s[0] + w[1] * s[1] + w[2] * s[2]) >> 16
-        np.clip(dot, -2047, 2047, out=dot)
-        self.p = _SQUASH[dot + 2047]
-        return guess, self.p
-
-    def learn(self, ids: np.ndarray, right: np.ndarray) -> None:
-        """Move all orders towards the id that came."""
-        hit = right.astype(np.int64)
-        error = ((hit << 12) - self.p) * 10
-        goal = hit * 65535
-        for k in range(3):
-            self.weight[k] += (self.input[k] * error + 0x8000) >> 16
-            self.chance[k][self.at[k]] = self.estimate[k] + ((goal - self.estimate[k]) >> 5)
-        for k in range(2):
-            said, trust, slot = self.said[k], self.trust[k], self.slot[k]
-            same = (said == ids) & (trust > 0)
-            trust = np.where(same, np.minimum(trust + 1, 7), trust >> 1)
-            fresh = trust == 0
-            self.ids[k][slot] = np.where(fresh, ids, said)
-            self.sure[k][slot] = trust + fresh
-        self.past[:] = ((self.past << 1) | hit) & 15
+        guess = np.where(high, self.held[0], self.held[1]) >> 3
+        agree = guess == (self.held[1] >> 3)
+        self.context = (self.past << 8) | (self.trust[1] << 5) | (high.view(np.int8) * np.int32(16)) | (self.trust[0] << 1) | agree
+        return guess, self.chance.take(self.context, mode="clip")
+
+    def learn(self, ids: np.ndarray, right: np.ndarray, symbol: np.ndarray) -> None:
+        """Move all orders towards the id that came; `symbol` is what order 0 had to code."""
+        fresh = ((ids << 3) | 1).astype(np.int32)
+        for slots, at, held, trust in zip(self.slots, self.at, self.held, self.trust):
+            missed = np.where(trust < 2, fresh, held - _LOSS.take(trust))
+            slots[at] = np.where((held ^ fresh) < 8, np.where((held ^ fresh) >= 0, held + _GAIN.take(trust), missed), missed)
+        self.told.append((self.context << 1) | right)
+        self.came.append(symbol)
+        self.past[:] = ((self.past << 1) | right) & 15
         self.prev2[:] = self.prev
         self.prev[:] = ids
-
-    def rows(self, lanes: np.ndarray, level: int, before: np.ndarray) -> np.ndarray:
-        """Table rows of a level, by the bits before it."""
-        place = before if level < 3 else ((before * 0x9E5) >> 2) & (_LEVEL_ROWS[3] - 1)
-        return self.row_at[lanes] + _LEVEL_AT[level] + place
-
-    def bend(self, rows: np.ndarray, table: np.ndarray, symbol: np.ndarray, level: int) -> None:
-        step = _TARGETS[symbol]
-        step -= table
-        step >>= _SHIFTS[level]
-        step += table
-        self.table[rows] = step
-
-
-def _bounds(table: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bound and width of a symbol in its table."""
-    flat = table.view(np.uint16).ravel()
-    at = np.arange(len(symbol)) * 16 + symbol
-    upper = flat[at].astype(np.int64)
-    lower = flat[at - 1] * (symbol > 0)
-    return lower, upper - lower
-
-
-def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole quotient of values below 2^48 and 2^33; a quotient of floats is off by one at most."""
-    q = (a.astype(np.float64) / b).astype(np.int64)
-    rest = a - q * b
-    return q + (rest >= b) - (rest < 0)
+        self.since += len(ids)
+        if self.since >= min(_REFRESH_IDS, max(LANE_IDS, self.before >> 2)):
+            self._refresh()
+
+    def _refresh(self) -> None:
+        self.before, n, self.since = self.before + self.since, self.since, 0
+        self.counts += np.bincount(np.concatenate(self.came), minlength=_NONE + 1)[:MAX_ID]
+        told = np.bincount(np.concatenate(self.told), minlength=1 << 13).reshape(16, 16, 16, 2)
+        self.came, self.told = [], []
+        error = (told[..., 1] << 12) - told.sum(axis=3) * self.chance.reshape(16, 16, 16)
+        for k, others in enumerate(((0, 1), (0, 2), (1, 2))):
+            step = int((error.sum(axis=others) * self.input[k]).sum()) * 640 // n >> 16
+            self.weight[k] = max(-(1 << 18), min(1 << 18, self.weight[k] + step))
+            own = told.sum(axis=others)
+            self.seen[k] += own.sum(axis=1)
+            self.hits[k] += own[:, 1]
+            full = self.seen[k] > 1 << 16
+            self.seen[k] >>= full
+            self.hits[k] >>= full
+        self._mix()
+        self._share()
+
+    def _mix(self) -> None:
+        """Chances by the contexts of all three estimates."""
+        self.input = [_STRETCH[np.minimum((hits << 12) // seen, 4095)] for hits, seen in zip(self.hits, self.seen)]
+        (a, b, c), w = self.input, self.weight
+        dot = (a * w[0] + (b * w[1])[:, None] + (c * w[2])[:, None, None]) >> 16
+        self.chance = _SQUASH[np.clip(dot, -2047, 2047) + 2047].ravel()
+
+    def _share(self) -> None:
+        """Lower bounds and widths of order 0, and the symbol of each place."""
+        n, kinds = int(self.counts.sum()), int(np.count_nonzero(self.counts))
+        spare = max(1, _TOTAL * kinds // (n + kinds)) if n else _TOTAL
+        share = self.counts * (_TOTAL - spare) // max(n, 1)
+        past = np.cumsum(share)
+        self.escape = int(past[-1])
+        held = share > 0
+        self.lower = np.concatenate([np.where(held, past - share, self.escape), [self.escape, 0]])
+        self.width = np.concatenate([np.where(held, share, _TOTAL - self.escape), [_TOTAL - self.escape, _TOTAL]])
+        own = np.flatnonzero(held)
+        self.symbols = np.concatenate([np.repeat(own, share[own]), np.full(_TOTAL - self.escape, _ESCAPE)])
+
+
+def _lanes(n: int) -> tuple[int, int, int]:
+    """Lanes of a block of n ids, their steps, and how many of them have a last step."""
+    lanes = min(LANES, max(1, n // LANE_IDS))
+    steps = -(-n // lanes)
+    return lanes, steps, n - lanes * (steps - 1)
 
 
 def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
     """Payload of each block of at most `BLOCK_IDS` ids below `MAX_ID`."""
-    out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    for part in _portions(order):
-        for k, payload in zip(part, _encode_lanes([blocks[k] for k in part])):
-            out[k] = payload
-    return out
-
-
-def _matrix(sizes: np.ndarray) -> np.ndarray:
-    """How many lanes are still going at each step; sizes fall."""
-    steps = np.arange(sizes[0] if len(sizes) else 0)
-    return np.searchsorted(-sizes, -steps, side="left")
+    return [_encode(b) if len(b) else b"" for b in blocks]
 
 
-def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
-    n = len(blocks)
-    sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((sizes.max(initial=0), n), np.int32)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    if ids.size and (ids.max() >= MAX_ID or ids.min() < 0):
+def _encode(block: np.ndarray) -> bytes:
+    if block.max() >= MAX_ID or block.min() < 0:
         raise ValueError(f"ids must be below {MAX_ID}")
-    room = int(sizes.max(initial=0)) * 4 + 8
-    words = np.zeros((n, room), np.uint32)
-    flat, place = words.reshape(-1), np.arange(n) * room
+    n, steps, last = _lanes(len(block))
+    ids = np.zeros((steps, n), np.int64)
+    ids[:, :last] = block[: last * steps].reshape(last, steps).T
+    ids[: steps - 1, last:] = block[last * steps :].reshape(n - last, steps - 1).T
+    # of three words an id has at most, most are never touched
+    words = np.zeros((3 * steps + 8, n), np.uint32)
+    flat, place = words.reshape(-1), np.arange(n)
     low, span = np.zeros(n, np.int64), np.full(n, _FULL, np.int64)
+    put: list[np.ndarray] = []
     model = _Model(n)
 
-    def shift(lanes, low, span):
+    def shift(small):
         """Put out 16 bits where the range has become small."""
-        small = np.flatnonzero(span < _LOW)
-        if len(small):
-            at = lanes[small]
-            top = low[small]
-            flat[place[at]] = top >> 32
-            place[at] += 1
+        while len(small):
+            at, top = place[small], low[small]
+            flat[at] = top >> 32
+            put.append(at)
+            place[small] = at + n
             low[small] = (top & 0xFFFFFFFF) << 16
-            span[small] <<= 16
-
-    every = np.arange(n)
-    for step, active in enumerate(_matrix(sizes)):
-        if active != model.n:
-            model.lanes(active)
-            every, low, span = every[:active], low[:active], span[:active]
-        now = ids[step, :active]
+            wide = span[small] << 16
+            span[small] = wide
+            small = small[wide < _LOW]
+
+    for step in range(steps):
+        active = n if step < steps - 1 else last
+        if active < n:
+            model.narrow(active)
+        now, own_low, own_span = ids[step, :active], low[:active], span[:active]
         guess, p = model.predict()
         right = guess == now
-        part = span >> _FLAG_BITS
-        yes = part * p
         wrong = ~right
-        low += yes * wrong
-        span[:] = np.where(right, yes, (part << _FLAG_BITS) - yes)
-        shift(every, low, span)
-        lanes = np.flatnonzero(wrong)
-        if len(lanes):
-            own_low, own_span, missed = low[lanes], span[lanes], now[lanes]
-            for level in range(4):
-                before, symbol = missed >> (16 - 4 * level), (missed >> (12 - 4 * level)) & 15
-                rows = model.rows(lanes, level, before)
-                table = model.table[rows]
-                lower, width = _bounds(table, symbol)
-                part = own_span >> _TOTAL_BITS
-                own_low += part * lower
-                own_span = part * width
-                shift(lanes, own_low, own_span)
-                model.bend(rows, table, symbol, level)
-            low[lanes], span[lanes] = own_low, own_span
-        model.learn(now, right)
-    # the ended lanes share the arrays they were cut from
-    low = low if low.base is None else low.base
-    last = place
+        part = own_span >> _FLAG_BITS
+        yes = part * p
+        symbol = np.where(right, _NONE, now)
+        lower = model.lower.take(symbol, mode="clip")
+        part = np.where(right, yes, (part << _FLAG_BITS) - yes) >> _TOTAL_BITS
+        own_low += yes * wrong + part * lower
+        own_span[:] = part * model.width.take(symbol, mode="clip")
+        shift(np.flatnonzero(own_span < _LOW))
+        plain = np.flatnonzero((lower >= model.escape) & wrong)
+        if len(plain):
+            part = span[plain] >> _TOTAL_BITS
+            low[plain] += part * now[plain]
+            span[plain] = part
+            shift(plain[part < _LOW])
+        model.learn(now, right, symbol)
     for k, bits in enumerate((32, 16, 0)):
-        flat[last + k] = (low >> bits) & (0x1FFFF if bits == 32 else 0xFFFF)
-    count = last + 3 - np.arange(n) * room
+        flat[place + k * n] = (low >> bits) & (0x1FFFF if bits == 32 else 0xFFFF)
     # only what was written is looked at, as the room is for the worst case
-    words = words[:, : int(count.max(initial=0))]
+    words = words[: int(place.max()) // n + 3]
     while True:
         carry = words >> 16
         if not carry.any():
             break
         words &= 0xFFFF
-        words[:, :-1] += carry[:, 1:]
-    return [words[k, : count[k]].astype("<u2").tobytes() for k in range(n)]
+        words[:-1] += carry[1:]
+    # a reader holds three words of each lane and takes the next one whenever a word was put out
+    order = np.concatenate([np.arange(3 * n), *(at + 3 * n for at in put)])
+    return flat[order].astype("<u2").tobytes()
 
 
 def decode_blocks(payloads: Sequence[bytes], sizes: Sequence[int]) -> list[np.ndarray]:
     """Ids of each block, given how many it has."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(payloads)
-    order = sorted(range(len(payloads)), key=lambda k: -sizes[k])
-    for part in _portions(order):
-        for k, ids in zip(part, _decode_lanes([payloads[k] for k in part], np.array([sizes[k] for k in part]))):
-            out[k] = ids
-    return out
+    return [_decode(p, int(n)) if n else np.zeros(0, np.uint32) for p, n in zip(payloads, sizes)]
 
 
-def _decode_lanes(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
-    n = len(payloads)
-    room = max((len(p) for p in payloads), default=0) // 2 + 4
-    words = np.zeros((n, room), np.uint16)
-    for k, p in enumerate(payloads):
-        words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
-    flat, place = words.reshape(-1), np.arange(n) * room + 3
-    code = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]
+def _decode(payload: bytes, size: int) -> np.ndarray:
+    n, steps, last = _lanes(size)
+    words = np.frombuffer(payload, "<u2").astype(np.int64)
+    code = (words[:n] << 32) | (words[n : 2 * n] << 16) | words[2 * n : 3 * n]
+    taken = 3 * n
     span = np.full(n, _FULL, np.int64)
-    ids = np.zeros((sizes.max(initial=0), n), np.uint16)
+    ids = np.zeros((steps, n), np.uint16)
     model = _Model(n)
 
-    def shift(lanes, code, span):
-        small = np.flatnonzero(span < _LOW)
-        if len(small):
-            at = lanes[small]
-            code[small] = (code[small] << 16) | flat[place[at]]
-            place[at] += 1
-            span[small] <<= 16
-
-    every = np.arange(n)
-    for step, active in enumerate(_matrix(sizes)):
-        if active != model.n:
-            model.lanes(active)
-            every, code, span = every[:active], code[:active], span[:active]
+    def shift(small):
+        nonlocal taken
+        while len(small):
+            code[small] = (code[small] << 16) | words[taken : taken + len(small)]
+            taken += len(small)
+            wide = span[small] << 16
+            span[small] = wide
+            small = small[wide < _LOW]
+
+    for step in range(steps):
+        active = n if step < steps - 1 else last
+        if active < n:
+            model.narrow(active)
+        own_code, own_span = code[:active], span[:active]
         guess, p = model.predict()
-        part = span >> _FLAG_BITS
+        part = own_span >> _FLAG_BITS
         yes = part * p
-        right = code < yes
-        wrong = ~right
-        code -= yes * wrong
-        span[:] = np.where(right, yes, (part << _FLAG_BITS) - yes)
-        shift(every, code, span)
-        now = guess
-        lanes = np.flatnonzero(wrong)
-        if len(lanes):
-            own_code, own_span = code[lanes], span[lanes]
-            value = np.zeros(len(lanes), np.int64)
-            for level in range(4):
-                rows = model.rows(lanes, level, value)
-                table = model.table[rows]
-                part = own_span >> _TOTAL_BITS
-                # quotients are small: the division of floats is exact enough, and cheaper
-                at = np.minimum(_quotient(own_code, part), (1 << _TOTAL_BITS) - 1).astype(np.uint16)
-                below = (table.view(np.uint16) <= at[:, None]).view(np.uint64)
-                symbol = np.bitwise_count(below).sum(axis=1, dtype=np.int64)
-                lower, width = _bounds(table, symbol)
-                own_code -= part * lower
-                own_span = part * width
-                shift(lanes, own_code, own_span)
-                model.bend(rows, table, symbol, level)
-                value = (value << 4) | symbol
-            code[lanes], span[lanes] = own_code, own_span
-            now[lanes] = value
+        right = own_code < yes
+        own_code -= yes * ~right
+        part = np.where(right, yes, (part << _FLAG_BITS) - yes) >> _TOTAL_BITS
+        # below 2^48 by below 2^36, with a quotient of at most 2^16: the division of floats rounds none of them up
+        place = (own_code / part).astype(np.int64)
+        symbol = np.where(right, _NONE, model.symbols.take(place, mode="clip"))
+        own_code -= part * model.lower.take(symbol, mode="clip")
+        own_span[:] = part * model.width.take(symbol, mode="clip")
+        shift(np.flatnonzero(own_span < _LOW))
+        now = np.where(right, guess, symbol)
+        plain = np.flatnonzero(symbol == _ESCAPE)
+        if len(plain):
+            part = span[plain] >> _TOTAL_BITS
+            value = (code[plain] / part).astype(np.int64)
+            code[plain] -= part * value
+            span[plain] = part
+            shift(plain[part < _LOW])
+            now[plain] = value
+            symbol[plain] = value
         ids[step, :active] = now
-        model.learn(now, right)
-    return [ids[: sizes[k], k].astype(np.uint32) for k in range(n)]
+        model.learn(now, right, symbol)
+    out = np.empty(size, np.uint32)
+    out[: last * steps].reshape(last, steps)[:] = ids[:, :last].T
+    out[last * steps :].reshape(n - last, steps - 1)[:] = ids[: steps - 1, last:].T
+    return out

@@ -1,7 +1,7 @@
 """Token-ID files (operator 5): documents in id order, their ids in frames of independent coded blocks.
 
 The pipeline gives another order, that of training. A shard is one range of it; it holds frames of whole documents, and a frame holds a document
-table and blocks of at most 4,096 ids, coded by the mixing range coder, each with a checksum of its ids
+table and blocks of at most a million ids, coded by the mixing range coder, each with a checksum of its ids
 and one of its bytes. Shards are written as Parquet files with one frame per row, so that Spark's
 committer deals with lost and repeated tasks, any store that Spark can write works, and the frames of a
 shard can be read by many tasks.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,29 +31,27 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plotweave.llm.memory import returns_memory
-from plotweave.llm.mixing_coder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
+from plotweave.llm.mixing_coder import BLOCK_IDS, decode_blocks, encode_blocks
 from plotweave.llm.tokens import encoder
 from plotweave.session import scratch_path, ship, small_batches
 
-MAGIC, VERSION = b"PWTK", 1
+MAGIC, VERSION = b"PWTK", 2
 END_ID = 0
-# Ids that close a frame, and bytes of text per shard.
-FRAME_IDS = 1 << 17
+# Ids that a frame of several documents has at most, bytes of text per shard, and those that are encoded at a time.
+FRAME_IDS = BLOCK_IDS
 SHARD_BYTES = 16 << 20
-BATCH_ROWS = 256
-# Blocks that are coded together: another frame would need a second portion of lanes.
-FULL = LANES - FRAME_IDS // BLOCK_IDS
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 _HEAD = struct.Struct("<4sHHII")
-_FRAMES = "shard long, frame long, n_docs long, n_ids long, start long, data binary"
+_COLUMNS = "shard long, frame long, n_docs long, n_ids long, start long, data binary"
 
 
 def _blocks(ids: np.ndarray) -> list[np.ndarray]:
-    return [ids[k : k + BLOCK_IDS] for k in range(0, len(ids), BLOCK_IDS)]
+    return np.array_split(ids, -(-len(ids) // BLOCK_IDS)) if len(ids) else []
 
 
 def pack_frame(doc_ids: np.ndarray, nulls: np.ndarray, sizes: np.ndarray, blocks: list[np.ndarray], payloads: list[bytes]) -> bytes:
-    table = np.array([(len(b), len(p), zlib.crc32(b.astype("<u4").tobytes()), zlib.crc32(p)) for b, p in zip(blocks, payloads)], "<u4").reshape(-1, 4)
+    table = np.array([(len(b), len(p), zlib.crc32(b.astype("<u4")), zlib.crc32(p)) for b, p in zip(blocks, payloads)], "<u4").reshape(-1, 4)
     head = _HEAD.pack(MAGIC, VERSION, 0, len(doc_ids), len(blocks))
     body = b"".join([head, doc_ids.astype("<i8").tobytes(), nulls.astype("<u1").tobytes(), sizes.astype("<u8").tobytes(), table.tobytes(), *payloads])
     return body + struct.pack("<I", zlib.crc32(body))
@@ -81,20 +79,71 @@ def unpack_frame(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return doc_ids, nulls, sizes, table, payloads
 
 
-def unpack_many(frames: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Document ids, nulls, sizes and all ids of each frame; blocks of all frames are decoded together."""
-    opened = [unpack_frame(d) for d in frames]
-    ids = decode_blocks([p for f in opened for p in f[4]], [int(n) for f in opened for n in f[3][:, 0]])
-    at = 0
-    for doc_ids, nulls, sizes, table, _ in opened:
-        own = ids[at : at + len(table)]
-        at += len(table)
+def unpack_many(frames: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Document ids, nulls, sizes and all ids of each frame."""
+    for data in frames:
+        doc_ids, nulls, sizes, table, payloads = unpack_frame(data)
+        own = decode_blocks(payloads, table[:, 0].tolist())
         for b, crc in zip(own, table[:, 2]):
-            if zlib.crc32(b.astype("<u4").tobytes()) != crc:
+            if zlib.crc32(b.astype("<u4")) != crc:
                 raise ValueError("block does not decode to its ids")
         yield doc_ids, nulls, sizes, np.concatenate(own) if own else np.zeros(0, np.uint32)
 
 
+def _portions(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of some batches put together: encoding many texts at a time costs less."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.column(1).nbytes
+        if size >= BATCH_BYTES:
+            yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in range(2))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in range(2))
+
+
+def _frames(batches: Iterable[pa.RecordBatch], tokenizer: str, shard: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Documents of a shard in order, encoded, as rows of frames."""
+    coder = encoder(tokenizer)
+    number = start = open_size = 0
+    open_docs: list[tuple] = []
+
+    def frame() -> pa.RecordBatch:
+        nonlocal number, start, open_docs, open_size
+        doc_ids, nulls, sizes, ids = (np.concatenate(c) for c in zip(*open_docs))
+        blocks = _blocks(ids)
+        data = pack_frame(doc_ids, nulls, sizes, blocks, encode_blocks(blocks))
+        out = pa.RecordBatch.from_arrays(
+            [*[pa.array([v], pa.int64()) for v in (shard, number, len(sizes), len(ids), start)], pa.array([data], pa.binary())],
+            ["shard", "frame", "n_docs", "n_ids", "start", "data"],
+        )
+        number, start, open_docs, open_size = number + 1, start + len(ids), [], 0
+        return out
+
+    for column, texts in _portions(batches):
+        doc_ids, nulls = column.fill_null(0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+        bare, border = coder.encode_column(texts)
+        ids = np.full(len(bare) + len(texts), end_id, np.uint16 if coder.size <= 1 << 16 else np.uint32)
+        for k, (a, b) in enumerate(zip(border[:-1].tolist(), border[1:].tolist())):
+            ids[a + k : b + k] = bare[a:b]
+        border = border + np.arange(len(border))
+        lo = 0
+        while lo < len(doc_ids):
+            hi = int(np.searchsorted(border, border[lo] + FRAME_IDS - open_size, side="right")) - 1
+            if hi <= lo and open_size:
+                yield frame()
+                continue
+            hi = max(hi, lo + 1)
+            open_docs.append((doc_ids[lo:hi], nulls[lo:hi], np.diff(border[lo : hi + 1]), ids[border[lo] : border[hi]]))
+            open_size += int(border[hi] - border[lo])
+            lo = hi
+    if open_docs:
+        yield frame()
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: Sequence[Column] | None = None) -> None:
     """Encode `(doc_id, text)` of all documents and write them in ascending order of `doc_id`, or of `order`."""
     spark = docs.sparkSession
@@ -109,68 +158,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     @returns_memory
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
-        shard = TaskContext.get().partitionId()
-        waiting: list[tuple] = []  # closed frames, not coded yet
-        number = start = held = 0
-        open_docs: list[tuple] = []
-        open_ids: list[np.ndarray] = []
-        open_size = 0
-
-        def close():
-            nonlocal open_docs, open_ids, open_size, held
-            if open_docs:
-                ids, nulls, sizes = zip(*open_docs)
-                blocks = _blocks(np.concatenate(open_ids))
-                held += len(blocks)
-                waiting.append((np.array(ids, np.int64), np.array(nulls), np.array(sizes), blocks))
-                open_docs, open_ids, open_size = [], [], 0
-
-        def flush():
-            nonlocal number, start, held
-            payloads = encode_blocks([b for w in waiting for b in w[3]])
-            at = 0
-            for ids, nulls, sizes, blocks in waiting:
-                data = pack_frame(ids, nulls, sizes, blocks, payloads[at : at + len(blocks)])
-                at += len(blocks)
-                n = int(sizes.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([v], pa.int64()) for v in (shard, number, len(ids), n, start)], pa.array([data], pa.binary())],
-                    ["shard", "frame", "n_docs", "n_ids", "start", "data"],
-                )
-                number, start = number + 1, start + n
-            waiting.clear()
-            held = 0
-
-        for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1)
-            lo = 0
-            while lo < len(doc_ids):
-                # some texts at a time, so that the ids of a batch of long texts are never all there
-                hi = min(lo + 256, len(doc_ids))
-                ids, border = coder.encode(texts[lo:hi].to_pylist())
-                for k in range(hi - lo):
-                    own = np.append(ids[border[k] : border[k + 1]], np.uint32(end_id)).astype(np.uint16 if coder.size <= 1 << 16 else np.uint32)
-                    open_docs.append((doc_ids[lo + k] or 0, doc_ids[lo + k] is None, len(own)))
-                    open_ids.append(own)
-                    open_size += len(own)
-                    if open_size >= FRAME_IDS:
-                        close()
-                        if held >= FULL:
-                            yield from flush()
-                lo = hi
-        close()
-        if waiting:
-            yield from flush()
-
-    # the coder's tables are the larger part of a task's memory: few texts at a time beside them
+        yield from _frames(batches, tokenizer, TaskContext.get().partitionId(), end_id)
+
+    # what a task holds is bounded by bytes, whatever the length of the texts
     with small_batches(spark, BATCH_ROWS):
-        placed.mapInArrow(encode, _FRAMES).write.mode("errorifexists").parquet(path)
+        placed.mapInArrow(encode, _COLUMNS).write.mode("errorifexists").parquet(path)
 
 
 def _placed_frames(spark: SparkSession, path: str) -> DataFrame:
     """Frames with the place of their first id among all ids."""
-    frames = spark.read.schema(_FRAMES).parquet(path)
+    frames = spark.read.schema(_COLUMNS).parquet(path)
     before, total = [], 0
     for r in sorted(frames.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["shard"]):
         before.append((r["shard"], total))
@@ -181,18 +178,9 @@ def _placed_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Frames of some batches, decoded about as many blocks at a time as there are lanes."""
-    starts, frames, blocks = [], [], 0
+    """Where each frame starts, and what is in it."""
     for b in batches:
-        for start, data in zip(b.column(0).to_pylist(), b.column(1)):
-            starts.append(start)
-            frames.append(data.as_py())
-            blocks += _HEAD.unpack_from(frames[-1])[4]
-            if blocks >= FULL:
-                yield from zip(starts, unpack_many(frames))
-                starts, frames, blocks = [], [], 0
-    if frames:
-        yield from zip(starts, unpack_many(frames))
+        yield from zip(b.column(0).to_pylist(), unpack_many(data.as_py() for data in b.column(1)))
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -217,7 +205,7 @@ def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, (doc_ids, nulls, sizes, ids) in _decoded(batches):
             border = np.concatenate([[0], np.cumsum(sizes)])
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(border[:-1].tolist(), border[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc_ids, pa.int64(), mask=nulls.astype(bool)), pa.array(start + border[:-1]), pa.array(sizes), pa.array(crc, pa.int64())],

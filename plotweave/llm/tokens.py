@@ -4,19 +4,32 @@ The tokenizer cuts a text into pieces before it merges, and never merges across
 lies before a single space that a non-space follows, so a text can be taken apart there and each
 different piece is encoded by the library once per task. A text with doubled spaces is cut by a pattern,
 and a text that holds the spelling of a special id goes to the library whole: both give the same ids.
+
+`encode` looks pieces up one by one and suits few or short texts. `encode_column` takes an Arrow column of many:
+Arrow splits it at the spaces and finds the words among those known; only new words, the first word of a text and the
+odd texts of above pass through Python. New words are cut once more, behind a letter that no letter follows, where
+no piece of the tokenizer's pattern goes on.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?= \S)")
+_INNER_CUT = re.compile(r"(?<=[A-Za-z])(?=[\x00-@\[-`{-\x7f])|(?= )")
 _UNSAFE = re.compile(r" \s| \Z")
 # Bound of the memory for pieces, per task.
 MAX_PIECES = 200_000
+# Where columns are encoded: all pieces, of which words take some 50 bytes each, and those that Python looks up.
+MAX_WORDS, MAX_PARTS = 1_200_000, 500_000
+# Words whose ids are put together at a time.
+_GATHERED = 1 << 18
 
 
 _coders: dict = {}
@@ -48,15 +61,19 @@ class Encoder:
         for token, k in self._library.get_vocab(with_added_tokens=False).items():
             self._bytes[k] = len(token)
         self._known: dict[str, int] = {}
+        # words of columns and their piece numbers; a word that no cut may precede has -1
+        self._words, self._word_piece = pa.array([], pa.string()), np.zeros(0, np.int32)
         self._forget()
 
     def _forget(self) -> None:
         """Keep the pieces that came more than once since the last time, at most half of the room."""
         kept: dict[str, int] = {}
+        n = 0
         ids, border = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        if self._known:
+        if self._known or len(self._words):
             often = np.flatnonzero(self._used[: self._n] > 1)
-            often = np.sort(often[np.argsort(-self._used[often], kind="stable")[: MAX_PIECES // 2]])
+            room = (MAX_WORDS if len(self._words) else MAX_PIECES) // 2
+            often = np.sort(often[np.argsort(-self._used[often], kind="stable")[:room]])
             size = np.diff(self._border[: self._n + 1])[often]
             past = np.cumsum(size)
             place = np.arange(past[-1] if len(past) else 0) - np.repeat(past - size, size) + np.repeat(self._border[often], size)
@@ -65,40 +82,49 @@ class Encoder:
             number = np.full(self._n, -1)
             number[often] = np.arange(len(often))
             kept = {p: int(number[k]) for p, k in self._known.items() if number[k] >= 0}
-        self._known, self._ids, self._border, self._n = kept, ids, border, len(kept)
+            stay = np.flatnonzero((self._word_piece >= 0) & (number[self._word_piece] >= 0))
+            self._words, self._word_piece = self._words.take(pa.array(stay)), number[self._word_piece[stay]].astype(np.int32)
+            n = len(often)
+        self._known, self._ids, self._border, self._n = kept, ids, border, n
         self._used = np.zeros(len(border), np.int64)
 
-    def _add(self, pieces: list[str], ids: np.ndarray, past: np.ndarray) -> None:
+    def _add(self, pieces: int, ids: np.ndarray, past: np.ndarray) -> None:
         """Append pieces whose ids stand one behind another; `past` is where each piece's ids end."""
         start = int(self._border[self._n])
         while start + len(ids) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while self._n + len(pieces) + 1 > len(self._border):
+        while self._n + pieces + 1 > len(self._border):
             self._border = np.concatenate([self._border, np.zeros_like(self._border)])
             self._used = np.concatenate([self._used, np.zeros_like(self._used)])
         self._ids[start : start + len(ids)] = ids
-        self._border[self._n + 1 : self._n + 1 + len(pieces)] = start + past
-        self._known.update(zip(pieces, range(self._n, self._n + len(pieces))))
-        self._n += len(pieces)
+        self._border[self._n + 1 : self._n + 1 + pieces] = start + past
+        self._n += pieces
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], of_words: bool) -> None:
         """Encode pieces not seen before. Those that begin with a space and a non-space are written one
-        behind another, encoded in one text, and told apart by the bytes that their ids stand for."""
-        alone, joined = [], []
-        for p in pieces:
-            safe = p[0] == " " and " " not in p[1:] and not p[1:2].isspace() and not any(x in p for x in self._specials)
-            (joined if safe else alone).append(p)
-        for piece, e in zip(alone, self._library.encode_batch_fast(alone, add_special_tokens=False)):
-            self._add([piece], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+        behind another, encoded in one text, and told apart by the bytes that their ids stand for. Parts of words
+        that begin with a space are known to be of that kind."""
+        if of_words:
+            alone, joined = [p for p in pieces if p[0] != " "], [p for p in pieces if p[0] == " "]
+        else:
+            alone, joined = [], []
+            for p in pieces:
+                safe = p[0] == " " and " " not in p[1:] and not p[1:2].isspace() and not any(x in p for x in self._specials)
+                (joined if safe else alone).append(p)
+        self._known.update(zip(alone + joined, range(self._n, self._n + len(pieces))))
+        for lo in range(0, len(alone), 4096):
+            lists = [e.ids for e in self._library.encode_batch_fast(alone[lo : lo + 4096], add_special_tokens=False)]
+            past = np.cumsum([len(ids) for ids in lists])
+            self._add(len(lists), np.fromiter(chain.from_iterable(lists), np.uint32, past[-1]), past)
         for lo in range(0, len(joined), 4096):
             part = joined[lo : lo + 4096]
             ids = np.array(self._library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             length = np.cumsum(self._bytes[ids])
-            wanted = np.cumsum([len(p.encode()) for p in part])
+            wanted = np.cumsum(list(map(len, map(str.encode, part))))
             past = np.searchsorted(length, wanted) + 1
             if not np.array_equal(length[past - 1], wanted):
                 raise RuntimeError("a piece was merged across its border")
-            self._add(part, ids, past)
+            self._add(len(part), ids, past)
 
     def _pieces(self, text: str) -> list[str]:
         if any(x in text for x in self._specials):
@@ -113,12 +139,7 @@ class Encoder:
         if self._n > MAX_PIECES:
             self._forget()
         cut = [self._pieces(t) if t else [] for t in texts]
-        flat = [p for pieces in cut for p in pieces]
-        known = self._known
-        fresh = {p for p in flat if p not in known}
-        if fresh:
-            self._learn(sorted(fresh))
-        which = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        which = self._look_up([p for pieces in cut for p in pieces])
         self._used[: self._n] += np.bincount(which, minlength=self._n)
         start, size = self._border[which], self._border[which + 1] - self._border[which]
         past = np.cumsum(size)
@@ -126,5 +147,78 @@ class Encoder:
         pieces = np.cumsum([0, *map(len, cut)])
         return self._ids[place], np.concatenate([[0], past])[pieces]
 
+    def _look_up(self, pieces: list[str], of_words: bool = False) -> np.ndarray:
+        known = self._known
+        fresh = dict.fromkeys(p for p in pieces if p not in known)
+        if fresh:
+            self._learn(list(fresh), of_words)
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same as `encode`, for an Arrow column of strings; a null is an empty text."""
+        if self._n > MAX_WORDS or len(self._known) > MAX_PARTS:
+            self._forget()
+        texts = texts.fill_null("")
+        split = pc.split_pattern(texts, " ")
+        border = split.offsets.to_numpy().astype(np.int64)
+        words, heads = split.flatten(), border[:-1]
+        odd = np.zeros(len(texts), bool)
+        for special in self._specials:
+            odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        inner = np.ones(len(words), bool)
+        inner[heads] = False
+        inner[np.repeat(odd, np.diff(border))] = False
+        which = self._word_pieces(words, inner)
+        # an empty word, or one that begins with a space of another kind, stands behind a space that is no cut
+        at = np.flatnonzero((which < 0) & inner)
+        odd[np.searchsorted(border, at, side="right") - 1] = True
+        plain = np.flatnonzero(~odd)
+        first = words.take(pa.array(heads[plain])).to_pylist()
+        named = [k for k, word in enumerate(first) if word]
+        which[heads[plain]] = -1
+        which[heads[plain[named]]] = self._look_up([first[k] for k in named])
+        if odd.any():
+            cut = {k: self._pieces(texts[k].as_py()) for k in np.flatnonzero(odd).tolist()}
+            numbers = {k: self._look_up(pieces) for k, pieces in cut.items()}
+            parts = [numbers[k] if odd[k] else which[border[k] : border[k + 1]] for k in range(len(texts))]
+            which, border = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        self._used[: self._n] += np.bincount(which[which >= 0], minlength=self._n)
+        return self._gather(which, border)
+
+    def _word_pieces(self, words: pa.Array, inner: np.ndarray) -> np.ndarray:
+        """Piece numbers of words behind a space, new ones learned where `inner` says so; -1 for those that have none."""
+        place = pc.index_in(words, value_set=self._words).fill_null(-1).to_numpy()
+        new = np.flatnonzero((place < 0) & inner)
+        which = np.where(place >= 0, self._word_piece.take(place, mode="clip"), -1) if len(self._words) else np.full(len(words), -1)
+        if len(new):
+            own = words.take(pa.array(new)).dictionary_encode()
+            fresh = own.dictionary
+            spelled = fresh.to_pylist()
+            number = np.full(len(spelled), -1, np.int32)
+            cuts = [k for k, word in enumerate(spelled) if word and not word[0].isspace()]
+            parts = [p for p in _INNER_CUT.split("".join([" " + spelled[k] for k in cuts])) if p]
+            numbers = self._look_up(parts, of_words=True)
+            self._used[: self._n] += np.bincount(numbers, minlength=self._n)
+            heads = np.flatnonzero([p[0] == " " for p in parts])
+            ids, past = self._gather(numbers, np.append(heads, len(parts)))
+            number[cuts] = np.arange(self._n, self._n + len(cuts))
+            self._add(len(cuts), ids, past[1:])
+            self._words = pa.concat_arrays([self._words, fresh])
+            self._word_piece = np.concatenate([self._word_piece, number])
+            which[new] = number[own.indices.to_numpy()]
+        return which
+
+    def _gather(self, which: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one behind another (none for -1), and those borders counted in ids."""
+        past = np.zeros(len(which) + 1, np.int64)
+        start, size = self._border[which], np.where(which < 0, 0, self._border[which + 1] - self._border[which])
+        np.cumsum(size, out=past[1:])
+        ids = np.empty(past[-1], np.uint32)
+        for lo in range(0, len(which), _GATHERED):
+            hi = min(lo + _GATHERED, len(which))
+            place = np.repeat(start[lo:hi] - past[lo:hi], size[lo:hi]) + np.arange(past[lo], past[hi])
+            ids[past[lo] : past[hi]] = self._ids[place]
+        return ids, past[border]
+
     def decode(self, lists) -> list[str]:
         return self._library.decode_batch([list(map(int, ids)) for ids in lists], skip_special_tokens=False)

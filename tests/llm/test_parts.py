@@ -31,6 +31,34 @@ def test_coder_resets_and_packs():
     assert len(alone) < len(ids) / 2
 
 
+def test_lanes_of_a_block_share_what_they_learn():
+    ids = np.tile(np.random.default_rng(1).integers(0, 50_000, 500).astype(np.uint32), 200)
+    assert sum(map(len, mixing_coder.encode_blocks(token_files._blocks(ids)))) < len(ids) // 5
+
+
+def test_a_long_document_and_what_stands_beside_it(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a b", None, "one  two " * 300, "", *[f"text {k} of some" for k in range(40)], "the end, said they%%% " * 200]
+    # frames of 64 ids, blocks of 100
+    monkeypatch.setattr(token_files, "FRAME_IDS", 64)
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 100)
+    monkeypatch.setattr(token_files, "BATCH_BYTES", 200)
+    batch = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array(range(lo, hi), pa.int64()), pa.array(texts[lo:hi], pa.string())], ["doc_id", "text"])
+    frames = list(token_files._frames([batch(lo, min(lo + 3, len(texts))) for lo in range(0, len(texts), 3)], path, 0, 0))
+    found, place = [], 0
+    for f in frames:
+        row = f.to_pylist()[0]
+        doc_ids, nulls, sizes, ids = next(token_files.unpack_many([row["data"]]))
+        assert row["start"] == place and row["n_ids"] == len(ids) and (len(sizes) == 1 or len(ids) <= 64)
+        place += len(ids)
+        found += [(int(d), own.tolist()) for d, own in zip(doc_ids, np.split(ids, np.cumsum(sizes)[:-1]))]
+    coder = Tokenizer.from_file(path)
+    assert found == [(k, [*coder.encode(t or "", add_special_tokens=False).ids, 0]) for k, t in enumerate(texts)]
+
+
 def test_damage_is_seen():
     ids = np.arange(100, dtype=np.uint32)
     frame = token_files.pack_frame(np.array([7]), np.array([False]), np.array([100]), [ids], mixing_coder.encode_blocks([ids]))
@@ -110,6 +138,23 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
             assert ids[border[k] : border[k + 1]].tolist() == e.ids
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abC1. \n\t\u00a0\u00e9\u3000'!<|endoftext|>\U0001f600", max_size=40)), max_size=6), st.booleans())
+def test_columns_give_the_ids_of_whole_texts(texts, forget):
+    import public_tokenizers
+    from plotweave.llm.tokens import Encoder
+
+    for specials in (False, True):
+        coder = _coders.setdefault(specials, Encoder(public_tokenizers.path("byte_bpe_50k.json"), specials))
+        if forget:
+            coder._forget()
+        # a column that is a slice of another one
+        ids, border = coder.encode_column(pa.array(["x y", *texts], pa.string()).slice(1))
+        assert len(border) == len(texts) + 1 and border[0] == 0 and border[-1] == len(ids)
+        for k, e in enumerate(coder._library.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+            assert ids[border[k] : border[k + 1]].tolist() == e.ids
+
+
 _coders: dict = {}
 
 
