@@ -12,7 +12,7 @@ the block and teach it. Per id:
   the table follows an escape as 16 plain bits.
 
 Slots learn at each step (of lanes that share a slot the last one counts), counts, estimates and weights whenever
-the ids since the last time are a quarter of those before. All arithmetic is on whole numbers, so any machine decodes
+the ids since the last time are half of those before. All arithmetic is on whole numbers, so any machine decodes
 what another has written. The range coder keeps 48 bits and puts out 16 at a time; carries are left in the words and
 resolved at the end. The words of all lanes stand in the order in which a reader asks for them.
 """
@@ -39,9 +39,6 @@ _REFRESH_IDS = 1 << 17
 
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int64)
-# What a confidence of 0 to 7 gains when its prediction was right, and loses when it was wrong.
-_GAIN = np.array([1, 1, 1, 1, 1, 1, 1, 0], np.int32)
-_LOSS = np.array([t - (t >> 1) for t in range(8)], np.int32)
 
 
 class _Model:
@@ -78,17 +75,17 @@ class _Model:
 
     def learn(self, ids: np.ndarray, right: np.ndarray, symbol: np.ndarray) -> None:
         """Move all orders towards the id that came; `symbol` is what order 0 had to code."""
-        fresh = ((ids << 3) | 1).astype(np.int32)
+        fresh = ids.astype(np.int32) << 3 | 1
         for slots, at, held, trust in zip(self.slots, self.at, self.held, self.trust):
-            missed = np.where(trust < 2, fresh, held - _LOSS.take(trust))
-            slots[at] = np.where((held ^ fresh) < 8, np.where((held ^ fresh) >= 0, held + _GAIN.take(trust), missed), missed)
+            same = (held ^ fresh).view(np.uint32) < 8
+            slots[at] = np.where(same, held + (trust < 7), np.where(trust < 2, fresh, held - ((trust + 1) >> 1)))
         self.told.append((self.context << 1) | right)
         self.came.append(symbol)
         self.past[:] = ((self.past << 1) | right) & 15
         self.prev2[:] = self.prev
         self.prev[:] = ids
         self.since += len(ids)
-        if self.since >= min(_REFRESH_IDS, max(LANE_IDS, self.before >> 2)):
+        if self.since >= min(_REFRESH_IDS, max(LANE_IDS, self.before >> 1)):
             self._refresh()
 
     def _refresh(self) -> None:
@@ -117,7 +114,7 @@ class _Model:
         self.chance = _SQUASH[np.clip(dot, -2047, 2047) + 2047].ravel()
 
     def _share(self) -> None:
-        """Lower bounds and widths of order 0, and the symbol of each place."""
+        """Lower bounds and widths of order 0."""
         n, kinds = int(self.counts.sum()), int(np.count_nonzero(self.counts))
         spare = max(1, _TOTAL * kinds // (n + kinds)) if n else _TOTAL
         share = self.counts * (_TOTAL - spare) // max(n, 1)
@@ -126,8 +123,14 @@ class _Model:
         held = share > 0
         self.lower = np.concatenate([np.where(held, past - share, self.escape), [self.escape, 0]])
         self.width = np.concatenate([np.where(held, share, _TOTAL - self.escape), [_TOTAL - self.escape, _TOTAL]])
-        own = np.flatnonzero(held)
-        self.symbols = np.concatenate([np.repeat(own, share[own]), np.full(_TOTAL - self.escape, _ESCAPE)])
+        self.share, self._symbols = share, None
+
+    def symbols(self) -> np.ndarray:
+        """The symbol of each place of order 0, for readers."""
+        if self._symbols is None:
+            own = np.flatnonzero(self.share)
+            self._symbols = np.concatenate([np.repeat(own, self.share[own]), np.full(_TOTAL - self.escape, _ESCAPE)])
+        return self._symbols
 
 
 def _lanes(n: int) -> tuple[int, int, int]:
@@ -242,7 +245,7 @@ def _decode(payload: bytes, size: int) -> np.ndarray:
         part = np.where(right, yes, (part << _FLAG_BITS) - yes) >> _TOTAL_BITS
         # below 2^48 by below 2^36, with a quotient of at most 2^16: the division of floats rounds none of them up
         place = (own_code / part).astype(np.int64)
-        symbol = np.where(right, _NONE, model.symbols.take(place, mode="clip"))
+        symbol = np.where(right, _NONE, model.symbols().take(place, mode="clip"))
         own_code -= part * model.lower.take(symbol, mode="clip")
         own_span[:] = part * model.width.take(symbol, mode="clip")
         shift(np.flatnonzero(own_span < _LOW))

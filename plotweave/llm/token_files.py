@@ -40,7 +40,7 @@ END_ID = 0
 # Ids that a frame of several documents has at most, bytes of text per shard, and those that are encoded at a time.
 FRAME_IDS = BLOCK_IDS
 SHARD_BYTES = 16 << 20
-BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 _HEAD = struct.Struct("<4sHHII")
 _COLUMNS = "shard long, frame long, n_docs long, n_ids long, start long, data binary"

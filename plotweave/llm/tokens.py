@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?= \S)")
-_INNER_CUT = re.compile(r"(?<=[A-Za-z])(?=[\x00-@\[-`{-\x7f])|(?= )")
+_INNER_CUT = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[\x00-@\[-`{-\x7f])|(?= )")
 _UNSAFE = re.compile(r" \s| \Z")
 # Bound of the memory for pieces, per task.
 MAX_PIECES = 200_000
@@ -210,14 +210,13 @@ class Encoder:
 
     def _gather(self, which: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one behind another (none for -1), and those borders counted in ids."""
-        past = np.zeros(len(which) + 1, np.int64)
-        start, size = self._border[which], np.where(which < 0, 0, self._border[which + 1] - self._border[which])
-        np.cumsum(size, out=past[1:])
+        size = np.append(np.diff(self._border[: self._n + 1]), 0).astype(np.int32)[which]
+        past = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ids = np.empty(past[-1], np.uint32)
         for lo in range(0, len(which), _GATHERED):
             hi = min(lo + _GATHERED, len(which))
-            place = np.repeat(start[lo:hi] - past[lo:hi], size[lo:hi]) + np.arange(past[lo], past[hi])
-            ids[past[lo] : past[hi]] = self._ids[place]
+            place = np.repeat(self._border[which[lo:hi]] - past[lo:hi], size[lo:hi]) + np.arange(past[lo], past[hi])
+            ids[past[lo] : past[hi]] = self._ids.take(place)
         return ids, past[border]
 
     def decode(self, lists) -> list[str]:
