@@ -149,7 +149,7 @@ def _encode(block: np.ndarray) -> bytes:
     if block.max() >= MAX_ID or block.min() < 0:
         raise ValueError(f"ids must be below {MAX_ID}")
     n, steps, last = _lanes(len(block))
-    ids = np.zeros((steps, n), np.int64)
+    ids = np.zeros((steps, n), np.uint16)
     ids[:, :last] = block[: last * steps].reshape(last, steps).T
     ids[: steps - 1, last:] = block[last * steps :].reshape(n - last, steps - 1).T
     # of three words an id has at most, most are never touched
@@ -175,7 +175,7 @@ def _encode(block: np.ndarray) -> bytes:
         active = n if step < steps - 1 else last
         if active < n:
             model.narrow(active)
-        now, own_low, own_span = ids[step, :active], low[:active], span[:active]
+        now, own_low, own_span = ids[step, :active].astype(np.int64), low[:active], span[:active]
         guess, p = model.predict()
         right = guess == now
         wrong = ~right

@@ -40,7 +40,7 @@ END_ID = 0
 # Ids that a frame of several documents has at most, bytes of text per shard, and those that are encoded at a time.
 FRAME_IDS = BLOCK_IDS
 SHARD_BYTES = 16 << 20
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 _HEAD = struct.Struct("<4sHHII")
 _COLUMNS = "shard long, frame long, n_docs long, n_ids long, start long, data binary"
@@ -94,15 +94,21 @@ def _portions(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.
     """Ids and texts of some batches put together: encoding many texts at a time costs less."""
     held: list[pa.RecordBatch] = []
     size = 0
+
+    def together() -> tuple[pa.Array, pa.Array]:
+        nonlocal held, size
+        out = tuple(pa.concat_arrays([h.column(k) for h in held]) for k in range(2))
+        held, size = [], 0
+        return out
+
     for b in batches:
         if b.num_rows:
             held.append(b)
             size += b.column(1).nbytes
         if size >= BATCH_BYTES:
-            yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in range(2))
-            held, size = [], 0
+            yield together()
     if held:
-        yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in range(2))
+        yield together()
 
 
 def _frames(batches: Iterable[pa.RecordBatch], tokenizer: str, shard: int, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -130,6 +136,8 @@ def _frames(batches: Iterable[pa.RecordBatch], tokenizer: str, shard: int, end_i
         for k, (a, b) in enumerate(zip(border[:-1].tolist(), border[1:].tolist())):
             ids[a + k : b + k] = bare[a:b]
         border = border + np.arange(len(border))
+        # not needed while blocks are coded
+        del texts, bare
         lo = 0
         while lo < len(doc_ids):
             hi = int(np.searchsorted(border, border[lo] + FRAME_IDS - open_size, side="right")) - 1

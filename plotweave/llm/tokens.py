@@ -27,7 +27,7 @@ _UNSAFE = re.compile(r" \s| \Z")
 # Bound of the memory for pieces, per task.
 MAX_PIECES = 200_000
 # Where columns are encoded: all pieces, of which words take some 50 bytes each, and those that Python looks up.
-MAX_WORDS, MAX_PARTS = 1_200_000, 500_000
+MAX_WORDS, MAX_PARTS = 700_000, 300_000
 # Words whose ids are put together at a time.
 _GATHERED = 1 << 18
 
@@ -189,7 +189,7 @@ class Encoder:
         """Piece numbers of words behind a space, new ones learned where `inner` says so; -1 for those that have none."""
         place = pc.index_in(words, value_set=self._words).fill_null(-1).to_numpy()
         new = np.flatnonzero((place < 0) & inner)
-        which = np.where(place >= 0, self._word_piece.take(place, mode="clip"), -1) if len(self._words) else np.full(len(words), -1)
+        which = np.where(place >= 0, self._word_piece.take(place, mode="clip"), np.int32(-1)) if len(self._words) else np.full(len(words), -1, np.int32)
         if len(new):
             own = words.take(pa.array(new)).dictionary_encode()
             fresh = own.dictionary
