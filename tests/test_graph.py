@@ -140,3 +140,26 @@ def test_dual_pairs_of_one_parcel_are_not_summed(spark):
     assert len(rows) == len(want) and {(r["src"], r["dst"]): r["w"] for r in rows} == pytest.approx(want)
     # the pairs that meet through one parcel come straight from the join
     assert out._jdf.queryExecution().analyzed().toString().startswith("Union")
+
+
+def test_strength_meets_a_touching_pair_from_one_side(spark):
+    links = [(b, p) for b in range(6) for p in range(b, 40, 3)] + [(2, 5), (2, 5), (None, 4), (3, None)]
+    touch = [(p, q, 1.0 + p % 3) for p in range(40) for q in (p - 2, p - 1, p + 1, p + 2, p) if 0 <= q < 44] + [(1, 0, None), (7, 3, 2.5)]
+    a, b = spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame(touch, "src long, dst long, w double")
+    values = spark.createDataFrame([(k, float(k) if k != 4 else None) for k in range(5)], "id long, value double")
+    w = {}
+    for p, q, v in touch:
+        w[p, q] = w.get((p, q), 0.0) + (v or 0.0)
+    for given, x in ((None, dict.fromkeys([*range(6), None], 1.0)), (values, {1: 1.0, 2: 2.0, 3: 3.0})):
+        want = {}
+        for i, p in links:
+            for j, q in links:
+                if p is not None and q is not None:
+                    # a building that has no id is none of the others
+                    own = i == j and i is not None
+                    want[i] = want.get(i, 0.0) + (0.0 if own else ((p == q) + (w.get((p, q), 0.0) if p != q else 0.0)) * x.get(j, 0.0))
+        out = g.dual_apply(a, b, given)
+        assert {r["id"]: r["value"] for r in out.collect()} == pytest.approx(want)
+    # each touching pair meets the links from its lower side only, and that is joined once
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "least(src" in plan and "greatest(src" in plan
