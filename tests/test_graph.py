@@ -163,3 +163,27 @@ def test_strength_meets_a_touching_pair_from_one_side(spark):
     # each touching pair meets the links from its lower side only, and that is joined once
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "least(src" in plan and "greatest(src" in plan
+
+
+def test_pairs_with_a_building_of_one_parcel_are_not_shuffled(spark):
+    links = spark.createDataFrame([(b, b % 7) for b in range(70)] + [(b, b % 7 + 1) for b in range(0, 70, 5)], "src long, dst long")
+    touch = spark.createDataFrame([(p, q, 1.0) for p in range(8) for q in (p - 1, p + 1) if 0 <= q < 8], "src long, dst long, w double")
+    out = g.dual_projection(links, touch)
+    assert len({(r["src"], r["dst"]) for r in out.collect()}) == out.count()
+    # what is summed, the last part, has buildings of several parcels on both sides
+    union = out._jdf.queryExecution().analyzed()
+    summed = union.children().apply(union.children().size() - 1)
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, summed).collectAsList()
+    assert rows.size() and all(r.getLong(0) % 5 == 0 and r.getLong(1) % 5 == 0 for r in rows)
+
+
+def test_the_least_row_is_shuffled_once(spark):
+    from plotweave.functions.clean import first_per_key
+
+    rows = [(1, "b", 2, [3]), (1, "a", 5, [1]), (1, "a", 5, None), (2, None, 1, [2]), (None, "z", 0, [0])]
+    df = spark.createDataFrame(rows, "k long, s string, n long, l array<long>")
+    plain = first_per_key(df, "k", "n")
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted([(1, "b", 2, [3]), (2, None, 1, [2]), (None, "z", 0, [0])], key=str)
+    assert "min_by" not in plain._jdf.queryExecution().analyzed().toString()
+    mapped = first_per_key(df.selectExpr("*", "map(s, n) as m").filter("s is not null"), "k")
+    assert {r["k"]: r["m"] for r in mapped.collect()} == {1: {"a": 5}, None: {"z": 0}}
